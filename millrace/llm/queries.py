@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import near_dup, split_overlap, visual_form
+from millrace.llm import bpe, mixing, near_dup, split_overlap, splitting, visual_form
 from millrace.session import table
 
 FIELDS = ["winner_prompt", "response_of_winner_prompt"]
@@ -42,8 +42,25 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("line_no", *(visual_form.visual_form(F.col(f)).alias(f) for f in FIELDS))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = splitting.profiles_of(table(spark, sf_dir, "split_limits"))
+    return splitting.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", limits)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p4_found, p4_report, p5_found, p5_groups, p6_found, p6_forms)
+    found = (p4_found, p4_report, p5_found, p5_groups, p6_found, p6_forms, p8_ids, p9_mix, p9_shares, p10_pieces)
     return {f.__name__: f for f in found}
 
 
