@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, mixing, near_dup, split_overlap, splitting, visual_form
+from millrace.llm import bpe, language, mixing, near_dup, split_overlap, splitting, visual_form
 from millrace.session import table
 
 FIELDS = ["winner_prompt", "response_of_winner_prompt"]
@@ -42,6 +42,19 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("line_no", *(visual_form.visual_form(F.col(f)).alias(f) for f in FIELDS))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [("winner_prompt", "prompt_lang"), ("response_of_winner_prompt", "response_lang")]
+    return language.detect_languages(table(spark, sf_dir, "instruction_records"), "line_no", fields, "source", table(spark, sf_dir, "language_samples"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_or_mixed(_languages(spark, sf_dir), "line_no").select("line_no", "field", "seg_no", "lang")
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select(F.col("id").alias("line_no"), "field", "declared", F.inline("segments"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
@@ -60,7 +73,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p4_found, p4_report, p5_found, p5_groups, p6_found, p6_forms, p8_ids, p9_mix, p9_shares, p10_pieces)
+    found = (p4_found, p4_report, p5_found, p5_groups, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_pieces)
     return {f.__name__: f for f in found}
 
 
