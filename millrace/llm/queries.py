@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language, mixing, near_dup, split_overlap, splitting, visual_form
+from millrace.llm import bpe, language, mixing, near_dup, split_overlap, splitting, truncation, visual_form
 from millrace.session import table
 
 FIELDS = ["winner_prompt", "response_of_winner_prompt"]
@@ -17,6 +17,14 @@ def joined_text():
     return F.concat(F.coalesce("winner_prompt", F.lit("")), F.lit(" "), F.coalesce("response_of_winner_prompt", F.lit("")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "model_responses"), "resp_id", "response", "source")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, sf_dir, "model_responses"), "resp_id", "response", "source")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.overlap_pairs(table(spark, sf_dir, "cv_records"), "row_no", "fold", "winner_prompt").select("row_no_a", "row_no_b")
 
@@ -73,7 +81,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p4_found, p4_report, p5_found, p5_groups, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_pieces)
+    found = (p3_found, p3_report, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_pieces)
     return {f.__name__: f for f in found}
 
 
