@@ -63,14 +63,14 @@ def is_placeholder(text: Column) -> Column:
 class Model:
     """Log likelihoods of hashed features under each language."""
 
-    def __init__(self, codes: tuple[str, ...], tables: list[np.ndarray]):
-        self.codes, self.tables = codes, tables
+    def __init__(self, codes: tuple[str, ...], tables: list[np.ndarray], orders: tuple[int, ...]):
+        self.codes, self.tables, self.orders = codes, tables, orders
 
     @staticmethod
-    def features(cps: np.ndarray, offs: np.ndarray) -> list[cp.Flat]:
+    def features(cps: np.ndarray, offs: np.ndarray, orders: tuple[int, ...]) -> list[cp.Flat]:
         """Hashed features of plain texts: n-grams of each order, then words."""
         out = []
-        for n in ORDERS:
+        for n in orders:
             h, at = cp.gram_hashes(cps, offs, n)
             out.append(((h & np.uint64(BUCKETS - 1)).astype(np.int64), at))
         h, at, _ = cp.word_hashes(cps, offs)
@@ -78,24 +78,24 @@ class Model:
         return out
 
     @classmethod
-    def train(cls, texts: list[str], labels: list[str], codes: tuple[str, ...] = CODES) -> Model:
+    def train(cls, texts: list[str], labels: list[str], codes: tuple[str, ...] = CODES, orders: tuple[int, ...] = ORDERS) -> Model:
         cps, offs = plain(*cp.from_texts(texts))
         which = np.array([codes.index(x) for x in labels], np.int64)
         tables = []
-        for h, at in cls.features(cps, offs):
+        for h, at in cls.features(cps, offs, orders):
             row = np.repeat(which, np.diff(at))
             counts = np.bincount(h * len(codes) + row, minlength=BUCKETS * len(codes)).reshape(BUCKETS, len(codes)).astype(np.float64)
             p = (counts + 0.02) / (counts.sum(0) + 0.02 * BUCKETS)
             logp = np.log(p)
             seen = counts.sum(1, keepdims=True) > 0
             tables.append(np.where(seen, logp - logp.mean(1, keepdims=True), 0).clip(-6, 6).astype(np.float32))
-        return cls(codes, tables)
+        return cls(codes, tables, orders)
 
     def scores(self, cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Centred log likelihood of each plain text (rows) under each language."""
         n = len(offs) - 1
         out = np.zeros((n, len(self.codes)), np.float32)
-        for table, (h, at) in zip(self.tables, self.features(cps, offs)):
+        for table, (h, at) in zip(self.tables, self.features(cps, offs, self.orders)):
             some = np.diff(at) > 0
             if some.any():
                 out[some] += np.add.reduceat(table[h], at[:-1][some], axis=0)

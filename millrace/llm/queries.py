@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language, mixing, near_dup, split_overlap, splitting, truncation, visual_form
-from millrace.session import table
+from millrace.llm import bpe, language, mixing, near_dup, pair_defects, split_overlap, splitting, truncation, visual_form
+from millrace.session import broadcast_if_small, table
 
 FIELDS = ["winner_prompt", "response_of_winner_prompt"]
 
@@ -17,6 +17,13 @@ def joined_text():
     return F.concat(F.coalesce("winner_prompt", F.lit("")), F.lit(" "), F.coalesce("response_of_winner_prompt", F.lit("")))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "instruction_records").select(F.lit("instruction_records").alias("tab"), F.col("line_no").alias("row_key"), F.col("winner_prompt").alias("prompt"), F.col("response_of_winner_prompt").alias("response"))
+    prompts = broadcast_if_small(table(spark, sf_dir, "eval_prompts").select("id", F.col("winner_prompt").alias("prompt")))
+    asked = table(spark, sf_dir, "model_responses").join(prompts, "id", "left").select(F.lit("model_responses").alias("tab"), F.col("resp_id").alias("row_key"), "prompt", "response")
+    return pair_defects.pair_defects(own.unionByName(asked), table(spark, sf_dir, "language_samples"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "model_responses"), "resp_id", "response", "source")
 
@@ -81,7 +88,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p3_found, p3_report, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_pieces)
+    found = (p1_found, p3_found, p3_report, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_pieces)
     return {f.__name__: f for f in found}
 
 

@@ -225,7 +225,9 @@ def probability(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 def train(texts: list[str], limits: list[tuple[int, int]]) -> np.ndarray:
     good = looks_complete(texts)
     some = [(t, x) for t, x, ok in zip(texts, limits, good) if ok]
-    out, lim, y = cut_examples([t for t, _ in some], [x for _, x in some])
+    out, lim, y = cut_examples([t for t, _ in some], [x for _, x in some], 11)
+    more, more_lim, more_y = cut_examples([t for t, _ in some], [x for _, x in some], 12)
+    out, lim, y = out + more, lim + more_lim, np.concatenate([y, more_y])
     cps, offs = cp.from_texts(out)
     chars, n_bytes = sizes(cps, offs)
     lim_arr = np.array(lim).reshape(-1, 2)

@@ -195,7 +195,11 @@ def _fold() -> np.ndarray:
 
 def plain(cps: np.ndarray, offs: np.ndarray) -> cp.Flat:
     """Comparison text: visual form, lower case, every run of other characters one space, trimmed."""
-    cps, offs = normalise(cps, offs)
+    return plain_of_form(*normalise(cps, offs))
+
+
+def plain_of_form(cps: np.ndarray, offs: np.ndarray) -> cp.Flat:
+    """Comparison text of texts that are in their visual form already."""
     if len(cps) == 0:
         return cps, offs
     cps = _fold()[cps]
