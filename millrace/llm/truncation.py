@@ -190,7 +190,8 @@ def cut_examples(texts: list[str], limits: list[tuple[int, int]], seed: int = 11
             body = cut.rstrip()
             line = body.rsplit("\n", 1)[-1]
             # a cut that leaves a complete-looking text says nothing
-            if how >= 0.85 or not (looks_like_end(body[-1]) or line[:1] in "-*•—" or line[:1].isdigit()):
+            apostrophe = body[-1] in "'’" and body[-2:-1].isalpha()
+            if how >= 0.85 or apostrophe or not (looks_like_end(body[-1]) or line[:1] in "-*•—" or line[:1].isdigit()):
                 out.append(cut)
                 lim.append(at)
                 y.append(1)
