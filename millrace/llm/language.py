@@ -60,6 +60,16 @@ def is_placeholder(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")).isin(*PLACEHOLDERS)
 
 
+def bounded_sample(df: DataFrame, n: int, key: list[str], cols: list[str], usable: Column) -> list:
+    """At most ``n`` usable rows to train on, by the hash of their key.
+
+    The share read is set by the number of rows, so that about 4 n of them reach the final sort whatever the size.
+    """
+    every = max(1, df.count() // (4 * n))
+    some = df.withColumn("_h", F.xxhash64(*key)).where((F.pmod(F.col("_h"), F.lit(every)) == 0) & usable)
+    return some.orderBy("_h", *key).limit(n).select(*cols).collect()
+
+
 class Model:
     """Log likelihoods of hashed features under each language."""
 

@@ -12,7 +12,7 @@ answer, refusal, echo, foreign or unfinished; the tags' coverage of the response
     truncated       the last clause is unfinished
 
 A pair has the first that applies. A null or blank prompt has no language and cannot be copied. Training pairs are made
-from a sample of at most MAX_TRAIN pairs (the first by hash) by recombination: answers kept, prompts echoed whole or in
+from a sample of at most MAX_TRAIN pairs (by the hash of their key) by recombination: answers kept, prompts echoed whole or in
 part, answers of other prompts in other languages, refusals from seed sentences, and answers cut short.
 """
 
@@ -24,13 +24,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import codepoints as cp
 from millrace.llm import refusals as seeds
 from millrace.llm import truncation as cut_off
-from millrace.llm.language import CODES, NOTATIONS, PLACEHOLDERS, Model, viterbi
+from millrace.llm.language import CODES, NOTATIONS, PLACEHOLDERS, Model, bounded_sample, viterbi
 from millrace.llm.sentences import sentence_offsets
 from millrace.llm.visual_form import normalise, plain_of_form
 
@@ -351,9 +351,13 @@ def _detector(blob: bytes):
     return detect
 
 
-def is_empty(text) -> object:
-    bare = F.lower(F.trim(F.regexp_replace(text, r"[\s\x{85}\x{a0}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{2060}\x{3000}\x{feff}]+", " ")))
-    return text.isNull() | (bare == "") | bare.isin(*PLACEHOLDERS)
+_BLANK = r"[\s\x{85}\x{a0}\x{ad}\x{1680}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]*"
+
+
+def is_empty(text: Column) -> Column:
+    """Null, blank or a bare placeholder; the pattern is anchored, so that a text is not read beyond its first words."""
+    bare = "|".join(re.sub(r"([^\w])", r"\\\1", p) for p in PLACEHOLDERS)
+    return text.isNull() | text.rlike(rf"(?i)\A{_BLANK}(?:{bare})?{_BLANK}\z")
 
 
 def pair_defects(pairs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -361,7 +365,7 @@ def pair_defects(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     rows = samples.where(F.col("lang").isin(*CODES) & F.col("sample_text").isNotNull()).select("sample_text", "lang").limit(20_000).collect()
     lang = Model.train([r[0] for r in rows], [r[1] for r in rows], orders=(3,))
     live = pairs.where(~is_empty(F.col("response")))
-    picked = live.where(F.col("prompt").rlike(r"\S")).select("prompt", "response", F.xxhash64("response", "prompt").alias("h")).orderBy("h").limit(MAX_TRAIN).collect()
+    picked = bounded_sample(pairs, MAX_TRAIN, ["tab", "row_key"], ["prompt", "response"], ~is_empty(F.col("response")) & F.col("prompt").rlike(r"\S"))
     found = pairs.where(is_empty(F.col("response"))).select("tab", "row_key", F.lit("empty").alias("defect"))
     if not picked:
         return found

@@ -7,7 +7,7 @@ every record. Length limits come from a grouped aggregation over all rows: the g
 points and in bytes, where many of its rows have it.
 
 Null, blank and placeholder values are no cases; nor are complete texts that end in a list item, a signature or a symbol
-or just reach a limit. Trained on at most MAX_TRAIN values, the first by a hash of their text.
+or just reach a limit. Trained on at most MAX_TRAIN values, by the hash of their id.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import codepoints as cp
-from millrace.llm.language import is_placeholder
+from millrace.llm.language import bounded_sample, is_placeholder
 from millrace.llm.sentences import CLOSE, SPACE, STOP, _set
 from millrace.llm.visual_form import normalise
 from millrace.session import broadcast_if_small
@@ -256,7 +256,7 @@ def truncation_scores(df: DataFrame, id_col: str, text_col: str, source_col: str
     live = values.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S") & ~is_placeholder(F.col("text")))
     limits = broadcast_if_small(length_limits(live), 5_000)
     joined = live.join(limits, "source")
-    sample = joined.orderBy(F.xxhash64("text"), "id").limit(MAX_TRAIN).select("text", "char_limit", "byte_limit").collect()
+    sample = bounded_sample(joined, MAX_TRAIN, ["id"], ["text", "char_limit", "byte_limit"], F.lit(True))
     blob = pickle.dumps(train([r[0] for r in sample], [(r[1], r[2]) for r in sample]))
     scored = joined.select("id", "text", F.col("_source").alias("source"), "char_limit", "byte_limit").mapInArrow(_scorer(blob), "id bigint, source string, p double")
     dead = values.where(~(F.col("text").isNotNull() & F.col("text").rlike(r"\S") & ~is_placeholder(F.coalesce("text", F.lit("")))) | F.col("text").isNull())
