@@ -1,34 +1,282 @@
-"""Queries of the engine's own operators."""
+"""Queries of the engine's own operators over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.operators import shred
-from millrace.session import table
+from millrace.functions import text as X
+from millrace.operators import audit, augment, checker, dedup, gates, inference, metrics, sampling, shred, tagging, validators
+from millrace.operators.ranking import seeded
+from millrace.oracles import CHECK_ARGS, oracle_sql
+from millrace.plans import preprocess
+from millrace.session import broadcast_if_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
-_NESTED = {"added_constraint": "added_constraint", "rule_evaluate_dict": "rule_evaluate_dict", "added_constraint_from_llm": "added_constraint_from_llm"}
+QUERIES: dict[str, Query] = {}
+P, R, M, N = (F.col(c) for c in ("winner_prompt", "response_of_winner_prompt", "added_constraint", "added_constraint_num"))
+CATEGORIES = ["length_ok", "sentence_ok", "keyword_ok", "start_ok", "end_ok", "format_ok", "tone_ok", "style_ok", "role_ok"]
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.scalar_paths(shred.adjacency(table(spark, sf_dir, "constraint_records"), "rec_no", _NESTED))
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
 
 
-def _shredded(name: str) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shred.constraint_tables(table(spark, sf_dir, "constraint_records"))[name]
+def _over(name: str, tab: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(table(spark, sf_dir, tab))
 
-    query.__name__ = f"p2_{name}"
-    return query
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+def _text_query(name: str, tab: str, key: str, col: str, f: Callable[[Column], Column]) -> None:
+    _over(name, tab, lambda df: df.select(key, f(F.col(col)).alias("out")))
+
+
+def _listed(c: Column) -> Column:
+    return F.array_join(F.array_sort(c), "|")
+
+
+def detected(label: Column) -> Column:
+    """Stands for a language detector: the declared label where it is a plain code."""
+    return F.when(label.rlike("^[a-z]{2}$") & (label != "xx"), label)
+
+
+# Nested records
+
+
+_NESTED = {c: c for c in ("added_constraint", "rule_evaluate_dict", "added_constraint_from_llm")}
+_over("p2_found", "constraint_records", lambda df: shred.scalar_paths(shred.adjacency(df, "rec_no", _NESTED)))
+for _name in ("cells", "constraints", "rules", "parts", "values"):
+    _over(f"p2_{_name}", "constraint_records", lambda df, n=_name: shred.constraint_tables(df)[n])
+
+# Text functions
+
+_text_query("remove_html", "documents", "doc_id", "text", X.remove_html)
+_text_query("replace_emojis", "documents", "doc_id", "text", X.replace_emojis)
+_text_query("replace_unknown_chars", "instruction_records", "line_no", "winner_prompt", X.replace_unknown_chars)
+_text_query("normalize_symbols", "instruction_records", "line_no", "winner_prompt", X.normalize_symbols)
+_text_query("normalize_whitespace", "documents", "doc_id", "text", X.normalize_whitespace)
+_text_query("clean_text", "documents", "doc_id", "text", X.clean_text)
+_text_query("remove_stopwords", "documents", "doc_id", "text", X.remove_stopwords)
+_text_query("fingerprint", "documents", "doc_id", "text", X.fingerprint)
+_text_query("printable_ratio", "documents", "doc_id", "text", X.printable_share)
+_text_query("entities", "instruction_records", "line_no", "winner_prompt", lambda c: _listed(X.entities(c)))
+_text_query("mine_constraints", "instruction_records", "line_no", "winner_prompt", lambda c: F.array_join(X.mined_constraints(c), "|"))
+_text_query("safe_names", "instruction_records", "line_no", "source", X.safe_name)
+_text_query("chat_template", "instruction_records", "line_no", "winner_prompt", lambda c: F.concat(X.chat_llama(F.lit("Be brief."), c), X.chat_plain(c)))
+_over("shingles", "instruction_records", lambda df: df.select("line_no", X.shingles(P).alias("s")).select("line_no", F.size("s").cast("bigint").alias("n_shingles"), F.array_min("s").alias("first_shingle")))
+_over("word_counts", "documents", lambda df: df.where("text IS NOT NULL").select("doc_id", X.word_count(F.col("text")).cast("bigint").alias("n_words"), X.sentence_count(F.col("text")).cast("bigint").alias("n_sentences"), X.sentence_pieces(F.col("text")).cast("bigint").alias("n_pieces"), X.paragraph_count(F.col("text")).cast("bigint").alias("n_paragraphs")))
+_over("normalise_category", "instruction_records", lambda df: df.select(F.explode(F.map_keys(M)).alias("raw")).distinct().select("raw", X.normalise_category(F.col("raw")).alias("category")))
+_over("protected_tokens", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", _listed(augment.protected_tokens(P, M)).alias("tokens")))
+_over("constraint_tokens", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", _listed(augment.constraint_tokens(P, M)).alias("tokens")))
+
+
+@query
+def parse_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = lambda c: F.col(c).cast("int").cast("string")
+    whole = F.concat(F.lit('Verdict: {"style": '), ok("style_ok"), F.lit(', "topic": '), ok("tone_ok"), F.lit("} done"))
+    raw = F.when(F.col("score_id") % 4 == 0, F.concat(F.lit('{"style": '), ok("style_ok"), F.lit("}"))).when(F.col("score_id") % 4 == 1, F.lit("no verdict")).otherwise(whole)
+    out = table(spark, sf_dir, "cv_scores").select("score_id", X.judge_verdicts(raw, ["style", "topic"]).alias("v"))
+    return out.select("score_id", "v.style", "v.topic")
+
+
+@query
+def parse_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("score_id") % 4
+    raw = F.when(k == 0, " pass, all met").when(k == 1, "FAIL: tone").when(k == 2, "Perhaps")
+    return table(spark, sf_dir, "cv_scores").select("score_id", X.verdict(raw).alias("passed"))
+
+
+@query
+def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = broadcast_if_small(table(spark, sf_dir, "eval_prompts").select("id", "winner_prompt"))
+    rows = table(spark, sf_dir, "model_responses").where("response IS NOT NULL").join(prompts, "id")
+    return rows.select("resp_id", inference.judge_prompt(P, F.col("response"), F.col("model"), F.col("source")).alias("question"))
+
+
+# Gates
+
+
+_over("alias_projection", "instruction_records", lambda df: df.select("line_no", X.first_truthy(P, F.col("prompt_winner")).alias("prompt"), X.first_truthy(R, F.col("response_winner")).alias("response"), X.difficulty(F.coalesce(N, F.lit(0))).alias("difficulty"), F.coalesce("id", F.col("line_no").cast("string")).alias("key")))
+_over("quality_gates", "instruction_records", lambda df: df.select("line_no", F.coalesce(X.clean_text(P), F.lit("")).alias("p"), F.coalesce(X.clean_text(R), F.lit("")).alias("r")).select("line_no", (X.word_count(F.col("p")) >= gates.MIN_WORDS).alias("long_enough"), (X.printable_share(F.col("p")) >= gates.MIN_PRINTABLE).alias("printable"), (X.trim_ws(F.col("r")) != "").alias("answered")))
+_over("language_gate", "instruction_records", lambda df: df.select("line_no", (~gates.language_fails(detected(F.col("prompt_lang")))).alias("kept")))
+_over("constraint_integrity", "instruction_records", lambda df: df.select("line_no", gates.integrity(M, N).alias("reason")))
+_over("constraint_integrity_json", "constraint_records", lambda df: df.select("rec_no", gates.integrity_json(M).alias("reason")))
+_over("difficulty_levels", "instruction_records", lambda df: df.select("line_no", X.difficulty(N).alias("level")))
+_over("relation_compare", "eval_prompts", lambda df: df.select("id", X.word_count(P).alias("n"), F.posexplode("constraints").alias("pos", "c")).select("id", F.col("pos").cast("bigint").alias("pos"), X.compare(F.col("n"), F.col("c.target"), F.col("c.relation")).alias("met")))
+_over("sft_filter", "instruction_records", lambda df: df.where(inference.sft_rows(F.coalesce(P, F.lit("")), F.coalesce(R, F.lit("")), X.word_count, 60)).select("line_no"))
+_over("needs_judging", "model_responses", lambda df: df.where(inference.needs_judging(F.col("results"))).select("resp_id"))
+
+
+def _gated(df: DataFrame) -> DataFrame:
+    return preprocess.gated(df.withColumn("detected", detected(F.col("prompt_lang"))))
+
+
+_over("skip_reasons", "instruction_records", lambda df: _gated(df).select("line_no", "skip_reason"))
+_over("skip_funnel", "instruction_records", lambda df: gates.funnel(_gated(df)))
+_over("preprocess_kept", "instruction_records", lambda df: preprocess.kept(_gated(df)).select("line_no", "prompt", "response"))
+_over("preprocess_by_source", "instruction_records", lambda df: preprocess.by_source(_gated(df)))
+
+# Duplicates
+
+_over("exact_dedup", "documents", lambda df: dedup.first_seen(df.where("text IS NOT NULL").select("doc_id", "text"), "doc_id", X.fingerprint(F.col("text"))).select("doc_id", "kept"))
+_over("near_dup_pairs", "cv_records", lambda df: dedup.near_pairs(df.where("length(winner_prompt) > 0"), "row_no", P).select("a", "b", "similarity"))
+_over("near_dup", "cv_records", lambda df: dedup.near_dedup(df, "row_no", X.remove_stopwords(P)))
+
+# Audits
+
+_over("category_counts", "instruction_records", lambda df: audit.category_counts(df, M))
+_over("imbalance_audit", "instruction_records", lambda df: audit.imbalance(audit.category_counts(df, M)))
+_over("category_coverage", "instruction_records", lambda df: audit.category_coverage(df, M))
+_over("field_presence", "constraint_records", lambda df: audit.field_presence(df, F.col("rule_evaluate_dict")))
+_over("field_coverage", "instruction_records", lambda df: audit.field_coverage(df, ["id", "source", "winner_prompt", "prompt_lang", "response_winner", "response_of_winner_prompt", "response_lang", "augmentation_method"]))
+_over("length_stats", "instruction_records", lambda df: audit.length_stats(df, ["winner_prompt", "response_of_winner_prompt"]))
+_over("non_ascii_audit", "instruction_records", lambda df: audit.non_ascii_audit(df, ["winner_prompt", "response_of_winner_prompt"]))
+_over("top_chars", "instruction_records", lambda df: audit.top_chars(df, ["winner_prompt", "response_of_winner_prompt"]))
+
+# Tagging
+
+_over("constraint_counts", "instruction_records", lambda df: tagging.constraint_counts(df, "line_no", M))
+_over("assign_clusters", "instruction_records", lambda df: tagging.assign(df, "line_no", M).withColumn("categories", F.array_join("categories", "|")))
+_over("cluster_summary", "instruction_records", lambda df: tagging.distribution(tagging.assign(df, "line_no", M), "primary_cluster"))
+_over("type_count_dist", "instruction_records", lambda df: tagging.distribution(tagging.assign(df, "line_no", M), "num_constraint_types"))
+_over("top_labels", "instruction_records", lambda df: tagging.top_labels(tagging.assign(df, "line_no", M), "cluster_label", "line_no"))
+_over("level_by_cluster", "instruction_records", lambda df: tagging.assign(df, "line_no", M).join(df.select("line_no", X.difficulty(N).alias("level")), "line_no").groupBy("primary_cluster", "level").agg(F.count("*").alias("n")))
+
+
+# Checkers
+
+
+def _literal(kind: str) -> Column:
+    args = CHECK_ARGS[kind]
+    kw = args.get("keywords")
+    return F.struct(
+        F.lit(kind).alias("type"), F.lit(args.get("target")).cast("int").alias("target"), F.lit(args.get("relation")).cast("string").alias("relation"),
+        (F.array(*map(F.lit, kw)) if kw else F.lit(None)).cast("array<string>").alias("keywords"), F.lit(args.get("keyword")).cast("string").alias("keyword"), F.lit(args.get("value")).cast("string").alias("value"),
+    )
+
+
+for _kind in CHECK_ARGS:
+    _over("cc_" + _kind.split(":")[-1], "model_responses", lambda df, k=_kind: df.where("response IS NOT NULL").select("resp_id", checker.CHECKS[k](checker.facts(F.col("response")), _literal(k)).alias("passed")))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = broadcast_if_small(table(spark, sf_dir, "eval_prompts").select("id", "constraints"))
+    rows = table(spark, sf_dir, "model_responses").where("response IS NOT NULL").join(prompts, "id")
+    known = rows.select("resp_id", "difficulty_level", "constraints", checker.facts(F.col("response")).alias("facts"))
+    return known.select("resp_id", "difficulty_level", checker.check_all(F.col("facts"), F.col("constraints")).alias("x")).select("resp_id", "difficulty_level", "x.*")
+
+
+@query
+def cc_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).select("resp_id", F.posexplode("results").alias("pos", "r")).select("resp_id", F.col("pos").cast("bigint").alias("pos"), "r.type", "r.passed")
+
+
+@query
+def cc_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _checked(spark, sf_dir)
+    return out.select("resp_id", *(F.col(c).cast("bigint").alias(c) for c in ("num_constraints", "num_checked", "num_passed")), "per_constraint_csr", "hard_csr")
+
+
+# Validators
+
+
+def _ruled(df: DataFrame) -> DataFrame:
+    v = F.try_parse_json("rule_evaluate_dict")
+    response = F.coalesce(*(F.try_variant_get(v, f"$.{k}.func_input[0]", "string") for k in ("word_length", "keyword", "start_with", "end_with")), F.lit(""))
+    parsed = df.select("rec_no", validators.parsed_rules(F.col("rule_evaluate_dict")).alias("p"), response.alias("response"))
+    return parsed.withColumn("v", validators.rule_verdicts(F.col("response"), F.col("p")))
+
+
+_over("rule_parse", "constraint_records", lambda df: _ruled(df).select("rec_no", F.col("p.lo").cast("bigint").alias("lo"), F.col("p.hi").cast("bigint").alias("hi"), F.array_join(F.array_sort(F.transform(F.map_entries("p.keywords"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), "|").alias("keywords"), "p.start", "p.end"))
+_over("rule_scores", "constraint_records", lambda df: _ruled(df).select("rec_no", "v.*", validators.rule_score(F.col("v")).alias("score"), (1 - validators.rule_score(F.col("v"))).alias("loss")))
+_over("train_scores", "constraint_records", lambda df: _ruled(df).select("rec_no", *(F.col(f"v.{k}").cast("int").cast("double").alias(f"{k}_score") for k in validators.RULES), validators.rule_score(F.col("v"), 1.0).alias("score")))
+_over("judge_fallback", "constraint_records", lambda df: _ruled(df).select("rec_no", validators.with_fallback(F.when(F.col("rec_no") % 3 == 0, True).when(F.col("rec_no") % 3 == 1, False), F.col("v.length")).alias("x")).select("rec_no", "x.*"))
+_over("cv_validators", "instruction_records", lambda df: df.where("response_of_winner_prompt IS NOT NULL").select("line_no", "added_constraint", validators.category_facts(R).alias("f")).select("line_no", validators.category_verdicts(F.col("f"), M).alias("x")).select("line_no", "x.*"))
+
+
+@query
+def desc_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "constraint_records").where("added_constraint LIKE '[%'").select("rec_no", "id", F.from_json("added_constraint", "array<struct<type:string,constraint_type:string,description:string>>").alias("cs"))
+    firsts = table(spark, sf_dir, "instruction_records").groupBy("id").agg(F.min("line_no").alias("line_no"))
+    answers = table(spark, sf_dir, "instruction_records").join(firsts.select("line_no"), "line_no", "left_semi").select("id", F.coalesce(R, F.lit("")).alias("response"))
+    rows = cells.join(answers, "id").select("rec_no", "response", F.posexplode("cs").alias("pos", "c"))
+    kind = F.coalesce(F.nullif("c.type", F.lit("")), "c.constraint_type", F.lit(""))
+    text = F.coalesce("c.description", F.lit(""))
+    return rows.select("rec_no", F.col("pos").cast("bigint").alias("pos"), validators.described_tag(kind).alias("tag"), validators.described_score(F.col("response"), kind, text).alias("score"))
+
+
+@query
+def desc_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desc_validators(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"), (F.sum(F.col("score").cast("int")) / F.count("*")).alias("mean_score"))
+
+
+# Metrics
+
+_over("csr_by_level", "model_responses", lambda df: metrics.csr_by_level(df.withColumn("per_constraint_csr", F.col("per_constraint_csr").cast("decimal(18,9)"))).select("level", "n", F.col("mean_csr").cast("double").alias("mean_csr"), "hard_csr"))
+_over("pass_by_type", "model_responses", metrics.pass_by_type)
+_over("overall_loss", "model_responses", metrics.overall)
+_over("per_key_rates", "cv_scores", lambda df: metrics.per_key(df, CATEGORIES))
+_over("fold_means", "cv_scores", lambda df: metrics.fold_means(df, CATEGORIES))
+_over("fold_summary", "cv_scores", lambda df: metrics.fold_summary(df, CATEGORIES).withColumns({c: F.round(c, 9) for c in ("mean", "std")}))
+_over("fold_summary_pop", "cv_scores", lambda df: metrics.fold_summary(df, CATEGORIES, True).withColumns({c: F.round(c, 9) for c in ("mean", "std")}))
+_over("model_compare", "cv_scores", lambda df: metrics.compare_models(df, CATEGORIES, "lora", "full_ft").withColumns({c: F.round(c, 9) for c in ("mean_a", "mean_b")}))
+_over("constraint_hist", "model_responses", lambda df: df.groupBy("difficulty_level", "num_constraints").agg(F.count("*").alias("n")))
+
+
+def _judged(df: DataFrame) -> DataFrame:
+    return df.where(F.col("num_checked") > F.col("num_passed")).select("resp_id", F.col("num_checked").alias("num_passed"), F.lit(1.0).alias("per_constraint_csr"), F.lit(True).alias("hard_csr"))
+
+
+_over("override_merge", "model_responses", lambda df: metrics.override(df.select("resp_id", "model", "num_passed", "per_constraint_csr", "hard_csr"), _judged(df), "resp_id", ["num_passed", "per_constraint_csr", "hard_csr"]))
+_over("resume_anti_join", "model_responses", lambda df: inference.not_done(df.select("resp_id", "id"), df.where("hard_csr").select("id"), "id"))
+
+
+@query
+def judge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "model_responses")
+    merged = metrics.override(df, _judged(df), "resp_id", ["num_passed", "per_constraint_csr", "hard_csr"])
+    a, b = metrics.csr_by_level(df), metrics.csr_by_level(merged)
+    return a.select("level", F.col("hard_csr").alias("rule_hard_csr")).join(b.select("level", F.col("hard_csr").alias("judged_hard_csr")), "level")
+
+
+_over("judge_open_results", "model_responses", lambda df: inference.judge_open_results(df.where("response IS NOT NULL"), "resp_id", lambda r, t: F.when(F.length(r) % 2 == 0, "PASS").otherwise("FAIL")).select("resp_id", *(F.col(c).cast("bigint").alias(c) for c in ("num_constraints", "num_checked", "num_passed")), "hard_csr"))
+
+# Samples and folds
+
+_over("stable_shuffle", "cv_records", lambda df: sampling.shuffled(df.select("row_no"), "row_no").withColumn("position", F.col("position").cast("bigint")))
+_over("kfold_assign", "cv_records", lambda df: sampling.folds(df.select("row_no"), "row_no").withColumn("fold", F.col("fold").cast("bigint")))
+_over("fold_sample", "cv_records", lambda df: sampling.per_group(df.select("row_no", "fold"), "fold", "row_no", 20))
+_over("stratified_sample", "eval_prompts", lambda df: sampling.stratified(df.select("id", "difficulty_level"), "difficulty_level", "id", 100))
+_over("holdout_split", "cv_records", lambda df: sampling.holdout(df.select("row_no"), "row_no"))
+_over("head_sample", "instruction_records", lambda df: df.select("line_no", "id").orderBy("line_no").limit(100))
+
+# Augmentation
+
+_SYNONYMS = {"large": ["big", "great"], "quiet": ["calm", "still"], "old": ["ancient", "aged"], "letter": ["note"], "write": ["compose", "draft"], "report": ["account"], "keeps": ["holds"]}
+_over("random_deletion", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", "winner_prompt", augment.protected_tokens(P, M).alias("guard")).select("line_no", augment.random_deletion(P, F.col("guard"), F.col("line_no"), 0.1, 42).alias("prompt")))
+_over("lexical_edit", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", augment.lexical(P, augment.protected_tokens(P, M), F.col("line_no"), _SYNONYMS).alias("prompt")))
+_over("bt_verify", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", augment.preserved(F.replace(P, F.lit("the"), F.lit("THIS")), augment.constraint_tokens(P, M)).alias("preserved")))
+
+
+def _three(df: DataFrame) -> DataFrame:
+    rows = df.where("winner_prompt IS NOT NULL").select("id", "line_no", "winner_prompt", "added_constraint", "augmentation_method")
+    lex = augment.lexical_rows(rows, "winner_prompt", "added_constraint", _SYNONYMS)
+    bt = augment.verified_translation(rows, "winner_prompt", "added_constraint", F.upper(P), "xx")
+    return augment.threefold(rows, lex, bt)
+
+
+_over("augment_union", "instruction_records", lambda df: _three(df).select("line_no", F.col("aug_rank").cast("bigint").alias("aug_rank"), "id", "augmentation_method", "augmentation_intermediate_lang"))
+_over("aug_stats", "instruction_records", lambda df: _three(df).where("aug_rank = 2").agg(F.count("*").alias("total"), F.count_if("fell_back").alias("fell_back"), F.count_if(~F.col("fell_back")).alias("augmented")))
 
 
 def queries() -> dict[str, Query]:
-    out = [p2_found, *(_shredded(x) for x in ("cells", "constraints", "rules", "parts", "values"))]
-    return {f.__name__: f for f in out}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries", "seeded"]
