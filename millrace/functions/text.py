@@ -140,7 +140,7 @@ def non_ascii(c: Column) -> Column:
 
 
 def printable_share(c: Column) -> Column:
-    """Share of printable characters; 0 for an empty text."""
+    """Share of printable characters; 0 for an empty or null text."""
     return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[\p{C}\p{Z}&&[^ ]]", "")) / F.length(c)).otherwise(F.lit(0.0))
 
 
@@ -154,10 +154,19 @@ def mined_constraints(c: Column) -> Column:
     return F.concat(*(F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(0)) for p in K.MINED))
 
 
+def strict_json(c: Column) -> Column:
+    """The Variant of a text that is one JSON value and nothing else, or null.
+
+    Spark's parser ignores what follows the first value; inside an array and inside an object nothing can follow unseen.
+    """
+    listed, named = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(named.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def judge_verdicts(c: Column, keys: list[str]) -> Column:
     """Struct of 0/1 by key from the first {...} block of a judge's output; null unless it has all keys as numbers."""
     block = F.regexp_extract(c, r"(\{[^{}]+\})", 1)
-    v = F.try_parse_json(F.nullif(block, F.lit("")))
+    v = strict_json(F.nullif(block, F.lit("")))
     whole = [F.coalesce(F.try_variant_get(v, f"$.{k}", "int"), F.try_variant_get(v, f"$.{k}", "boolean").cast("int")) for k in keys]
     have = whole[0].isNotNull()
     for x in whole[1:]:

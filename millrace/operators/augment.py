@@ -121,11 +121,13 @@ def translated(col: Column, there: Translate, back: Translate, batch: int = 32)
     return trip(col)
 
 
-def verified_translation(df: DataFrame, prompt: str, m: str, candidate: Column, lang: str) -> DataFrame:
+def verified_translation(df: DataFrame, prompt: str, m: str, translation: Column, lang: str) -> DataFrame:
     """The translation where it is not blank and keeps all constraint tokens, else the prompt; id and tags always set."""
+    candidate = F.col("_candidate")
     ok = (X.trim_ws(candidate) != "") & preserved(candidate, constraint_tokens(F.col(prompt), F.col(m)))
     fell = ~F.coalesce(ok, F.lit(False))
-    return df.select(*(c for c in df.columns if c not in ("id", prompt, "augmentation_method")), F.concat(F.col("id").cast("string"), F.lit("_bt")).alias("id"), F.when(fell, F.col(prompt)).otherwise(candidate).alias(prompt), F.lit("back_translation").alias("augmentation_method"), F.lit(lang).alias("augmentation_intermediate_lang"), fell.alias("fell_back"))
+    # a column of its own: a translator in Python cannot stand inside the lambdas
+    return df.withColumn("_candidate", translation).select(*(c for c in df.columns if c not in ("id", prompt, "augmentation_method")), F.concat(F.col("id").cast("string"), F.lit("_bt")).alias("id"), F.when(fell, F.col(prompt)).otherwise(candidate).alias(prompt), F.lit("back_translation").alias("augmentation_method"), F.lit(lang).alias("augmentation_intermediate_lang"), fell.alias("fell_back"))
 
 
 def lexical_rows(df: DataFrame, prompt: str, m: str, synonyms: dict[str, list[str]], **options) -> DataFrame:

@@ -17,7 +17,7 @@ Check = Callable[[Column, Column], Column]
 
 
 def facts(response: Column) -> Column:
-    """What several checkers need of a response. Project it before check_all(), so that it is computed once a row."""
+    """What several checkers need of a response. Project it before results(), so that it is computed once a row."""
     body = X.trim_ws(response)
     return F.struct(response.alias("text"), F.lower(response).alias("low"), F.lower(body).alias("body"), X.word_count(response).alias("n_words"), X.sentence_count(response).alias("n_sentences"), X.paragraph_count(response).alias("n_paragraphs"))
 
@@ -77,14 +77,14 @@ def emphases(r: Column) -> Column:
 
 
 def _english(r: Column, c: Column) -> Column:
-    ws = X.words(r["text"])
-    share = F.size(F.filter(ws, lambda w: w.rlike(r"^[\x{0}-\x{7F}]*$"))) / F.size(ws)
-    return F.when(F.size(ws) == 0, True).otherwise(share > 0.8)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("ascii"))
+    step = lambda s, w: F.struct((s["n"] + 1).alias("n"), (s["ascii"] + w.rlike(r"^[\x{0}-\x{7F}]*$").cast("int")).alias("ascii"))
+    return F.aggregate(X.words(r["text"]), start, step, lambda s: F.when(s["n"] == 0, True).otherwise(s["ascii"] / s["n"] > 0.8))
 
 
 def _json(r: Column, c: Column) -> Column:
     body = X.trim_ws(r["text"])
-    return F.when(body == "", False).otherwise(F.try_parse_json(body).isNotNull() | body.isin("NaN", "Infinity", "-Infinity"))
+    return F.when(body == "", False).otherwise(X.strict_json(body).isNotNull() | body.isin("NaN", "Infinity", "-Infinity"))
 
 
 def _highlight(r: Column, c: Column) -> Column:
@@ -121,13 +121,13 @@ def check(response: Column, constraint: Column) -> Column:
     return out
 
 
-def check_all(response: Column, constraints: Column) -> Column:
-    """Struct of results (type, passed), counts, per_constraint_csr and hard_csr over a list of constraints."""
-    results = F.transform(F.coalesce(constraints, F.array()), lambda c: F.struct(c["type"].alias("type"), check(response, c).alias("passed")))
-    return report(results)
+def results(response: Column, constraints: Column) -> Column:
+    """Verdicts (type, passed) on a list of constraints. Project them before report(), which uses them several times."""
+    return F.transform(F.coalesce(constraints, F.array()), lambda c: F.struct(c["type"].alias("type"), check(response, c).alias("passed")))
 
 
 def report(results: Column) -> Column:
+    """Struct of the results, their counts, per_constraint_csr and hard_csr."""
     checked = F.size(F.filter(results, lambda x: x["passed"].isNotNull()))
     passed = F.size(F.filter(results, lambda x: F.coalesce(x["passed"], F.lit(False))))
     csr = F.when(checked > 0, passed / checked).otherwise(F.lit(0.0))

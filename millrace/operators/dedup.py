@@ -30,6 +30,13 @@ def first_seen(df: DataFrame, order: str, fingerprint: Column) -> DataFrame:
     return df.join(firsts, order, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def only_first(df: DataFrame, order: str, fingerprint: Column) -> DataFrame:
+    """The first row of each fingerprint, by a partial aggregate over whole rows: copies, however many, are dropped
+    before the shuffle, and the input is computed once."""
+    row = F.struct(order, *(c for c in df.columns if c != order))
+    return df.groupBy(fingerprint.alias("_fp")).agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*").select(*df.columns)
+
+
 def bands_for(threshold: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 

@@ -33,7 +33,7 @@ def integrity_json(cell: Column, stated: Column | None = None) -> Column:
     """The same for a cell of JSON text, where the shape itself may be wrong as well: missing (null, blank, not JSON, a
     JSON null or an empty object), not_object, bad_category (no list, or an empty one), blank_item (blank or no text),
     bad_count (the stated count is no integer), count_mismatch."""
-    v = F.try_parse_json(cell)
+    v = X.strict_json(cell)
     kind = F.schema_of_variant(v)
     is_object = F.startswith(kind, F.lit("OBJECT"))
     lists = F.try_variant_get(v, "$", "map<string,array<variant>>")

@@ -1,7 +1,8 @@
 """Problem 2: nested records shredded into an adjacency table and related flat tables.
 
-Every object, array and scalar of a cell is a node (rec_no, field, node, parent, label, ordinal, kind, scalar, path);
-node numbers follow the order of the document, so parents come before their parts. A text that is itself a JSON object
+Every object, array and scalar of a cell is a node (rec_no, field, cell, node, parent, label, ordinal, kind, scalar,
+path); node numbers follow the order of the document, so parents come before their parts; cell is a hash of the cell's
+text, which keeps rows of a repeated rec_no apart (equal rows give equal nodes, as often as they occur). A text that is itself a JSON object
 or array counts as that object or array, at any depth. Entity tables are joins of container nodes with the pivoted
 scalars of their children and keep ``parent`` and ``rec_no``.
 
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "rec_no bigint, field string, node int, parent int, label string, ordinal int, kind string, scalar string, path string"
-_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+NODES = "rec_no bigint, field string, cell bigint, node int, parent int, label string, ordinal int, kind string, scalar string, path string"
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
 
 class _Number(str):
@@ -90,14 +91,14 @@ def _batch(cols: list[list]) -> pa.RecordBatch:
 def _shredder(batches):
     for batch in batches:
         cols: list[list] = [[] for _ in _TYPES]
-        for rec, field, cell in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for rec, field, cell, number in zip(*(batch.column(i).to_pylist() for i in range(4))):
             try:
                 value = parse(cell)
             except ValueError:
                 continue
             # a cell that is a text is looked into once more by shred()
             for row in shred(value):
-                for col, x in zip(cols, (rec, field, *row)):
+                for col, x in zip(cols, (rec, field, number, *row)):
                     col.append(x)
             if len(cols[0]) > 50_000:
                 yield _batch(cols)
@@ -108,7 +109,7 @@ def _shredder(batches):
 def adjacency(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     """The adjacency table of the JSON cells ``fields`` (column -> name reported)."""
     cells = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.col(c).alias("cell")) for c, name in fields.items()))).alias("v")
-    rows = df.select(F.col(id_col).cast("bigint").alias("rec_no"), cells).select("rec_no", "v.*").where("cell IS NOT NULL")
+    rows = df.select(F.col(id_col).cast("bigint").alias("rec_no"), cells).select("rec_no", "v.*").where("cell IS NOT NULL").withColumn("number", F.xxhash64("cell"))
     return rows.mapInArrow(_shredder, NODES)
 
 
@@ -120,11 +121,11 @@ def scalar_paths(nodes: DataFrame) -> DataFrame:
 def entity(nodes: DataFrame, owners: DataFrame, labels: list[str]) -> DataFrame:
     """Container nodes ``owners`` joined with their scalar children, pivoted to one column per label.
 
-    The pivot is a partial aggregate on (rec_no, field, parent); containers without such children keep null columns.
+    The pivot is a partial aggregate on (rec_no, field, cell, parent); containers without such children keep null columns.
     """
-    parts = nodes.where(F.col("scalar").isNotNull() & F.col("label").isin(*labels)).groupBy("rec_no", "field", F.col("parent").alias("node"))
+    parts = nodes.where(F.col("scalar").isNotNull() & F.col("label").isin(*labels)).groupBy("rec_no", "field", "cell", F.col("parent").alias("node"))
     wide = parts.agg(*(F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(x) for x in labels))
-    return owners.join(wide, ["rec_no", "field", "node"], "left")
+    return owners.join(wide, ["rec_no", "field", "cell", "node"], "left")
 
 
 def constraint_tables(df: DataFrame) -> dict[str, DataFrame]:
@@ -135,20 +136,20 @@ def constraint_tables(df: DataFrame) -> dict[str, DataFrame]:
     rules        one per rule of rule_evaluate_dict
     parts        one per other container (terms, judges, checks, params, ...) with its scalars
     values       every scalar with its path
-    Each keeps rec_no, field, node and parent.
+    Each keeps rec_no, field, cell, node and parent.
     """
     nodes = adjacency(df, "rec_no", {"added_constraint": "added_constraint", "rule_evaluate_dict": "rule_evaluate_dict", "added_constraint_from_llm": "added_constraint_from_llm"})
     depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
     at = nodes.withColumn("depth", depth)
-    cells = at.where("parent IS NULL").select("rec_no", "field", "node", "kind")
-    roots = cells.select("rec_no", "field", F.col("node").alias("root"), F.col("kind").alias("root_kind"))
-    listed = at.where("field <> 'rule_evaluate_dict'").join(roots, ["rec_no", "field"])
+    cells = at.where("parent IS NULL").select("rec_no", "field", "cell", "node", "kind")
+    roots = cells.groupBy("rec_no", "field", "cell").agg(F.first("kind").alias("root_kind"))
+    listed = at.where("field <> 'rule_evaluate_dict'").join(roots, ["rec_no", "field", "cell"])
     # a constraint is an item under a category, the category's own scalar, or an object of a constraint list
     item = (F.col("root_kind") == "object") & (F.col("depth") == 2) & F.col("label").isNull() | (F.col("root_kind") == "object") & (F.col("depth") == 1) & F.col("scalar").isNotNull() | (F.col("root_kind") == "object") & (F.col("depth") == 3) & F.split("path", "/")[1].isin("items") | (F.col("root_kind") == "array") & (F.col("depth") == 1)
-    owners = listed.where(item).select("rec_no", "field", "node", "parent", "ordinal", "path", "scalar", F.when(F.col("root_kind") == "object", F.split("path", "/")[0]).alias("key"))
+    owners = listed.where(item).select("rec_no", "field", "cell", "node", "parent", "ordinal", "path", "scalar", F.when(F.col("root_kind") == "object", F.split("path", "/")[0]).alias("key"))
     wide = entity(nodes, owners, ["type", "constraint_type", "text", "description"])
-    constraints = wide.select("rec_no", "field", "node", "parent", "ordinal", F.coalesce("type", "constraint_type", "key").alias("category"), F.coalesce("scalar", "text", "description").alias("body"), "path")
-    rules = at.where("field = 'rule_evaluate_dict' AND depth = 1 AND kind <> 'null'").select("rec_no", "field", "node", "parent", "ordinal", F.col("label").alias("rule"), "kind", "path")
-    parts = entity(nodes, at.where("kind IN ('object', 'array') AND depth >= 2").select("rec_no", "field", "node", "parent", "label", "ordinal", "kind", "path"), ["word", "count", "model", "name", "ok", "tool", "round", "by"])
-    values = nodes.where("scalar IS NOT NULL").select("rec_no", "field", "node", "parent", "label", "ordinal", "kind", "scalar", "path")
+    constraints = wide.select("rec_no", "field", "cell", "node", "parent", "ordinal", F.coalesce("type", "constraint_type", "key").alias("category"), F.coalesce("scalar", "text", "description").alias("body"), "path")
+    rules = at.where("field = 'rule_evaluate_dict' AND depth = 1 AND kind <> 'null'").select("rec_no", "field", "cell", "node", "parent", "ordinal", F.col("label").alias("rule"), "kind", "path")
+    parts = entity(nodes, at.where("kind IN ('object', 'array') AND depth >= 2").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "path"), ["word", "count", "model", "name", "ok", "tool", "round", "by"])
+    values = nodes.where("scalar IS NOT NULL").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "scalar", "path")
     return {"cells": cells, "constraints": constraints, "rules": rules, "parts": parts, "values": values}

@@ -17,7 +17,7 @@ from millrace.functions import text as X
 
 def parsed_rules(rules: Column) -> Column:
     """Struct (lo, hi, keywords, start, end) of a rule dictionary (JSON text); what is missing or malformed is null."""
-    v = F.try_parse_json(rules)
+    v = X.strict_json(rules)
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     text_only = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", get(path, "string"))
     pair = get("$.word_length.func_input[1]", "array<int>")

@@ -18,14 +18,18 @@ def gated(df: DataFrame) -> DataFrame:
 def kept(gated_rows: DataFrame, order: str = "line_no") -> DataFrame:
     """Rows that pass all gates and are the first of their prompt without stop words."""
     live = gated_rows.where("skip_reason IS NULL").select(order, "source", "prompt", "response")
-    return dedup.first_seen(live, order, X.fingerprint(X.remove_stopwords(F.col("prompt")))).where("kept").drop("kept")
+    return dedup.only_first(live, order, X.fingerprint(X.remove_stopwords(F.col("prompt"))))
 
 
 def by_source(gated_rows: DataFrame, order: str = "line_no") -> DataFrame:
     """Per source: rows, rows that pass the gates, and rows kept after removing duplicates."""
-    live = gated_rows.select(order, "source", "skip_reason", X.fingerprint(X.remove_stopwords(F.col("prompt"))).alias("fp"))
-    firsts = live.where("skip_reason IS NULL").groupBy("fp").agg(F.min(order).alias(order)).select(order, F.lit(True).alias("first"))
-    return live.join(firsts, order, "left").groupBy("source").agg(F.count("*").alias("n_rows"), F.count_if(F.col("skip_reason").isNull()).alias("n_passed"), F.count("first").alias("n_kept"))
+    ok = F.col("skip_reason").isNull()
+    fp = F.when(ok, X.fingerprint(X.remove_stopwords(F.col("prompt"))))
+    per = gated_rows.groupBy("source", fp.alias("fp")).agg(F.count("*").alias("n"), F.count_if(ok).alias("p"), F.min(F.when(ok, F.col(order))).alias("o"))
+    firsts = per.where("fp IS NOT NULL").groupBy("fp").agg(F.min_by("source", "o").alias("source")).groupBy("source").agg(F.count("*").alias("n_kept"))
+    whole = per.groupBy("source").agg(F.sum("n").alias("n_rows"), F.sum("p").alias("n_passed"))
+    match = whole["source"].eqNullSafe(firsts["source"])
+    return whole.join(firsts, match, "left").select(whole["source"], "n_rows", "n_passed", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
 def run(df: DataFrame, threshold: float = 0.85, order: str = "line_no") -> DataFrame:

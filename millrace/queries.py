@@ -16,7 +16,6 @@ from millrace.session import broadcast_if_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-P, R, M, N = (F.col(c) for c in ("winner_prompt", "response_of_winner_prompt", "added_constraint", "added_constraint_num"))
 CATEGORIES = ["length_ok", "sentence_ok", "keyword_ok", "start_ok", "end_ok", "format_ok", "tone_ok", "style_ok", "role_ok"]
 
 
@@ -69,11 +68,11 @@ _text_query("entities", "instruction_records", "line_no", "winner_prompt", lambd
 _text_query("mine_constraints", "instruction_records", "line_no", "winner_prompt", lambda c: F.array_join(X.mined_constraints(c), "|"))
 _text_query("safe_names", "instruction_records", "line_no", "source", X.safe_name)
 _text_query("chat_template", "instruction_records", "line_no", "winner_prompt", lambda c: F.concat(X.chat_llama(F.lit("Be brief."), c), X.chat_plain(c)))
-_over("shingles", "instruction_records", lambda df: df.select("line_no", X.shingles(P).alias("s")).select("line_no", F.size("s").cast("bigint").alias("n_shingles"), F.array_min("s").alias("first_shingle")))
+_over("shingles", "instruction_records", lambda df: df.select("line_no", X.shingles(F.col("winner_prompt")).alias("s")).select("line_no", F.size("s").cast("bigint").alias("n_shingles"), F.array_min("s").alias("first_shingle")))
 _over("word_counts", "documents", lambda df: df.where("text IS NOT NULL").select("doc_id", X.word_count(F.col("text")).cast("bigint").alias("n_words"), X.sentence_count(F.col("text")).cast("bigint").alias("n_sentences"), X.sentence_pieces(F.col("text")).cast("bigint").alias("n_pieces"), X.paragraph_count(F.col("text")).cast("bigint").alias("n_paragraphs")))
-_over("normalise_category", "instruction_records", lambda df: df.select(F.explode(F.map_keys(M)).alias("raw")).distinct().select("raw", X.normalise_category(F.col("raw")).alias("category")))
-_over("protected_tokens", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", _listed(augment.protected_tokens(P, M)).alias("tokens")))
-_over("constraint_tokens", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", _listed(augment.constraint_tokens(P, M)).alias("tokens")))
+_over("normalise_category", "instruction_records", lambda df: df.select(F.explode(F.map_keys(F.col("added_constraint"))).alias("raw")).distinct().select("raw", X.normalise_category(F.col("raw")).alias("category")))
+_over("protected_tokens", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", _listed(augment.protected_tokens(F.col("winner_prompt"), F.col("added_constraint"))).alias("tokens")))
+_over("constraint_tokens", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", _listed(augment.constraint_tokens(F.col("winner_prompt"), F.col("added_constraint"))).alias("tokens")))
 
 
 @query
@@ -96,20 +95,20 @@ def parse_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = broadcast_if_small(table(spark, sf_dir, "eval_prompts").select("id", "winner_prompt"))
     rows = table(spark, sf_dir, "model_responses").where("response IS NOT NULL").join(prompts, "id")
-    return rows.select("resp_id", inference.judge_prompt(P, F.col("response"), F.col("model"), F.col("source")).alias("question"))
+    return rows.select("resp_id", inference.judge_prompt(F.col("winner_prompt"), F.col("response"), F.col("model"), F.col("source")).alias("question"))
 
 
 # Gates
 
 
-_over("alias_projection", "instruction_records", lambda df: df.select("line_no", X.first_truthy(P, F.col("prompt_winner")).alias("prompt"), X.first_truthy(R, F.col("response_winner")).alias("response"), X.difficulty(F.coalesce(N, F.lit(0))).alias("difficulty"), F.coalesce("id", F.col("line_no").cast("string")).alias("key")))
-_over("quality_gates", "instruction_records", lambda df: df.select("line_no", F.coalesce(X.clean_text(P), F.lit("")).alias("p"), F.coalesce(X.clean_text(R), F.lit("")).alias("r")).select("line_no", (X.word_count(F.col("p")) >= gates.MIN_WORDS).alias("long_enough"), (X.printable_share(F.col("p")) >= gates.MIN_PRINTABLE).alias("printable"), (X.trim_ws(F.col("r")) != "").alias("answered")))
+_over("alias_projection", "instruction_records", lambda df: df.select("line_no", X.first_truthy(F.col("winner_prompt"), F.col("prompt_winner")).alias("prompt"), X.first_truthy(F.col("response_of_winner_prompt"), F.col("response_winner")).alias("response"), X.difficulty(F.coalesce(F.col("added_constraint_num"), F.lit(0))).alias("difficulty"), F.coalesce("id", F.col("line_no").cast("string")).alias("key")))
+_over("quality_gates", "instruction_records", lambda df: df.select("line_no", F.coalesce(X.clean_text(F.col("winner_prompt")), F.lit("")).alias("p"), F.coalesce(X.clean_text(F.col("response_of_winner_prompt")), F.lit("")).alias("r")).select("line_no", (X.word_count(F.col("p")) >= gates.MIN_WORDS).alias("long_enough"), (X.printable_share(F.col("p")) >= gates.MIN_PRINTABLE).alias("printable"), (X.trim_ws(F.col("r")) != "").alias("answered")))
 _over("language_gate", "instruction_records", lambda df: df.select("line_no", (~gates.language_fails(detected(F.col("prompt_lang")))).alias("kept")))
-_over("constraint_integrity", "instruction_records", lambda df: df.select("line_no", gates.integrity(M, N).alias("reason")))
-_over("constraint_integrity_json", "constraint_records", lambda df: df.select("rec_no", gates.integrity_json(M).alias("reason")))
-_over("difficulty_levels", "instruction_records", lambda df: df.select("line_no", X.difficulty(N).alias("level")))
-_over("relation_compare", "eval_prompts", lambda df: df.select("id", X.word_count(P).alias("n"), F.posexplode("constraints").alias("pos", "c")).select("id", F.col("pos").cast("bigint").alias("pos"), X.compare(F.col("n"), F.col("c.target"), F.col("c.relation")).alias("met")))
-_over("sft_filter", "instruction_records", lambda df: df.where(inference.sft_rows(F.coalesce(P, F.lit("")), F.coalesce(R, F.lit("")), X.word_count, 60)).select("line_no"))
+_over("constraint_integrity", "instruction_records", lambda df: df.select("line_no", gates.integrity(F.col("added_constraint"), F.col("added_constraint_num")).alias("reason")))
+_over("constraint_integrity_json", "constraint_records", lambda df: df.select("rec_no", gates.integrity_json(F.col("added_constraint")).alias("reason")))
+_over("difficulty_levels", "instruction_records", lambda df: df.select("line_no", X.difficulty(F.col("added_constraint_num")).alias("level")))
+_over("relation_compare", "eval_prompts", lambda df: df.select("id", X.word_count(F.col("winner_prompt")).alias("n"), F.posexplode("constraints").alias("pos", "c")).select("id", F.col("pos").cast("bigint").alias("pos"), X.compare(F.col("n"), F.col("c.target"), F.col("c.relation")).alias("met")))
+_over("sft_filter", "instruction_records", lambda df: df.where(inference.sft_rows(F.coalesce(F.col("winner_prompt"), F.lit("")), F.coalesce(F.col("response_of_winner_prompt"), F.lit("")), X.word_count, 60)).select("line_no"))
 _over("needs_judging", "model_responses", lambda df: df.where(inference.needs_judging(F.col("results"))).select("resp_id"))
 
 
@@ -125,14 +124,14 @@ _over("preprocess_by_source", "instruction_records", lambda df: preprocess.by_so
 # Duplicates
 
 _over("exact_dedup", "documents", lambda df: dedup.first_seen(df.where("text IS NOT NULL").select("doc_id", "text"), "doc_id", X.fingerprint(F.col("text"))).select("doc_id", "kept"))
-_over("near_dup_pairs", "cv_records", lambda df: dedup.near_pairs(df.where("length(winner_prompt) > 0"), "row_no", P).select("a", "b", "similarity"))
-_over("near_dup", "cv_records", lambda df: dedup.near_dedup(df, "row_no", X.remove_stopwords(P)))
+_over("near_dup_pairs", "cv_records", lambda df: dedup.near_pairs(df.where("length(winner_prompt) > 0"), "row_no", F.col("winner_prompt")).select("a", "b", "similarity"))
+_over("near_dup", "cv_records", lambda df: dedup.near_dedup(df, "row_no", X.remove_stopwords(F.col("winner_prompt"))))
 
 # Audits
 
-_over("category_counts", "instruction_records", lambda df: audit.category_counts(df, M))
-_over("imbalance_audit", "instruction_records", lambda df: audit.imbalance(audit.category_counts(df, M)))
-_over("category_coverage", "instruction_records", lambda df: audit.category_coverage(df, M))
+_over("category_counts", "instruction_records", lambda df: audit.category_counts(df, F.col("added_constraint")))
+_over("imbalance_audit", "instruction_records", lambda df: audit.imbalance(audit.category_counts(df, F.col("added_constraint"))))
+_over("category_coverage", "instruction_records", lambda df: audit.category_coverage(df, F.col("added_constraint")))
 _over("field_presence", "constraint_records", lambda df: audit.field_presence(df, F.col("rule_evaluate_dict")))
 _over("field_coverage", "instruction_records", lambda df: audit.field_coverage(df, ["id", "source", "winner_prompt", "prompt_lang", "response_winner", "response_of_winner_prompt", "response_lang", "augmentation_method"]))
 _over("length_stats", "instruction_records", lambda df: audit.length_stats(df, ["winner_prompt", "response_of_winner_prompt"]))
@@ -141,12 +140,12 @@ _over("top_chars", "instruction_records", lambda df: audit.top_chars(df, ["winne
 
 # Tagging
 
-_over("constraint_counts", "instruction_records", lambda df: tagging.constraint_counts(df, "line_no", M))
-_over("assign_clusters", "instruction_records", lambda df: tagging.assign(df, "line_no", M).withColumn("categories", F.array_join("categories", "|")))
-_over("cluster_summary", "instruction_records", lambda df: tagging.distribution(tagging.assign(df, "line_no", M), "primary_cluster"))
-_over("type_count_dist", "instruction_records", lambda df: tagging.distribution(tagging.assign(df, "line_no", M), "num_constraint_types"))
-_over("top_labels", "instruction_records", lambda df: tagging.top_labels(tagging.assign(df, "line_no", M), "cluster_label", "line_no"))
-_over("level_by_cluster", "instruction_records", lambda df: tagging.assign(df, "line_no", M).join(df.select("line_no", X.difficulty(N).alias("level")), "line_no").groupBy("primary_cluster", "level").agg(F.count("*").alias("n")))
+_over("constraint_counts", "instruction_records", lambda df: tagging.constraint_counts(df, "line_no", F.col("added_constraint")))
+_over("assign_clusters", "instruction_records", lambda df: tagging.assign(df, "line_no", F.col("added_constraint")).withColumn("categories", F.array_join("categories", "|")))
+_over("cluster_summary", "instruction_records", lambda df: tagging.distribution(tagging.assign(df, "line_no", F.col("added_constraint")), "primary_cluster"))
+_over("type_count_dist", "instruction_records", lambda df: tagging.distribution(tagging.assign(df, "line_no", F.col("added_constraint")), "num_constraint_types"))
+_over("top_labels", "instruction_records", lambda df: tagging.top_labels(tagging.assign(df, "line_no", F.col("added_constraint")), "cluster_label", "line_no"))
+_over("level_by_cluster", "instruction_records", lambda df: tagging.assign(df, "line_no", F.col("added_constraint")).join(df.select("line_no", X.difficulty(F.col("added_constraint_num")).alias("level")), "line_no").groupBy("primary_cluster", "level").agg(F.count("*").alias("n")))
 
 
 # Checkers
@@ -169,7 +168,8 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = broadcast_if_small(table(spark, sf_dir, "eval_prompts").select("id", "constraints"))
     rows = table(spark, sf_dir, "model_responses").where("response IS NOT NULL").join(prompts, "id")
     known = rows.select("resp_id", "difficulty_level", "constraints", checker.facts(F.col("response")).alias("facts"))
-    return known.select("resp_id", "difficulty_level", checker.check_all(F.col("facts"), F.col("constraints")).alias("x")).select("resp_id", "difficulty_level", "x.*")
+    judged = known.select("resp_id", "difficulty_level", checker.results(F.col("facts"), F.col("constraints")).alias("results"))
+    return judged.select("resp_id", "difficulty_level", checker.report(F.col("results")).alias("x")).select("resp_id", "difficulty_level", "x.*")
 
 
 @query
@@ -197,14 +197,14 @@ _over("rule_parse", "constraint_records", lambda df: _ruled(df).select("rec_no",
 _over("rule_scores", "constraint_records", lambda df: _ruled(df).select("rec_no", "v.*", validators.rule_score(F.col("v")).alias("score"), (1 - validators.rule_score(F.col("v"))).alias("loss")))
 _over("train_scores", "constraint_records", lambda df: _ruled(df).select("rec_no", *(F.col(f"v.{k}").cast("int").cast("double").alias(f"{k}_score") for k in validators.RULES), validators.rule_score(F.col("v"), 1.0).alias("score")))
 _over("judge_fallback", "constraint_records", lambda df: _ruled(df).select("rec_no", validators.with_fallback(F.when(F.col("rec_no") % 3 == 0, True).when(F.col("rec_no") % 3 == 1, False), F.col("v.length")).alias("x")).select("rec_no", "x.*"))
-_over("cv_validators", "instruction_records", lambda df: df.where("response_of_winner_prompt IS NOT NULL").select("line_no", "added_constraint", validators.category_facts(R).alias("f")).select("line_no", validators.category_verdicts(F.col("f"), M).alias("x")).select("line_no", "x.*"))
+_over("cv_validators", "instruction_records", lambda df: df.where("response_of_winner_prompt IS NOT NULL").select("line_no", "added_constraint", validators.category_facts(F.col("response_of_winner_prompt")).alias("f")).select("line_no", validators.category_verdicts(F.col("f"), F.col("added_constraint")).alias("x")).select("line_no", "x.*"))
 
 
 @query
 def desc_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "constraint_records").where("added_constraint LIKE '[%'").select("rec_no", "id", F.from_json("added_constraint", "array<struct<type:string,constraint_type:string,description:string>>").alias("cs"))
     firsts = table(spark, sf_dir, "instruction_records").groupBy("id").agg(F.min("line_no").alias("line_no"))
-    answers = table(spark, sf_dir, "instruction_records").join(firsts.select("line_no"), "line_no", "left_semi").select("id", F.coalesce(R, F.lit("")).alias("response"))
+    answers = table(spark, sf_dir, "instruction_records").join(firsts.select("line_no"), "line_no", "left_semi").select("id", F.coalesce(F.col("response_of_winner_prompt"), F.lit("")).alias("response"))
     rows = cells.join(answers, "id").select("rec_no", "response", F.posexplode("cs").alias("pos", "c"))
     kind = F.coalesce(F.nullif("c.type", F.lit("")), "c.constraint_type", F.lit(""))
     text = F.coalesce("c.description", F.lit(""))
@@ -259,15 +259,15 @@ _over("head_sample", "instruction_records", lambda df: df.select("line_no", "id"
 # Augmentation
 
 _SYNONYMS = {"large": ["big", "great"], "quiet": ["calm", "still"], "old": ["ancient", "aged"], "letter": ["note"], "write": ["compose", "draft"], "report": ["account"], "keeps": ["holds"]}
-_over("random_deletion", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", "winner_prompt", augment.protected_tokens(P, M).alias("guard")).select("line_no", augment.random_deletion(P, F.col("guard"), F.col("line_no"), 0.1, 42).alias("prompt")))
-_over("lexical_edit", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", augment.lexical(P, augment.protected_tokens(P, M), F.col("line_no"), _SYNONYMS).alias("prompt")))
-_over("bt_verify", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", augment.preserved(F.replace(P, F.lit("the"), F.lit("THIS")), augment.constraint_tokens(P, M)).alias("preserved")))
+_over("random_deletion", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", "winner_prompt", augment.protected_tokens(F.col("winner_prompt"), F.col("added_constraint")).alias("guard")).select("line_no", augment.random_deletion(F.col("winner_prompt"), F.col("guard"), F.col("line_no"), 0.1, 42).alias("prompt")))
+_over("lexical_edit", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", augment.lexical(F.col("winner_prompt"), augment.protected_tokens(F.col("winner_prompt"), F.col("added_constraint")), F.col("line_no"), _SYNONYMS).alias("prompt")))
+_over("bt_verify", "instruction_records", lambda df: df.where("winner_prompt IS NOT NULL").select("line_no", augment.preserved(F.replace(F.col("winner_prompt"), F.lit("the"), F.lit("THIS")), augment.constraint_tokens(F.col("winner_prompt"), F.col("added_constraint"))).alias("preserved")))
 
 
 def _three(df: DataFrame) -> DataFrame:
     rows = df.where("winner_prompt IS NOT NULL").select("id", "line_no", "winner_prompt", "added_constraint", "augmentation_method")
     lex = augment.lexical_rows(rows, "winner_prompt", "added_constraint", _SYNONYMS)
-    bt = augment.verified_translation(rows, "winner_prompt", "added_constraint", F.upper(P), "xx")
+    bt = augment.verified_translation(rows, "winner_prompt", "added_constraint", F.upper(F.col("winner_prompt")), "xx")
     return augment.threefold(rows, lex, bt)
 
 
