@@ -61,12 +61,12 @@ class Offsets:
 
 def cuts(off: Offsets, max_tokens: int, overlap: int) -> list[tuple[int, int, str]]:
     """(first token, token after the last, kind of boundary it ends at) of each piece."""
-    if max_tokens < 8 or not 0 <= overlap <= max_tokens // 2:
-        raise ValueError("a limit of at least 8 tokens and an overlap of at most half of it are needed")
+    if max_tokens < 16 or not 0 <= overlap <= max_tokens // 2:
+        raise ValueError("a limit of at least 16 tokens and an overlap of at most half of it are needed")
     bounds, out, start, done = off.bounds(), [], 0, 0
     while off.n - start > max_tokens:
         limit = start + max_tokens
-        least = max(done, start + overlap)  # each piece goes beyond the one before
+        least = max(done, start + overlap + 3)  # each piece goes beyond the one before; a character has four tokens at most
         end, kind = -1, "hard"
         for name, places in zip(KINDS, bounds):
             floor = least if name == "word" else max(least, start + max_tokens // 2)
@@ -79,17 +79,22 @@ def cuts(off: Offsets, max_tokens: int, overlap: int) -> list[tuple[int, int, st
             if end <= least:
                 raise ValueError("no character ends within the limit")
         out.append((start, end, kind))
-        done, back = end, end - overlap
-        if overlap:
-            while back > start and (off.char[back] < 0 or off.text[off.char[back]] in "'’"):
-                back -= 1
-            if back <= start:
-                back = end
-        start = back
+        done = end
+        start = _begin(off, start, end - overlap) if overlap else end
     out.append((start, off.n, "end"))
     return out
 
 
+def _begin(off: Offsets, start: int, at: int) -> int:
+    """The token at or before ``at`` that begins a character; not an apostrophe, which would part differently there."""
+    while off.char[at] < 0:
+        at -= 1
+    back = at
+    while back > start and (off.char[back] < 0 or off.text[off.char[back]] in "'’"):
+        back -= 1
+    return back if back > start else at
+
+
 def split_texts(df: DataFrame, id_col: str, text_col: str, profiles: list[tuple[str, int, int]], path: str = DEFAULT_PATH) -> DataFrame:
     """Pieces of every text over the limit of a profile (name, max_tokens, overlap_tokens)."""
 

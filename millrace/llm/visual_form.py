@@ -127,9 +127,9 @@ def _compose(t: dict, cps: np.ndarray, offs: np.ndarray) -> cp.Flat:
         run = np.cumsum(head) - 1
         begin = np.flatnonzero(head)
         extent = np.diff(np.append(begin, len(cps)))
-        long = extent > 2
+        long = (extent > 2) | (extent > 1) & (ccc[begin] > 0)
         if long.any():  # canonical order within a run of marks, stable
-            at = np.flatnonzero(long[run] & ~head)
+            at = np.flatnonzero(long[run] & (ccc > 0))
             order = np.lexsort((np.arange(len(at)), ccc[at], run[at]))
             cps = cps.copy()
             cps[at] = cps[at][order]
