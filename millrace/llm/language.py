@@ -151,6 +151,15 @@ def train_from(samples: DataFrame, lang_col: str = "lang", text_col: str = "samp
     return Model.train([r[1] for r in rows], [r[0] for r in rows])
 
 
+@functools.cache
+def _digits() -> np.ndarray:
+    import unicodedata
+
+    out = np.zeros(0x110000, bool)
+    out[[c for c in range(0x20000) if unicodedata.category(chr(c))[0] == "N"]] = True
+    return out
+
+
 def _word_counts(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.diff(cp.word_hashes(cps, offs)[1])
 
@@ -192,7 +201,8 @@ def fuse(model: Model, texts: pa.Array, prior: np.ndarray, declared: np.ndarray)
     lang = label[at].astype(np.int64)
     seg_row = row[at]
     number = np.arange(len(at)) - np.searchsorted(seg_row, seg_row)
-    letters = np.add.reduceat(np.diff(po), at)
+    spelt = np.concatenate([[0], np.cumsum((pc != 32) & ~_digits()[pc])])
+    letters = np.add.reduceat(np.diff(spelt[po]), at)
     by_row = np.bincount(seg_row, letters, len(offs) - 1)
     ok = by_row[seg_row] > 0
     ends = np.append(starts[:-1][at][1:], starts[-1])

@@ -36,6 +36,7 @@ from millrace.llm.visual_form import normalise, plain_of_form
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
+WORDED = [REFUSAL, ECHO]  # the tags that words speak for or against
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 MAX_TRAIN = 2_500
 BITS = 14
@@ -132,8 +133,7 @@ class Clauses:
         n_words = self.woffs[-1]
         out = self.dense @ w["dense"]
         by_word = (_sums(w["hashed"][self.hashed[:n_words]], self.woffs) + _sums(w["hashed"][self.hashed[n_words:]], self.paoffs)) / 2
-        out[:, :UNFINISHED] += by_word
-        out[:, UNFINISHED] += by_word[:, ANSWER]  # an unfinished clause has the words of an answer
+        out[:, WORDED] += by_word  # foreign and unfinished clauses have the words of an answer
         out[:, UNFINISHED] = np.where(self.dense[:, 7] > 0, out[:, UNFINISHED], -30)
         some = np.diff(self.first) > 0
         out[self.first[:-1][some]] += w["start"]
@@ -168,7 +168,7 @@ def _sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def fit_crf(c: Clauses, tags: np.ndarray, rounds: int = 60, rate: float = 0.15, l2: float = 2e-4) -> dict[str, np.ndarray]:
     """Maximum likelihood of the tag sequences by forward-backward and Adam."""
     k = len(TAGS)
-    w = {"dense": np.zeros((N_DENSE, k), np.float32), "hashed": np.zeros((1 << BITS, k - 1), np.float32), "start": np.zeros(k, np.float32), "move": np.zeros((k, k), np.float32)}
+    w = {"dense": np.zeros((N_DENSE, k), np.float32), "hashed": np.zeros((1 << BITS, len(WORDED)), np.float32), "start": np.zeros(k, np.float32), "move": np.zeros((k, k), np.float32)}
     m, v = ({key: np.zeros_like(x) for key, x in w.items()} for _ in range(2))
     first, lens = c.first, np.diff(c.first)
     n_rows, top = len(lens), int(lens.max(initial=0))
@@ -196,11 +196,9 @@ def fit_crf(c: Clauses, tags: np.ndarray, rounds: int = 60, rate: float = 0.15,
         prev = follows - 1
         both = np.exp(alpha[prev][:, :, None] + move[None] + (e[follows] + beta[follows])[:, None, :] - z[c.row[follows]][:, None, None]).sum(0)
         g = {"dense": c.dense.T @ diff, "start": diff[first[:-1][some]].sum(0), "move": ((both - gold_move) / n_rows).astype(np.float32)}
-        shared = diff[:, :UNFINISHED].copy()
-        shared[:, ANSWER] += diff[:, UNFINISHED]
-        g["hashed"] = np.stack([np.bincount(c.hashed, shared[owner, j] / 2, 1 << BITS) for j in range(k - 1)], 1).astype(np.float32)
+        g["hashed"] = np.stack([np.bincount(c.hashed, diff[owner, j] / 2, 1 << BITS) for j in WORDED], 1).astype(np.float32)
         for key in w:
-            g[key] += l2 * w[key] * (0.02 if key == "hashed" else 1)
+            g[key] += l2 * w[key] * (1 if key == "hashed" else 0.5)
             m[key] = 0.9 * m[key] + 0.1 * g[key]
             v[key] = 0.99 * v[key] + 0.01 * g[key] ** 2
             w[key] -= rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-7)
@@ -260,6 +258,11 @@ def training_pairs(pairs: list[tuple[str, str]], lang: Model, seed: int = 23) ->
         if rng.random() < 0.15:
             at = int(rng.integers(len(ans) + 1))
             out.append((p, ans[:at] + [(_fill(rng, pick(seeds.SOUNDS_LIKE.split("|"))) + " ", ANSWER)] + ans[at:]))
+        if rng.random() < 0.3:  # short answers, some with a refusal's words
+            out.append((p, ans[:1]))
+        if rng.random() < 0.25:
+            short = [(_fill(rng, pick(seeds.PLAIN.split("|"))) + " ", ANSWER)]
+            out.append((p, short if rng.random() < 0.5 else [*short, *ans[:2]]))
         if rng.random() < 0.1:
             out.append((p, [(_fill(rng, pick(seeds.LEAD["en"].split("|"))) + " ", ANSWER), *ans]))
         if rng.random() < 0.35 or own != "en":  # refusals
@@ -293,6 +296,11 @@ def training_pairs(pairs: list[tuple[str, str]], lang: Model, seed: int = 23) ->
             if len(y) > 1:
                 s = _sentences(text[1])
                 out.append((p, [(x, ANSWER) for x in s[:-1]] + [(s[-1], UNFINISHED)]))
+    if kept:  # every seed some times, whatever languages the sample has
+        for table in seeds.DECLINE.values():
+            for text in re.split(r"[|\n]", table):
+                for _ in range(6):
+                    out.append((kept[int(rng.integers(len(kept)))][0], [(_fill(rng, text), REFUSAL)]))
     return out
 
 

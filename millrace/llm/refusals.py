@@ -33,6 +33,7 @@ TRAIL = {
 }
 #: Answers that only sound like a refusal: stories, quotations, letters.
 SOUNDS_LIKE = "Dear {x}, I am sorry that the {n} came late and cannot be returned.|“I'm sorry, but I can't stay,” said the keeper of the {n}.|I cannot imagine {x} without its {a} {n}.|The {n} refuses to open after noon, and nobody can help.|Unfortunately the {n} was closed, so {x} walked home.|She was unable to find the {a} {n}.|They declined the offer and kept the {n}.|He apologised for the {n}, which was not allowed in the hall."
+PLAIN = "Yes, that is correct.|No, it is not.|Fine.|Forty-two.|The {n} is {a}.|No problem at all, here you go.|Of course.|It depends on the {n}.|Please see the {n} below.|Thank you, done.|I think so.|Exactly {k}.|The answer is forty-two.|Here is the answer you asked for.|Yes, I can help with that.|Sure, this is possible.|I can write the {k} for you.|This request was easy to meet.|The task is done.|Good question, here it is.|A fine {n}, as asked.|It is allowed to use the {n} at any time.|I am happy to answer.|You can ask for the {n} again."
 NOUNS = "harbour ladder teapot festival parser garden bridge spoon engine carpet river bottle window saddle basket".split()
 ADJECTIVES = "green early plain northern quiet sturdy narrow hollow festive distant".split()
 NAMES = "Orlinda Vaskeen Tormaal Belquist Nardovan Elspeth Quarrion Jolimar".split()

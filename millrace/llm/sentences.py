@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from millrace.llm.codepoints import UNSPACED
+
 
 def _set(chars: str) -> np.ndarray:
     out = np.zeros(0x110000, bool)
@@ -21,8 +23,8 @@ BREAK = _set("\n\r\u2028\u2029")
 def sentence_offsets(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts of sentences with the end of all last, first sentence of each row with their number last).
 
-    A sentence ends with a line break, or with a stop (and closing marks) before white space; a wide stop ends one
-    whatever follows. The sentences of a row cover it; an empty row has none.
+    A sentence ends with a line break, or with a stop (and closing marks) before white space or a character of a script
+    without spaces; a wide stop ends one whatever follows. The sentences of a row cover it; an empty row has none.
     """
     n = len(cps)
     if n == 0:
@@ -32,7 +34,7 @@ def sentence_offsets(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     for _ in range(3):
         ended[1:] |= close[1:] & ended[:-1]
     nxt = np.append(cps[1:], 10)
-    last = ended & SPACE[nxt]
+    last = ended & (SPACE[nxt] | UNSPACED[nxt])
     wide = WIDE_STOP[cps].copy()
     for _ in range(2):
         wide[1:] |= close[1:] & wide[:-1]

@@ -195,7 +195,7 @@ def cut_examples(texts: list[str], limits: list[tuple[int, int]], seed: int = 11
                 out.append(cut)
                 lim.append(at)
                 y.append(1)
-    return out, lim, np.array(y)
+    return out, lim, np.array(y, np.int64)
 
 
 def looks_like_end(ch: str) -> bool:
@@ -206,6 +206,9 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 30, l2: float = 1e-5, seed:
     """Logistic regression over hashed features by Adagrad in mini-batches; the last weight is the bias."""
     rng = np.random.default_rng(seed)
     w = np.zeros((1 << BITS) + 1)
+    if len(y) == 0 or y.min() == y.max():  # nothing to learn from: no text counts as cut
+        w[-1] = -10.0
+        return w
     g2 = np.full_like(w, 1e-6)
     for _ in range(epochs):
         for s in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
