@@ -229,6 +229,24 @@ def _check_queries() -> dict[str, str]:
     return out
 
 
+def _shredded() -> str:
+    """Scalars of the nested cells by recursion over objects, arrays, and texts that hold either."""
+
+    def unwrap(x: str) -> str:
+        t = f"json_extract_string({x}, '$')"
+        return f"CASE WHEN json_type({x}) <> 'VARCHAR' THEN {x} WHEN NOT json_valid({t}) THEN {x} WHEN json_type({t}) IN ('OBJECT', 'ARRAY') THEN {t}::JSON ELSE {x} END"
+
+    names = ["added_constraint", "rule_evaluate_dict", "added_constraint_from_llm"]
+    parts = """CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: struct_pack(k := k, c := json_extract(v, '$."' || k || '"')))
+            ELSE list_transform(range(json_array_length(v)::BIGINT), lambda i: struct_pack(k := i::VARCHAR, c := json_extract(v, '$[' || i || ']'))) END"""
+    return f"""WITH RECURSIVE cells AS (SELECT rec_no, unnest({strings(names)}) AS field, unnest([{', '.join(names)}]) AS cell FROM constraint_records),
+        roots AS (SELECT rec_no, field, CASE WHEN json_valid(cell) THEN cell::JSON END AS v FROM cells),
+        n AS (SELECT rec_no, field, NULL::VARCHAR AS path, {unwrap('v')} AS v FROM roots WHERE v IS NOT NULL
+            UNION ALL SELECT rec_no, field, CASE WHEN path IS NULL THEN x.k ELSE path || '/' || x.k END AS path, {unwrap('x.c')} AS v
+            FROM (SELECT rec_no, field, path, unnest({parts}) AS x FROM n WHERE json_type(v) IN ('OBJECT', 'ARRAY')))
+        SELECT rec_no, field, coalesce(path, '') AS path FROM n WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')"""
+
+
 def _rules() -> dict[str, str]:
     v = "CASE WHEN json_valid(rule_evaluate_dict) THEN rule_evaluate_dict::JSON END"
     pair = "json_extract(v, '$.word_length.func_input[1]')"
@@ -388,6 +406,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT rec_no, CASE WHEN t IS NULL OR t = 'NULL' OR len(cs) = 0 THEN 'missing' WHEN t <> 'OBJECT' THEN 'not_object' WHEN items IS NULL OR len(list_filter(cs, lambda c: json_array_length(c) = 0)) > 0 THEN 'bad_category'
             WHEN len(list_filter(items, lambda i: json_type(i) <> 'VARCHAR' OR {trim_ws("json_extract_string(i, '$')")} = '')) > 0 THEN 'blank_item' END AS reason FROM f"""
     return {
+        "p2_found": _shredded(),
         "remove_html": docs(html), "replace_emojis": docs(emojis), "replace_unknown_chars": recs(unknown), "normalize_symbols": recs(symbols), "normalize_whitespace": docs(spaces), "clean_text": docs(clean),
         "remove_stopwords": docs(stopless), "fingerprint": docs(finger), "printable_ratio": docs(printable), "entities": recs(lambda c: listed(entities(c))), "mine_constraints": recs(mined),
         "safe_names": "SELECT line_no, translate(source, '/-', '__') AS out FROM instruction_records",
