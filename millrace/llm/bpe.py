@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 #: Fixed value: the public pattern that parts text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_STATES = 400_000
+MAX_STATES = 150_000
 MAX_WORDS = 150_000
 
 

@@ -40,9 +40,22 @@ ar ara arb arabic العربية عربي
 zh zho chi cmn chinese mandarin 中文 汉语 漢語
 """
 PLACEHOLDERS = ("n/a", "na", "null", "none", "nil", "nan", "undefined", "-", "--", "—", "<empty>", "[]", "{}", "()", "empty", "[empty]", "(empty)", "tbd", "todo", "...", "…", "?", "<null>", "<none>", "no response", "[no response]", "no answer")
+#: Country suffixes of addresses and locales, by the language most used there.
+SUFFIXES = """
+en uk gb us au nz ie ca za
+es es mx ar co cl pe ve
+fr fr be lu sn
+de de at ch li
+it it sm
+pt pt br ao mz
+ru ru by kz
+ar eg sa ae iq ma dz jo
+zh cn tw hk sg
+"""
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 ERROR = 0.08  # share of declared labels taken to be wrong
+SUFFIX_ERROR = 0.4  # the same of suffixes
 TEMPER = 0.35  # neighbouring n-grams are not independent
 SWITCH = 0.004
 MAX_SAMPLES = 20_000
@@ -56,6 +69,13 @@ def declared_code(label: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(parts, lambda p: F.try_element_at(known, p)), lambda c: c.isNotNull()), F.lit(1))
 
 
+def suffix_code(address: Column) -> Column:
+    """The code that the country suffix of an address (host.de, https://host.de/x) or locale (de-AT) hints at, or null."""
+    pairs = [F.lit(x) for row in SUFFIXES.strip().split("\n") for name in row.split()[1:] for x in (name, row.split()[0])]
+    host = F.regexp_replace(F.lower(address), r"^[a-z]+://|[/:?#].*$", "")
+    return F.try_element_at(F.create_map(*pairs), F.regexp_extract(host, r"[._-]([a-z]{2})(?:\.utf-?8)?$", 1))
+
+
 def is_placeholder(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")).isin(*PLACEHOLDERS)
 
@@ -164,7 +184,16 @@ def _word_counts(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.diff(cp.word_hashes(cps, offs)[1])
 
 
-def fuse(model: Model, texts: pa.Array, prior: np.ndarray, declared: np.ndarray) -> tuple[np.ndarray, ...]:
+def _said(code: np.ndarray, k: int, error: float) -> np.ndarray:
+    """Log evidence of named languages that are wrong with probability ``error``; none where nothing is named (-1)."""
+    out = np.zeros((len(code), k))
+    some = np.flatnonzero(code >= 0)
+    out[some] = np.log(error / (k - 1))
+    out[some, code[some]] = np.log(1 - error)
+    return out
+
+
+def fuse(model: Model, texts: pa.Array, prior: np.ndarray, declared: np.ndarray, suffix: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Segments of texts: (row, number within the row, start, end, language, confidence), in code points."""
     cps, offs = cp.flatten(texts)
     starts, first = sentence_offsets(cps, offs)
@@ -175,12 +204,10 @@ def fuse(model: Model, texts: pa.Array, prior: np.ndarray, declared: np.ndarray)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     like[~spoken & (np.bincount(row, spoken, len(offs) - 1)[row] > 0)] = 0
     k = len(model.codes)
-    log_prior = np.log(prior)
-    said = np.full((len(declared), k), 0.0)
-    some = np.flatnonzero(declared >= 0)
-    said[some] = np.log(ERROR / (k - 1))
-    said[some, declared[some]] = np.log(1 - ERROR)
-    extra = (log_prior + said).astype(np.float32)
+    extra = np.log(prior) + _said(declared, k, ERROR)
+    if suffix is not None:
+        extra += _said(suffix, k, SUFFIX_ERROR)
+    extra = extra.astype(np.float32)
     switch = np.full((k, k), np.log(SWITCH / (k - 1)), np.float32)
     np.fill_diagonal(switch, np.log(1 - SWITCH))
     # the evidence beside the text counts once a text: at its first sentence; the chain carries it on
@@ -223,11 +250,11 @@ def _detector(model: Model):
         names = np.array(m.codes, object)
         for batch in batches:
             text = batch.column(1)
-            declared = np.array([codes.get(x, -1) for x in batch.column(2).to_pylist()], np.int64)
+            declared, suffix = (np.array([codes.get(x, -1) for x in batch.column(i).to_pylist()], np.int64) for i in (2, 5))
             flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
             prior = np.asarray(flat, np.float64).reshape(len(text), len(codes))
             for lo, hi in cp.slices(text, 1_000_000):
-                row, number, a, b, lang, conf = fuse(m, text.slice(lo, hi - lo), prior[lo:hi], declared[lo:hi])
+                row, number, a, b, lang, conf = fuse(m, text.slice(lo, hi - lo), prior[lo:hi], declared[lo:hi], suffix[lo:hi])
                 kinds = [pa.array(number, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(names[lang], pa.string()), pa.array(conf)]
                 items = pa.StructArray.from_arrays(kinds, ["seg_no", "start_char", "end_char", "lang", "confidence"])
                 offs = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())
@@ -246,14 +273,17 @@ def host_priors(values: DataFrame, weight: float = 50.0) -> DataFrame:
     return joined.select("host", F.array(*((F.col(c) + weight * share[c]) / (total + weight) for c in CODES)).alias("prior"))
 
 
-def detect_languages(df: DataFrame, id_col: str, fields: list[tuple[str, str]], host_col: str, samples: DataFrame) -> DataFrame:
-    """(id, field, declared, segments) for each (text, label) of ``fields``; no segments where there is no language."""
+def detect_languages(df: DataFrame, id_col: str, fields: list[tuple[str, str]], host_col: str, samples: DataFrame, address_col: str | None = None) -> DataFrame:
+    """(id, field, declared, segments) for each (text, label) of ``fields``; no segments where there is no language.
+
+    The suffix evidence is that of ``address_col`` where it is given, else of the label's own region.
+    """
     model = train_from(samples)
-    parts = [F.struct(F.lit(t).alias("field"), F.col(t).alias("text"), declared_code(F.col(lab)).alias("declared")) for t, lab in fields]
+    parts = [F.struct(F.lit(t).alias("field"), F.col(t).alias("text"), declared_code(F.col(lab)).alias("declared"), suffix_code(F.col(address_col or lab)).alias("suffix")) for t, lab in fields]
     base = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(host_col, F.lit("")).alias("host"), F.explode(F.array(*parts)).alias("v")).select("id", "host", "v.*")
     priors = host_priors(base.select("host", "declared"))
     live = base.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S") & ~is_placeholder(F.col("text")))
-    fed = live.join(broadcast_if_small(priors, 5_000), "host").select("id", "text", "declared", "prior", "field")
+    fed = live.join(broadcast_if_small(priors, 5_000), "host").select("id", "text", "declared", "prior", "field", "suffix")
     return fed.mapInArrow(_detector(model), f"id bigint, field string, declared string, segments {SEGMENTS}")
 
 

@@ -170,3 +170,20 @@ def test_pair_defects_edges(spark, sf):
     assert {k[1]: v for k, v in got.items() if k[0] == "x" and k[1] != 6} == {1: "empty", 2: "empty", 3: "empty", 5: "empty"}
     assert len(got) == out.count()
     assert pair_defects.pair_defects(rows.limit(0), spark.read.parquet(f"{sf}/language_samples.parquet")).count() == 0
+
+
+def test_suffixes(spark):
+    texts = ["https://www.example.de/path?x=1", "example.com.br", "de-AT", "fr_FR.UTF-8", "example.com", "en", None, ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = [r.c for r in df.select("i", language.suffix_code(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got == ["de", "pt", "de", "fr", None, None, None, None]
+
+
+def test_suffix_decides_only_where_the_text_does_not(held_out):
+    model, test = held_out
+    prior, none = np.full((1, 9), 1 / 9), np.array([-1])
+    fr = np.array([CODES.index("fr")])
+    lang = lambda t, s: language.fuse(model, pa.array([t]), prior, none, s)[4].tolist()
+    assert lang("Qqq xxyyq", fr) == [CODES.index("fr")]
+    english = next(t for c, t in test if c == "en")
+    assert set(lang(english, fr)) == {CODES.index("en")}
