@@ -16,10 +16,8 @@ def category_counts(df: DataFrame, m: Column) -> DataFrame:
 
 def imbalance(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Share of each category and whether it is below threshold / number of categories."""
-    whole = counts.agg(F.sum("n_records").alias("_n"), F.count("*").alias("_k"))
-    joined = counts.crossJoin(F.broadcast(whole))  # one row
-    share = F.col("n_records") / F.col("_n")
-    return joined.select("category", "n_records", share.alias("share"), (share < threshold / F.col("_k")).alias("flagged"))
+    share = F.col("n_records") / counts.agg(F.sum("n_records")).scalar()
+    return counts.select("category", "n_records", share.alias("share"), (share < threshold / counts.agg(F.count("*")).scalar()).alias("flagged"))
 
 
 def category_coverage(df: DataFrame, m: Column) -> DataFrame:

@@ -26,9 +26,10 @@ def per_group(df: DataFrame, group: str, key: str, m: int, seed: int = 42) -> Da
 
 def stratified(df: DataFrame, level: str, key: str, total: int, seed: int = 42) -> DataFrame:
     """max(1, total // levels) rows of each level, or all it has."""
-    quota = df.agg(F.greatest(F.lit(1), F.floor(F.lit(total) / F.greatest(F.count_distinct(F.coalesce(F.col(level).cast("string"), F.lit(""))), F.lit(1)))).alias("_quota"))
+    levels = df.agg(F.count_distinct(F.coalesce(F.col(level).cast("string"), F.lit("")))).scalar()
+    quota = F.greatest(F.lit(1), F.floor(F.lit(total) / F.greatest(levels, F.lit(1))))
     ranked = hash_rank(df.withColumn("_h", seeded(F.col(key), seed)), "_h", key, [level])
-    return ranked.crossJoin(F.broadcast(quota)).where("rank <= _quota").drop("_h", "rank", "n", "_quota")  # one row
+    return ranked.where(F.col("rank") <= quota).drop("_h", "rank", "n")
 
 
 def holdout(df: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:

@@ -38,7 +38,7 @@ def assign(df: DataFrame, key: str, m: Column) -> DataFrame:
 def distribution(df: DataFrame, col: str) -> DataFrame:
     """(col, n, share) of each value."""
     counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_n")))).select(col, "n", (F.col("n") / F.col("_n")).alias("share"))  # one row
+    return counts.select(col, "n", (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("share"))
 
 
 def top_labels(df: DataFrame, label: str, order: str, k: int = 20) -> DataFrame:
