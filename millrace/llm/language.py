@@ -266,11 +266,10 @@ def _detector(model: Model):
 def host_priors(values: DataFrame, weight: float = 50.0) -> DataFrame:
     """(host, prior: one probability per language) from values (host, declared), by one grouped aggregation."""
     counts = values.groupBy("host").agg(*(F.count_if(F.col("declared") == c).alias(c) for c in CODES))
-    whole = counts.agg(*(F.sum(c).alias(f"all_{c}") for c in CODES))
-    joined = counts.crossJoin(F.broadcast(whole))  # one row: the corpus
-    share = {c: (F.coalesce(f"all_{c}", F.lit(0)) + 20.0) / (sum(F.coalesce(f"all_{x}", F.lit(0)) for x in CODES) + 20.0 * len(CODES)) for c in CODES}
+    corpus = counts.agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CODES)).alias("n")).scalar()
+    share = {c: (corpus[c] + 20.0) / (sum(corpus[x] for x in CODES) + 20.0 * len(CODES)) for c in CODES}
     total = sum(F.col(x) for x in CODES)
-    return joined.select("host", F.array(*((F.col(c) + weight * share[c]) / (total + weight) for c in CODES)).alias("prior"))
+    return counts.select("host", F.array(*((F.col(c) + weight * share[c]) / (total + weight) for c in CODES)).alias("prior"))
 
 
 def detect_languages(df: DataFrame, id_col: str, fields: list[tuple[str, str]], host_col: str, samples: DataFrame, address_col: str | None = None) -> DataFrame:
