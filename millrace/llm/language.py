@@ -98,13 +98,17 @@ class Model:
 
     @staticmethod
     def features(cps: np.ndarray, offs: np.ndarray, orders: tuple[int, ...]) -> list[cp.Flat]:
-        """Hashed features of plain texts: n-grams of each order, then words."""
+        """Hashed features of plain texts: n-grams of each order, words, and the scripts other than Latin. All digits count
+        as one."""
+        cps = np.where(_digits()[cps], 48, cps) if len(cps) else cps
         out = []
         for n in orders:
             h, at = cp.gram_hashes(cps, offs, n)
             out.append(((h & np.uint64(BUCKETS - 1)).astype(np.int64), at))
         h, at, _ = cp.word_hashes(cps, offs)
         out.append(((h & np.uint64(BUCKETS - 1)).astype(np.int64), at))
+        script = _scripts()[cps] if len(cps) else np.zeros(0, np.int64)
+        out.append((script[script > 0], np.concatenate([[0], np.cumsum(script > 0)])[offs]))
         return out
 
     @classmethod
@@ -171,6 +175,17 @@ def train_from(samples: DataFrame, lang_col: str = "lang", text_col: str = "samp
     return Model.train([r[1] for r in rows], [r[0] for r in rows])
 
 
+@functools.cache
+def _scripts() -> np.ndarray:
+    """A number for the script of each code point, by ranges; 0 for Latin and all else."""
+    out = np.zeros(0x110000, np.int64)
+    ranges = ((0x370, 0x3FF), (0x400, 0x52F), (0x530, 0x58F), (0x590, 0x5FF), (0x600, 0x77F), (0x900, 0xDFF), (0xE00, 0xE7F), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))
+    for i, (a, b) in enumerate(ranges, 1):
+        out[a : b + 1] = i
+    out[0xF900:0xFB00] = out[0x20000:0x32000] = out[0x4E00]
+    return out
+
+
 @functools.cache
 def _digits() -> np.ndarray:
     import unicodedata

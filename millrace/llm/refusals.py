@@ -6,7 +6,8 @@ DECLINE = {
 I can't fulfil this.|I cannot fulfil this request.|I must refuse to answer.|I have to decline: this is not something I can produce.|Unfortunately, I won't be able to assist with this.|That request is outside what I'm allowed to do.
 It would not be appropriate for me to respond to this.|Apologies, this is a task I'm not in a position to complete.|We regret that the assistant is unable to process this {k}.|As an assistant, I am not permitted to answer this.
 I don't feel comfortable answering that.|I'm afraid I can't provide this {k}.|My guidelines do not allow me to continue with this.|I will not be able to provide an answer to this question.|I decline to write this {k}.|This violates my policy, so I can't respond.
-I'm not able to do that.|As an AI language model, I cannot complete this request.|I won't write this.|Regrettably, I have to turn down this request.|I am not authorised to respond.|Sorry, this task must be refused.|I apologise, but this is something I cannot assist with.""",
+I'm not able to do that.|As an AI language model, I cannot complete this request.|I won't write this.|Regrettably, I have to turn down this request.|I am not authorised to respond.|Sorry, this task must be refused.|I apologise, but this is something I cannot assist with.
+My policy does not permit me to talk about the {n}, so I stop here.|I'd rather not talk about this.|I don't feel comfortable writing about the {n}.|I am not able to provide an answer about the {n}.|The rules don't permit this {k}.|I'll stop here, because this is not permitted.""",
     "es": """Lo siento, pero no puedo ayudar con esa petición.|Me temo que debo rechazar la tarea; pregunta otra cosa.|Como asistente, no estoy autorizado a responder a esto.|No me es posible cumplir con esta solicitud.|Lamentablemente, no puedo escribir este texto.
 Debo negarme a contestar.|No tengo permiso para responder.|Perdona, pero no puedo hacer eso.|Mis normas no me permiten seguir con esta petición.""",
     "fr": """Je suis désolé, mais je ne peux pas répondre à cette demande.|Je dois malheureusement refuser cette tâche.|En tant qu'assistant, je ne suis pas autorisé à répondre à cela.|Je ne suis pas en mesure d'écrire ce texte.
@@ -28,7 +29,7 @@ LEAD = {
     "es": "¡Hola!|Gracias por tu mensaje.|Entiendo que esto es importante para ti.", "fr": "Bonjour !|Merci pour votre message.", "de": "Hallo!|Danke für die Nachricht.", "it": "Ciao!|Grazie per il messaggio.", "pt": "Olá!|Obrigado pela mensagem.", "ru": "Здравствуйте!|Спасибо за сообщение.", "ar": "مرحبا!|شكرا على رسالتك.", "zh": "你好！|谢谢你的留言。",
 }
 TRAIL = {
-    "en": "Take care.|Is there anything else on your mind?|Perhaps try a search about {x}.|Thank you for understanding.|Could you ask me something else?|Please consult a qualified person instead.|Let me know if you need anything else.|Maybe someone near {x} can help.",
+    "en": "Take care.|Is there anything else on your mind?|Perhaps try a search about {x}.|Thank you for understanding.|Could you ask me something else?|Please consult a qualified person instead.|Let me know if you need anything else.|Maybe someone near {x} can help.|I can offer a different {k} instead.|Let me know if there is another topic.",
     "es": "Gracias por tu comprensión.|¿Hay algo más?", "fr": "Merci de votre compréhension.", "de": "Danke für das Verständnis.", "it": "Grazie per la comprensione.", "pt": "Obrigado pela compreensão.", "ru": "Спасибо за понимание.", "ar": "شكرا لتفهمك.", "zh": "感谢您的理解。",
 }
 #: Answers that only sound like a refusal: stories, quotations, letters.

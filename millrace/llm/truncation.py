@@ -32,7 +32,7 @@ BITS = 14
 BULLET = _set("-*•–·‣+")
 DASH = _set("—–―")
 PAUSE = _set(",;:،；，、：")
-MARKS = ("…", "...", " …", " ...", "[...]", " [...]", " […]", "… (more)", "... (more)", " [truncated]", "… [more]", " (continued)", "...more")
+MARKS = ("…", "...", " …", " ...", "[...]", " [...]", " […]", "… (more)", "... (more)", "… [more]", " [truncated]")
 
 
 @functools.cache
