@@ -13,11 +13,18 @@ from millrace.functions import constants as K
 
 
 @F.arrow_udf(T.StringType())
-def nfc(col: pa.Array) -> pa.Array:
-    """Canonical composition (NFC) of each text; texts that have it already pass through untouched."""
+def _nfc(col: pa.Array) -> pa.Array:
     return pa.array([t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in col.to_pylist()], pa.string())
 
 
+def nfc(c: Column) -> Column:
+    """Canonical composition (NFC); texts that have it already pass through untouched.
+
+    Declared nondeterministic, so that filters above do not pull a second evaluation below the projection.
+    """
+    return _nfc.asNondeterministic()(c)
+
+
 def trim_ws(c: Column) -> Column:
     """Strip white space of any kind at both ends."""
     return F.regexp_replace(c, f"^{K.WS}+|{K.WS}+$", "")

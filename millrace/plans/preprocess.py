@@ -11,8 +11,10 @@ from millrace.operators import dedup, gates
 
 def gated(df: DataFrame) -> DataFrame:
     """Records with cleaned prompt and response and the first gate they fail; ``detected`` is the detector's language."""
-    clean = df.withColumns({"prompt": F.coalesce(X.clean_text(F.col("winner_prompt")), F.lit("")), "response": F.coalesce(X.clean_text(F.col("response_of_winner_prompt")), F.lit(""))})
-    return clean.withColumn("skip_reason", gates.skip_reason(F.col("prompt"), F.col("response"), F.col("detected"), F.col("added_constraint"), F.col("added_constraint_num")))
+    clean = F.struct(F.coalesce(X.clean_text(F.col("winner_prompt")), F.lit("")).alias("prompt"), F.coalesce(X.clean_text(F.col("response_of_winner_prompt")), F.lit("")).alias("response"))
+    # a generator keeps filters above from pulling copies of the cleaning below it
+    rows = df.select(*(c for c in df.columns if c not in ("prompt", "response")), F.inline(F.array(clean)))
+    return rows.withColumn("skip_reason", gates.skip_reason(F.col("prompt"), F.col("response"), F.col("detected"), F.col("added_constraint"), F.col("added_constraint_num")))
 
 
 def kept(gated_rows: DataFrame, order: str = "line_no") -> DataFrame:
