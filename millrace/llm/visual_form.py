@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import codepoints as cp
+from millrace.session import cut
 
 #: Fixed values (public Unicode confusables): letters whose usual shape is that of the letter before the colon.
 LOOK_ALIKES = """
@@ -229,13 +230,13 @@ def plain_form(col: pa.Array) -> pa.Array:
 def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Pairs (field, <id>_a, <id>_b) of rows whose values of a field differ but have the same visual form.
 
-    Only 16-byte digests are shuffled. Forms that have one spelling alone (also the hottest of plain copies) are
+    Forms are made once; their digests are written to the checkpoint folder, and only digests are shuffled. Forms that have one spelling alone (also the hottest of plain copies) are
     dropped by a partial aggregate before any pair is made. Null and blank values never count.
     """
     cols = [F.struct(F.lit(f).alias("field"), F.col(f).alias("raw"), visual_form(F.col(f)).alias("form")) for f in fields]
     rows = df.select(F.col(id_col).alias("_id"), F.explode(F.array(*cols)).alias("v")).select("_id", "v.*")
     rows = rows.where(F.col("form").rlike(r"[^\s\x{85}\x{2028}\x{2029}]"))
-    keyed = rows.select("_id", "field", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("raw")).alias("raw"))
+    keyed = cut(rows.select("_id", "field", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("raw")).alias("raw")))
     mixed = keyed.groupBy("field", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "form")
     some = keyed.join(mixed, ["field", "form"], "left_semi")
     a = some.select("field", "form", F.col("raw").alias("raw_a"), F.col("_id").alias(f"{id_col}_a"))
