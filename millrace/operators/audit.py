@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as X
 
@@ -55,3 +59,17 @@ def top_chars(df: DataFrame, fields: list[str], k: int = 20) -> DataFrame:
     """The k most frequent non-ASCII characters of the fields."""
     chars = df.select(F.explode(F.flatten(F.array(*(X.non_ascii(F.coalesce(F.col(f), F.lit(""))) for f in fields)))).alias("ch"))
     return chars.groupBy("ch").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ch").limit(k)
+
+
+_NAMED = T.StructType([T.StructField("name", T.StringType()), T.StructField("category", T.StringType())])
+
+
+@F.arrow_udf(_NAMED)
+def _named(chars: pa.Array) -> pa.Array:
+    cs = chars.to_pylist()
+    return pa.StructArray.from_arrays([pa.array([unicodedata.name(c, "UNNAMED") for c in cs], pa.string()), pa.array([unicodedata.category(c) for c in cs], pa.string())], ["name", "category"])
+
+
+def named_chars(top: DataFrame) -> DataFrame:
+    """Unicode name and category of the few characters of top_chars()."""
+    return top.select("*", _named(F.col("ch")).alias("x")).select(*top.columns, "x.*")

@@ -50,6 +50,16 @@ def judge_prompt(prompt: Column, response: Column, style: Column, topic: Column)
     return F.when(F.size(asked) > 0, body)
 
 
+def batch_judge(df: DataFrame, key: str, prompt: Column, response: Column, style: Column, topic: Column, load: Callable[[], Generate]) -> DataFrame:
+    """Verdicts (key, style, topic) of a judge model; rows without an applicable constraint are not sent and get nulls."""
+    asked = df.select(key, judge_prompt(prompt, response, style, topic).alias("q"), style.isNotNull().alias("s"), topic.isNotNull().alias("t"))
+    sent = asked.where("q IS NOT NULL").select(key, "s", "t", generated(F.col("q"), load).alias("raw"))
+    one = lambda k: X.judge_verdicts(F.col("raw"), [k])[k]
+    both = X.judge_verdicts(F.col("raw"), ["style", "topic"])
+    pick = lambda k, mine, other: F.when(F.col(mine) & F.col(other), both[k]).when(F.col(mine), one(k))
+    return df.select(key).join(sent.select(key, pick("style", "s", "t").alias("style"), pick("topic", "t", "s").alias("topic")), key, "left")
+
+
 def judge_open_results(scores: DataFrame, key: str, ask: Callable[[Column, Column], Column]) -> DataFrame:
     """Verdicts for results without one: exploded by position, judged, put back in order, and the report made anew.
 

@@ -60,3 +60,9 @@ def override(base: DataFrame, judged: DataFrame, key: str, cols: list[str]) -> D
     j = judged.select(F.col(key), F.struct(*cols).alias("_j"))
     rows = base.join(j, key, "left")
     return rows.select(*(F.when(F.col("_j").isNotNull(), F.col(f"_j.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns))
+
+
+def model_runs(scores: DataFrame) -> DataFrame:
+    """Mean CSR and hard CSR per model and run, models ascending, runs descending."""
+    mean = scores.groupBy("model", "run_no").agg(F.count("*").alias("n"), (F.sum(F.col("per_constraint_csr").cast("decimal(18,9)")).cast("double") / F.count("per_constraint_csr")).alias("mean_csr"), (F.count_if("hard_csr") / F.count("*")).alias("hard_csr"))
+    return mean.orderBy(F.asc("model"), F.desc("run_no"))

@@ -15,6 +15,18 @@ def constraint_counts(df: DataFrame, key: str, m: Column) -> DataFrame:
     return rows.select(key, X.normalise_category(F.col("raw")).alias("category"), n.alias("n")).groupBy(key, "category").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def constraint_counts_json(df: DataFrame, key: str, cell: Column) -> DataFrame:
+    """The same for cells of JSON text: of an object, the items of each list (one for any other value); of a list, one per
+    item under its type, constraint_type or other (a text under itself). Other and broken cells have none."""
+    v = X.strict_json(cell)
+    named = F.try_variant_get(v, "$", "map<string,variant>")
+    of_object = F.transform(F.map_entries(named), lambda e: F.struct(e["key"].alias("raw"), F.coalesce(F.size(F.try_variant_get(e["value"], "$", "array<variant>")), F.lit(1)).alias("n")))
+    kind = lambda x: F.coalesce(F.nullif(F.try_variant_get(x, "$.type", "string"), F.lit("")), F.nullif(F.try_variant_get(x, "$.constraint_type", "string"), F.lit("")), F.when(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit("other")), F.try_variant_get(x, "$", "string"))
+    of_list = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(kind(x).alias("raw"), F.lit(1).alias("n")))
+    rows = df.select(key, F.inline(F.coalesce(of_object, of_list))).where("raw IS NOT NULL")
+    return rows.select(key, X.normalise_category(F.col("raw")).alias("category"), "n").groupBy(key, "category").agg(F.sum("n").cast("bigint").alias("n"))
+
+
 def assign(df: DataFrame, key: str, m: Column) -> DataFrame:
     """(key, categories, num_constraint_types, primary_cluster, cluster_label) of every record.
 

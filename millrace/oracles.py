@@ -445,6 +445,13 @@ def oracle_sql() -> dict[str, str]:
         "csr_by_level": _levels("SELECT * FROM model_responses"),
         "pass_by_type": "SELECT r.type AS type, count(*) AS n_checked, count(*) FILTER (WHERE r.passed) AS n_passed, count(*) FILTER (WHERE r.passed)::DOUBLE / count(*) AS pass_rate FROM (SELECT unnest(results) AS r FROM model_responses) WHERE r.passed IS NOT NULL GROUP BY r.type",
         "overall_loss": "SELECT p AS n_passed, c AS n_checked, p::DOUBLE / c AS score, 1 - p::DOUBLE / c AS loss FROM (SELECT sum(num_passed)::BIGINT AS p, sum(num_checked)::BIGINT AS c FROM model_responses)",
+        "model_runs": "SELECT model, run_no, count(*) AS n, sum(per_constraint_csr::DECIMAL(18, 9))::DOUBLE / count(per_constraint_csr) AS mean_csr, count(*) FILTER (WHERE hard_csr)::DOUBLE / count(*) AS hard_csr FROM model_responses GROUP BY ALL",
+        "training_table": "SELECT line_no, least(400, a + b)::BIGINT AS n_input, a::BIGINT AS n_masked, 1.0::DOUBLE AS constraint_score FROM (SELECT line_no, strlen(coalesce(winner_prompt, '')) AS a, strlen(coalesce(response_of_winner_prompt, '')) AS b FROM instruction_records) WHERE a < least(400, a + b)",
+        "constraint_counts_json": f"""WITH a AS (SELECT rec_no, CASE WHEN json_valid({cell}) THEN {cell}::JSON END AS v FROM constraint_records),
+            o AS (SELECT rec_no, unnest(list_transform(json_keys(v), lambda k: struct_pack(raw := k, n := CASE WHEN json_type(json_extract(v, '$."' || k || '"')) = 'ARRAY' THEN json_array_length(json_extract(v, '$."' || k || '"'))::BIGINT ELSE 1 END))) AS x FROM a WHERE json_type(v) = 'OBJECT'),
+            l AS (SELECT rec_no, unnest(json_extract(v, '$[*]')) AS i FROM a WHERE json_type(v) = 'ARRAY'),
+            r AS (SELECT rec_no, x.raw AS raw, x.n AS n FROM o UNION ALL SELECT rec_no, coalesce(nullif(json_extract_string(i, '$.type'), ''), nullif(json_extract_string(i, '$.constraint_type'), ''), CASE WHEN json_type(i) = 'OBJECT' THEN 'other' END, json_extract_string(i, '$')), 1 FROM l)
+            SELECT rec_no, {category('raw')} AS category, sum(n)::BIGINT AS n FROM r WHERE raw IS NOT NULL GROUP BY ALL""",
         "constraint_hist": "SELECT difficulty_level, num_constraints, count(*) AS n FROM model_responses GROUP BY ALL",
         "override_merge": f"SELECT resp_id, model, num_passed, per_constraint_csr, hard_csr FROM ({MERGED})",
         "resume_anti_join": "SELECT resp_id, id FROM model_responses WHERE NOT EXISTS (SELECT 1 FROM model_responses d WHERE d.hard_csr AND d.id = model_responses.id)",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import audit, augment, checker, dedup, gates, inference, metrics, sampling, shred, tagging, validators
+from millrace.operators import audit, augment, checker, dedup, gates, inference, metrics, sampling, shred, tagging, training, validators
 from millrace.operators.ranking import seeded
 from millrace.oracles import CHECK_ARGS, oracle_sql
 from millrace.plans import preprocess
@@ -138,8 +138,12 @@ _over("length_stats", "instruction_records", lambda df: audit.length_stats(df, [
 _over("non_ascii_audit", "instruction_records", lambda df: audit.non_ascii_audit(df, ["winner_prompt", "response_of_winner_prompt"]))
 _over("top_chars", "instruction_records", lambda df: audit.top_chars(df, ["winner_prompt", "response_of_winner_prompt"]))
 
+_over("top_char_names", "instruction_records", lambda df: audit.named_chars(audit.top_chars(df, ["winner_prompt", "response_of_winner_prompt"])))
+
 # Tagging
 
+_over("constraint_counts_json", "constraint_records", lambda df: tagging.constraint_counts_json(df, "rec_no", F.col("added_constraint")))
+
 _over("constraint_counts", "instruction_records", lambda df: tagging.constraint_counts(df, "line_no", F.col("added_constraint")))
 _over("assign_clusters", "instruction_records", lambda df: tagging.assign(df, "line_no", F.col("added_constraint")).withColumn("categories", F.array_join("categories", "|")))
 _over("cluster_summary", "instruction_records", lambda df: tagging.distribution(tagging.assign(df, "line_no", F.col("added_constraint")), "primary_cluster"))
@@ -226,6 +230,7 @@ _over("fold_means", "cv_scores", lambda df: metrics.fold_means(df, CATEGORIES))
 _over("fold_summary", "cv_scores", lambda df: metrics.fold_summary(df, CATEGORIES).withColumns({c: F.round(c, 9) for c in ("mean", "std")}))
 _over("fold_summary_pop", "cv_scores", lambda df: metrics.fold_summary(df, CATEGORIES, True).withColumns({c: F.round(c, 9) for c in ("mean", "std")}))
 _over("model_compare", "cv_scores", lambda df: metrics.compare_models(df, CATEGORIES, "lora", "full_ft").withColumns({c: F.round(c, 9) for c in ("mean_a", "mean_b")}))
+_over("model_runs", "model_responses", metrics.model_runs)
 _over("constraint_hist", "model_responses", lambda df: df.groupBy("difficulty_level", "num_constraints").agg(F.count("*").alias("n")))
 
 
@@ -247,6 +252,19 @@ def judge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _over("judge_open_results", "model_responses", lambda df: inference.judge_open_results(df.where("response IS NOT NULL"), "resp_id", lambda r, t: F.when(F.length(r) % 2 == 0, "PASS").otherwise("FAIL")).select("resp_id", *(F.col(c).cast("bigint").alias(c) for c in ("num_constraints", "num_checked", "num_passed")), "hard_csr"))
 
+def _tokens(df: DataFrame) -> DataFrame:
+    return training.training_table(df, "line_no", F.col("winner_prompt"), F.col("response_of_winner_prompt"), training.utf8_bytes, 400)
+
+
+_over("training_table", "instruction_records", lambda df: _tokens(df).select("line_no", F.size("input_ids").cast("bigint").alias("n_input"), F.size(F.filter("labels", lambda x: x == training.MASK)).cast("bigint").alias("n_masked"), "constraint_score"))
+
+
+def _judge_model() -> inference.Generate:
+    return lambda questions: ['{"style": 1, "topic": 0}' if len(q) % 2 == 0 else '{"style": 0}' for q in questions]
+
+
+_over("batch_judge", "model_responses", lambda df: inference.batch_judge(df.where("response IS NOT NULL"), "resp_id", F.col("id"), F.col("response"), F.col("model"), F.col("source"), _judge_model))
+
 # Samples and folds
 
 _over("stable_shuffle", "cv_records", lambda df: sampling.shuffled(df.select("row_no"), "row_no").withColumn("position", F.col("position").cast("bigint")))

@@ -227,3 +227,37 @@ def test_only_first_keeps_whole_rows(spark):
     df = spark.createDataFrame(rows, "n int, t string, x string")
     got = sorted((r.n, r.x) for r in dedup.only_first(df, "n", X.fingerprint(F.col("t"))).collect())
     assert got == [(2, "two"), (9, "null"), (10, "10")]
+
+
+def test_training_rows(spark):
+    from millrace.operators import training
+
+    df = spark.createDataFrame([(1, "ab", "cde"), (2, "abcdef", "x"), (3, None, "yz"), (4, "ab", None), (5, "é", "x")], "k int, p string, r string").withColumn("labels", F.lit("clash"))
+    got = {r.k: (r.input_ids, r.labels) for r in training.training_table(df, "k", F.col("p"), F.col("r"), training.utf8_bytes, 4).collect()}
+    assert got == {1: ([97, 98, 99, 100], [-100, -100, 99, 100]), 3: ([121, 122], [121, 122]), 5: ([195, 169, 120], [-100, -100, 120])}
+
+
+def test_counts_of_json_cells(spark):
+    cells = ['{"strat_with": ["a", "b"], "Start_With": "c", "Tone": []}', '[{"type": "Tone"}, {"constraint_type": "Tone"}, {"x": 1}, "Style", null]', "{bad", None, "5"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "k int, c string")
+    got = sorted((r.k, r.category, r.n) for r in tagging.constraint_counts_json(df, "k", F.col("c")).collect())
+    assert got == [(0, "Start_With", 3), (0, "Tone", 0), (1, "Style", 1), (1, "Tone", 2), (1, "other", 1)]
+
+
+def test_names_of_characters(spark):
+    df = spark.createDataFrame([("é", 3), ("\x80", 1)], "ch string, n int")
+    assert {r.ch: (r.name, r.category) for r in audit.named_chars(df).collect()} == {"é": ("LATIN SMALL LETTER E WITH ACUTE", "Ll"), "\x80": ("UNNAMED", "Cc")}
+
+
+def test_batch_judge(spark):
+    df = spark.createDataFrame([(1, "s", None), (2, None, None), (3, "s", "t"), (4, None, "t")], "k int, s string, t string")
+    load = lambda: lambda qs: ['{"style": 1, "topic": 0}'] * len(qs)
+    out = inference.batch_judge(df, "k", F.lit("p"), F.lit("r"), F.col("s"), F.col("t"), load)
+    assert {r.k: (r.style, r.topic) for r in out.collect()} == {1: (1, None), 2: (None, None), 3: (1, 0), 4: (None, 0)}
+
+
+def test_hot_fingerprint_and_group(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.col("id").cast("string")).alias("t"))
+    assert dedup.first_seen(df, "id", X.fingerprint(F.col("t"))).where("kept").count() == 4001
+    hot = df.select("id", F.when(F.col("id") % 3 == 0, F.lit("h")).otherwise(F.lit("c")).alias("g"))
+    assert sampling.per_group(hot, "g", "id", 500).groupBy("g").count().where("count = 500").count() == 2
