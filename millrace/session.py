@@ -13,11 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of reliable checkpoints: the cluster's own, a temporary one only where none is set."""
+    """The folder of reliable checkpoints: the cluster's own. Where none is set, one beside the warehouse, or a temporary
+    one in local mode."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-ckpt-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        alone = sc.master.startswith("local[") or sc.master == "local"
+        where = tempfile.mkdtemp(prefix="millrace-ckpt-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
