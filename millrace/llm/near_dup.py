@@ -90,11 +90,13 @@ def jaccard(a: str, b: str, n: int = GRAM) -> float:
 def _verifier(threshold: float):
     def verify(batches):
         for batch in batches:
-            a_text, b_text = (cp.texts_of(*plain(*cp.flatten(batch.column(i)))) for i in (2, 3))
+            a_text, b_text = (cp.by_slices(batch.column(i), plain).to_pylist() for i in (2, 3))
             sets: dict[str, set[str]] = {}
 
             def grams(t: str) -> set[str]:
                 if t not in sets:
+                    if len(sets) > 256:  # the sets of a few texts at a time
+                        sets.clear()
                     sets[t] = {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
                 return sets[t]
 

@@ -218,13 +218,13 @@ def plain_of_form(cps: np.ndarray, offs: np.ndarray) -> cp.Flat:
 @F.arrow_udf(T.StringType())
 def visual_form(col: pa.Array) -> pa.Array:
     """Column -> Column: the visual form."""
-    return cp.to_arrow(*normalise(*cp.flatten(col)), cp.validity(col))
+    return cp.by_slices(col, normalise)
 
 
 @F.arrow_udf(T.StringType())
 def plain_form(col: pa.Array) -> pa.Array:
     """Column -> Column: the comparison text of the similarity joins."""
-    return cp.to_arrow(*plain(*cp.flatten(col)), cp.validity(col))
+    return cp.by_slices(col, plain)
 
 
 def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
