@@ -100,23 +100,25 @@ def _verifier(threshold: float):
                     sets[t] = {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
                 return sets[t]
 
-            sims = np.zeros(len(a_text))
+            sims, inside = np.zeros(len(a_text)), np.zeros(len(a_text))
             for i, (s, t) in enumerate(zip(a_text, b_text)):
                 x, y = grams(s), grams(t)
                 both = len(x & y)
-                sims[i] = both / (len(x) + len(y) - both) if both else 0.0
+                if both:
+                    sims[i], inside[i] = both / (len(x) + len(y) - both), both / len(x)
             ok = pa.array(sims >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(sims).filter(ok)], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(sims).filter(ok), pa.array(inside).filter(ok)], ["a", "b", "similarity", "containment"])
 
     return verify
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of ids whose texts (id, text) reach the threshold on their full substring sets."""
+    """Pairs (a, b) of ids whose texts (id, text) reach the threshold on their full substring sets, with their Jaccard
+    coefficient and the share of a's substrings that b contains."""
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = texts.join(some, "id", "left_semi")
     full = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return full.mapInArrow(_verifier(threshold), "a bigint, b bigint, similarity double")
+    return full.mapInArrow(_verifier(threshold), "a bigint, b bigint, similarity double, containment double")
 
 
 def classes_and_links(df: DataFrame, id_col: str, text: Column, threshold: float = 0.75, recall: float = 0.9995, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +131,7 @@ def classes_and_links(df: DataFrame, id_col: str, text: Column, threshold: float
     banded = signed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "size", F.explode("bands").alias("h"))
     a, b = banded.select("h", F.col("id").alias("a"), F.col("size").alias("sa")), banded.select("h", F.col("id").alias("b"), F.col("size").alias("sb"))
     met = a.join(b, "h").where(f"a < b AND least(sa, sb) >= {threshold} * greatest(sa, sb)").select("a", "b").distinct()
-    links = cut(verified(met, texts, threshold))
+    links = cut(verified(met, texts, threshold).drop("containment"))
     return members, links
 
 
