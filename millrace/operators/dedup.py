@@ -114,9 +114,10 @@ def greedy(ids: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame
 
 def near_dedup(df: DataFrame, order: str, text: Column, threshold: float = 0.85) -> DataFrame:
     """(order, reason) for each row: null (kept), 'exact' or 'near'. Exact copies never reach the bands."""
-    base = df.select(F.col(order).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
+    # written once: the text may be costly to make, and is read for the fingerprints, the bands and the verification
+    base = cut(df.select(F.col(order).alias("id"), F.coalesce(text, F.lit("")).alias("t")))
     marked = first_seen(base, "id", X.fingerprint(F.col("t")))
-    firsts = marked.where("kept")
+    firsts = cut(marked.where("kept").select("id", "t"))
     decided = greedy(firsts.select("id"), near_pairs(firsts, "id", F.col("t"), threshold))
-    out = marked.select("id", F.col("kept").alias("first")).join(decided, "id", "left")
-    return out.select(F.col("id").alias(order), F.when(~F.col("first"), "exact").when(~F.coalesce("kept", F.lit(True)), "near").alias("reason"))
+    out = base.select("id").join(decided, "id", "left")  # only firsts are decided
+    return out.select(F.col("id").alias(order), F.when(F.col("kept").isNull(), "exact").when(~F.col("kept"), "near").alias("reason"))
