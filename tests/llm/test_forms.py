@@ -84,3 +84,10 @@ def test_pairs(spark):
     assert [r[0] for r in df.orderBy("n").select(v.visual_form(F.col("p"))).collect()][5:] == [None, ""]
     big = spark.createDataFrame([(1, "ａ" * 200_000), (2, "a" * 200_000)], "n long, p string")
     assert v.look_alike_pairs(big, "n", ["p"]).count() == 1
+
+
+def test_hot_values_make_only_their_pairs(spark):
+    rows = spark.range(3000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("p"))
+    assert v.look_alike_pairs(rows, "n", ["p"]).count() == 0
+    one = rows.withColumn("p", F.when(F.col("n") == 1, F.lit("ｓame text")).otherwise(F.col("p")))
+    assert v.look_alike_pairs(one, "n", ["p"]).count() == 1000

@@ -135,3 +135,12 @@ def test_split_texts(spark):
     assert splitting.split_texts(df.limit(0), "doc_id", "text", [("s", 64, 8)]).count() == 0
     limits = spark.createDataFrame([("s", 64, None), (None, 5, 1)], "profile string, max_tokens int, overlap_tokens int")
     assert splitting.profiles_of(limits) == [("s", 64, 0)]
+
+
+def test_hot_length_in_a_mixture(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("five words of one length")).otherwise(F.concat(F.lit("word "), F.col("id").cast("string"))).alias("text"), F.when(F.col("id") % 10 == 0, F.lit("b")).otherwise(F.lit("a")).alias("source"))
+    goals = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.mixture(docs, goals)
+    report = {r.source: r for r in shares.collect()}
+    assert abs(report["a"].actual_share - 0.5) < 0.001
+    assert {s: n for s, n in mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies"))).collect()} == {s: r.mixed_tokens for s, r in report.items()}
