@@ -132,11 +132,14 @@ def constraint_tables(df: DataFrame) -> dict[str, DataFrame]:
     """The three nested cells of constraint records as related flat tables.
 
     cells        one per record and non-empty cell: root node and kind
+    categories   one per key of an object cell of added_constraint and added_constraint_from_llm whose value is a
+                 container, empty ones too, or null; a key whose value is a scalar is a constraint itself
     constraints  one per constraint of added_constraint and added_constraint_from_llm: category, text, weight
     rules        one per rule of rule_evaluate_dict
     parts        one per other container (terms, judges, checks, params, ...) with its scalars
     values       every scalar with its path
-    Each keeps rec_no, field, cell, node and parent.
+    Each keeps rec_no, field, cell, node and parent. Every container is in one of the first five, so each parent is a node
+    of some table.
     """
     nodes = adjacency(df, "rec_no", {"added_constraint": "added_constraint", "rule_evaluate_dict": "rule_evaluate_dict", "added_constraint_from_llm": "added_constraint_from_llm"})
     depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
@@ -144,6 +147,8 @@ def constraint_tables(df: DataFrame) -> dict[str, DataFrame]:
     cells = at.where("parent IS NULL").select("rec_no", "field", "cell", "node", "kind")
     roots = cells.groupBy("rec_no", "field", "cell").agg(F.first("kind").alias("root_kind"))
     listed = at.where("field <> 'rule_evaluate_dict'").join(roots, ["rec_no", "field", "cell"])
+    grouped = listed.where(F.col("root_kind") == "object").where("depth = 1 AND scalar IS NULL").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "path")
+    categories = entity(nodes, grouped, ["weight"])
     # a constraint is an item under a category, the category's own scalar, or an object of a constraint list
     item = (F.col("root_kind") == "object") & (F.col("depth") == 2) & F.col("label").isNull() | (F.col("root_kind") == "object") & (F.col("depth") == 1) & F.col("scalar").isNotNull() | (F.col("root_kind") == "object") & (F.col("depth") == 3) & F.split("path", "/")[1].isin("items") | (F.col("root_kind") == "array") & (F.col("depth") == 1)
     owners = listed.where(item).select("rec_no", "field", "cell", "node", "parent", "ordinal", "path", "scalar", F.when(F.col("root_kind") == "object", F.split("path", "/")[0]).alias("key"))
@@ -152,4 +157,4 @@ def constraint_tables(df: DataFrame) -> dict[str, DataFrame]:
     rules = at.where("field = 'rule_evaluate_dict' AND depth = 1 AND kind <> 'null'").select("rec_no", "field", "cell", "node", "parent", "ordinal", F.col("label").alias("rule"), "kind", "path")
     parts = entity(nodes, at.where("kind IN ('object', 'array') AND depth >= 2").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "path"), ["word", "count", "model", "name", "ok", "tool", "round", "by"])
     values = nodes.where("scalar IS NOT NULL").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "scalar", "path")
-    return {"cells": cells, "constraints": constraints, "rules": rules, "parts": parts, "values": values}
+    return {"cells": cells, "categories": categories, "constraints": constraints, "rules": rules, "parts": parts, "values": values}

@@ -50,7 +50,7 @@ def detected(label: Column) -> Column:
 
 _NESTED = {c: c for c in ("added_constraint", "rule_evaluate_dict", "added_constraint_from_llm")}
 _over("p2_found", "constraint_records", lambda df: shred.scalar_paths(shred.adjacency(df, "rec_no", _NESTED)))
-for _name in ("cells", "constraints", "rules", "parts", "values"):
+for _name in ("cells", "categories", "constraints", "rules", "parts", "values"):
     _over(f"p2_{_name}", "constraint_records", lambda df, n=_name: shred.constraint_tables(df)[n])
 
 # Text functions

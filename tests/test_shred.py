@@ -79,3 +79,23 @@ def test_long_and_repeated_cells(spark):
     cell = json.dumps({"k": list(range(100_000))})
     df = spark.createDataFrame([(1, cell), (1, cell)], "rec_no long, c string")
     assert shred.scalar_paths(shred.adjacency(df, "rec_no", {"c": "c"})).count() == 200_000
+
+
+def record(spark, *rows):
+    return spark.createDataFrame(rows, "rec_no long, added_constraint string, rule_evaluate_dict string, added_constraint_from_llm string")
+
+
+def test_every_parent_is_a_row(spark, sf):
+    made = record(
+        spark,
+        (-1, '{"Tone": ["Be calm."], "Topic": [], "Form": null, "Style": {"items": ["Plain", ["odd"]], "weight": 2}, "Mood": "Glad"}', '[1, {"a": [[]]}]', '[["x"], {"type": "T", "params": {"a": []}}]'),
+        (-2, '"{\\"A\\": {}}"', '{"keyword": {"func_input": ["t", {"a": [{}]}]}, "end_with": null, "n": 1}', "[null, {}]"),
+    )
+    given = spark.read.parquet(f"{sf}/constraint_records.parquet").select(*made.columns)
+    t = {k: [r.asDict() for r in v.collect()] for k, v in shred.constraint_tables(made.unionByName(given)).items()}
+    key = lambda r, x: (r["rec_no"], r["field"], r["cell"], r[x])
+    known = {key(r, "node") for k, rows in t.items() if k != "values" for r in rows}
+    assert all(r.get("parent") is None or key(r, "parent") in known for rows in t.values() for r in rows)
+    got = {r["label"]: (r["kind"], r["weight"]) for r in t["categories"] if r["rec_no"] == -1}
+    assert got == {"Tone": ("array", None), "Topic": ("array", None), "Form": ("null", None), "Style": ("object", "2")}
+    assert [r["label"] for r in t["categories"] if r["rec_no"] == -2] == ["A"]
