@@ -1,10 +1,11 @@
 """Problem 2: nested records shredded into an adjacency table and related flat tables.
 
 Every object, array and scalar of a cell is a node (rec_no, field, cell, node, parent, label, ordinal, kind, scalar,
-path); node numbers follow the order of the document, so parents come before their parts; cell is a hash of the cell's
+path, and depth, top, key, above: the number of steps from the root, the node and label at depth 1 above it or itself, the
+label of its parent); node numbers follow the order of the document, so parents come before their parts; cell is a hash of the cell's
 text, which keeps rows of a repeated rec_no apart (equal rows give equal nodes, as often as they occur). A text that is itself a JSON object
-or array counts as that object or array, at any depth. Entity tables are joins of container nodes with the pivoted
-scalars of their children and keep ``parent`` and ``rec_no``.
+or array counts as that object or array, at any depth. Entity tables are joins of container nodes with the scalars
+of their children, all of them in ``scalars`` and the usual ones as columns, and keep ``parent`` and ``rec_no``.
 
 Null cells, and cells that are not valid JSON (NaN and infinities included), give no node; a JSON null is a node without
 scalar. Empty containers are nodes without parts. Of a key that an object repeats the last value counts. A cell that is
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "rec_no bigint, field string, cell bigint, node int, parent int, label string, ordinal int, kind string, scalar string, path string"
-_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+NODES = "rec_no bigint, field string, cell bigint, node int, parent int, label string, ordinal int, kind string, scalar string, path string, depth int, top int, key string, above string"
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 
 
 class _Number(str):
@@ -58,20 +59,23 @@ def unwrap(value):
 
 
 def shred(value) -> Iterator[tuple]:
-    """(node, parent, label, ordinal, kind, scalar, path) of a value and all its parts, in document order."""
-    stack, node = [(value, None, None, None, "")], 0
+    """(node, parent, label, ordinal, kind, scalar, path, depth, top, key, above) of a value and all its parts, in document
+    order."""
+    stack, node = [(value, None, None, None, "", 0, None, None, None)], 0
     while stack:
-        value, parent, label, ordinal, path = stack.pop()
+        value, parent, label, ordinal, path, depth, top, key, above = stack.pop()
+        if depth == 1:
+            top, key = node, label
         value = unwrap(value)
         if isinstance(value, dict):
-            yield node, parent, label, ordinal, "object", None, path
-            parts = [(v, node, k, i, f"{path}/{k}" if path or parent is not None else k) for i, (k, v) in enumerate(value.items())]
+            yield node, parent, label, ordinal, "object", None, path, depth, top, key, above
+            parts = [(v, node, k, i, f"{path}/{k}" if path or parent is not None else k, depth + 1, top, key, label) for i, (k, v) in enumerate(value.items())]
         elif isinstance(value, list):
-            yield node, parent, label, ordinal, "array", None, path
-            parts = [(v, node, None, i, f"{path}/{i}" if path or parent is not None else str(i)) for i, v in enumerate(value)]
+            yield node, parent, label, ordinal, "array", None, path, depth, top, key, above
+            parts = [(v, node, None, i, f"{path}/{i}" if path or parent is not None else str(i), depth + 1, top, key, label) for i, v in enumerate(value)]
         else:
             kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, _Number) else "text"
-            yield node, parent, label, ordinal, kind, None if value is None else ("true" if value else "false") if kind == "boolean" else str(value), path
+            yield node, parent, label, ordinal, kind, None if value is None else ("true" if value else "false") if kind == "boolean" else str(value), path, depth, top, key, above
             parts = ()
         stack.extend(reversed(parts))
         node += 1
@@ -119,12 +123,15 @@ def scalar_paths(nodes: DataFrame) -> DataFrame:
 
 
 def entity(nodes: DataFrame, owners: DataFrame, labels: list[str]) -> DataFrame:
-    """Container nodes ``owners`` joined with their scalar children, pivoted to one column per label.
+    """Container nodes ``owners`` joined with their scalar children: one column per label of ``labels``, and ``scalars``,
+    an array (ordinal, label, kind, scalar) of all of them, whatever their label, items of arrays (without label) too.
 
-    The pivot is a partial aggregate on (rec_no, field, cell, parent); containers without such children keep null columns.
+    The pivot is a partial aggregate on (rec_no, field, cell, parent); owners without such children keep null columns.
     """
-    parts = nodes.where(F.col("scalar").isNotNull() & F.col("label").isin(*labels)).groupBy("rec_no", "field", "cell", F.col("parent").alias("node"))
-    wide = parts.agg(*(F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(x) for x in labels))
+    parts = nodes.where("scalar IS NOT NULL AND parent IS NOT NULL").groupBy("rec_no", "field", "cell", F.col("parent").alias("node"))
+    # a set, because equal rows give equal nodes
+    every = F.array_sort(F.collect_set(F.struct("ordinal", "label", "kind", "scalar"))).alias("scalars")
+    wide = parts.agg(*(F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(x) for x in labels), every)
     return owners.join(wide, ["rec_no", "field", "cell", "node"], "left")
 
 
@@ -134,27 +141,31 @@ def constraint_tables(df: DataFrame) -> dict[str, DataFrame]:
     cells        one per record and non-empty cell: root node and kind
     categories   one per key of an object cell of added_constraint and added_constraint_from_llm whose value is a
                  container, empty ones too, or null; a key whose value is a scalar is a constraint itself
-    constraints  one per constraint of added_constraint and added_constraint_from_llm: category, text, weight
+    constraints  one per constraint of added_constraint and added_constraint_from_llm: category, body, weight (its own, else that of
+                 its category)
     rules        one per rule of rule_evaluate_dict
     parts        one per other container (terms, judges, checks, params, ...) with its scalars
     values       every scalar with its path
-    Each keeps rec_no, field, cell, node and parent. Every container is in one of the first five, so each parent is a node
+    Each keeps rec_no, field, cell, node and parent; ``scalars`` of categories, constraints, rules and parts has every
+    scalar directly in the container. Every container is in one of the first five, so each parent is a node
     of some table.
     """
     nodes = adjacency(df, "rec_no", {"added_constraint": "added_constraint", "rule_evaluate_dict": "rule_evaluate_dict", "added_constraint_from_llm": "added_constraint_from_llm"})
-    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
-    at = nodes.withColumn("depth", depth)
-    cells = at.where("parent IS NULL").select("rec_no", "field", "cell", "node", "kind")
+    cells = nodes.where("parent IS NULL").select("rec_no", "field", "cell", "node", "kind")
     roots = cells.groupBy("rec_no", "field", "cell").agg(F.first("kind").alias("root_kind"))
-    listed = at.where("field <> 'rule_evaluate_dict'").join(roots, ["rec_no", "field", "cell"])
+    listed = nodes.where("field <> 'rule_evaluate_dict'").join(roots, ["rec_no", "field", "cell"])
     grouped = listed.where(F.col("root_kind") == "object").where("depth = 1 AND scalar IS NULL").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "path")
     categories = entity(nodes, grouped, ["weight"])
     # a constraint is an item under a category, the category's own scalar, or an object of a constraint list
-    item = (F.col("root_kind") == "object") & (F.col("depth") == 2) & F.col("label").isNull() | (F.col("root_kind") == "object") & (F.col("depth") == 1) & F.col("scalar").isNotNull() | (F.col("root_kind") == "object") & (F.col("depth") == 3) & F.split("path", "/")[1].isin("items") | (F.col("root_kind") == "array") & (F.col("depth") == 1)
-    owners = listed.where(item).select("rec_no", "field", "cell", "node", "parent", "ordinal", "path", "scalar", F.when(F.col("root_kind") == "object", F.split("path", "/")[0]).alias("key"))
-    wide = entity(nodes, owners, ["type", "constraint_type", "text", "description"])
-    constraints = wide.select("rec_no", "field", "cell", "node", "parent", "ordinal", F.coalesce("type", "constraint_type", "key").alias("category"), F.coalesce("scalar", "text", "description").alias("body"), "path")
-    rules = at.where("field = 'rule_evaluate_dict' AND depth = 1 AND kind <> 'null'").select("rec_no", "field", "cell", "node", "parent", "ordinal", F.col("label").alias("rule"), "kind", "path")
-    parts = entity(nodes, at.where("kind IN ('object', 'array') AND depth >= 2").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "path"), ["word", "count", "model", "name", "ok", "tool", "round", "by"])
+    in_object = "depth = 2 AND label IS NULL OR depth = 1 AND scalar IS NOT NULL OR depth = 3 AND above = 'items'"
+    item = F.expr(f"root_kind = 'object' AND ({in_object}) OR root_kind = 'array' AND depth = 1")
+    owners = listed.where(item).select("rec_no", "field", "cell", "node", "parent", "ordinal", "path", "scalar", "key", "top")
+    weights = nodes.where("depth = 2 AND label = 'weight' AND scalar IS NOT NULL").groupBy("rec_no", "field", "cell", "top").agg(F.max("scalar").alias("of_top"))
+    wide = entity(nodes, owners, ["type", "constraint_type", "text", "description", "weight"]).join(weights, ["rec_no", "field", "cell", "top"], "left")
+    body = F.coalesce("scalar", "text", "description").alias("body")
+    constraints = wide.select("rec_no", "field", "cell", "node", "parent", "ordinal", F.coalesce("type", "constraint_type", "key").alias("category"), body, F.coalesce("weight", "of_top").alias("weight"), "scalars", "path")
+    ruled = nodes.where("field = 'rule_evaluate_dict' AND depth = 1 AND kind <> 'null'").select("rec_no", "field", "cell", "node", "parent", "ordinal", F.col("label").alias("rule"), "kind", "scalar", "path")
+    rules = entity(nodes, ruled, [])
+    parts = entity(nodes, nodes.where("kind IN ('object', 'array') AND depth >= 2").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "path"), ["word", "count", "model", "name", "ok", "tool", "round", "by", "weight", "min", "max"])
     values = nodes.where("scalar IS NOT NULL").select("rec_no", "field", "cell", "node", "parent", "label", "ordinal", "kind", "scalar", "path")
     return {"cells": cells, "categories": categories, "constraints": constraints, "rules": rules, "parts": parts, "values": values}

@@ -99,3 +99,21 @@ def test_every_parent_is_a_row(spark, sf):
     got = {r["label"]: (r["kind"], r["weight"]) for r in t["categories"] if r["rec_no"] == -1}
     assert got == {"Tone": ("array", None), "Topic": ("array", None), "Form": ("null", None), "Style": ("object", "2")}
     assert [r["label"] for r in t["categories"] if r["rec_no"] == -2] == ["A"]
+
+
+def test_every_scalar_is_in_its_table(spark):
+    df = record(
+        spark,
+        (1, '{"and/or": {"items": ["Be calm.", {"text": "Plain", "weight": 5, "by/who": "x"}], "weight": 0.5, "new": true}, "a/b/c": "Short", "Tone": ["p/q"]}', '{"word_length": {"func_input": [{"min": 1, "max": "9", "unit": "w"}, "t"], "since": 3}}', None),
+        (1, '{"and/or": {"items": ["Be calm.", {"text": "Plain", "weight": 5, "by/who": "x"}], "weight": 0.5, "new": true}, "a/b/c": "Short", "Tone": ["p/q"]}', None, None),
+        (2, '[{"type": "T", "description": "D", "weight": 1, "note": ""}]', None, None),
+    )
+    t = {k: [r.asDict() for r in v.dropDuplicates(["rec_no", "field", "cell", "node"]).collect()] for k, v in shred.constraint_tables(df).items()}
+    got = sorted((r["category"], r["body"], r["weight"], r["path"]) for r in t["constraints"])
+    assert got == [("T", "D", "1", "0"), ("Tone", "p/q", None, "Tone/0"), ("a/b/c", "Short", None, "a/b/c"), ("and/or", "Be calm.", "0.5", "and/or/items/0"), ("and/or", "Plain", "5", "and/or/items/1")]
+    named = {(r["path"], r["min"], r["max"]) for r in t["parts"] if r["min"]}
+    assert named == {("word_length/func_input/0", "1", "9")}
+    held = {(r["rec_no"], r["field"], r["cell"], r["node"], x.ordinal, x.label, x.kind, x.scalar) for k in ("categories", "constraints", "rules", "parts") for r in t[k] for x in r["scalars"] or ()}
+    tops = {(r["rec_no"], r["field"], r["cell"], r["node"]) for r in t["cells"]}
+    want = {(r["rec_no"], r["field"], r["cell"], r["parent"], r["ordinal"], r["label"], r["kind"], r["scalar"]) for r in t["values"] if (r["rec_no"], r["field"], r["cell"], r["parent"]) not in tops}
+    assert held == want and len(want) > 12
