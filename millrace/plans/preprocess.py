@@ -1,4 +1,8 @@
-"""The preprocessing plan: clean, gate, remove duplicates, audit."""
+"""The preprocessing plan: clean, gate, remove exact and near-duplicates, count by source.
+
+``decided`` and what rests on it (``decided_by_source``, ``run``) are the whole plan. ``kept`` and ``by_source`` stop after exact
+removal: near-duplicates count as kept there.
+"""
 
 from __future__ import annotations
 
@@ -18,13 +22,13 @@ def gated(df: DataFrame) -> DataFrame:
 
 
 def kept(gated_rows: DataFrame, order: str = "line_no") -> DataFrame:
-    """Rows that pass all gates and are the first of their prompt without stop words."""
+    """Rows that pass all gates and are the first of their prompt without stop words: exact removal only."""
     live = gated_rows.where("skip_reason IS NULL").select(order, "source", "prompt", "response")
     return dedup.only_first(live, order, X.fingerprint(X.remove_stopwords(F.col("prompt"))))
 
 
 def by_source(gated_rows: DataFrame, order: str = "line_no") -> DataFrame:
-    """Per source: rows, rows that pass the gates, and rows kept after removing duplicates."""
+    """Per source: rows, rows that pass the gates, and rows kept after exact removal only."""
     ok = F.col("skip_reason").isNull()
     fp = F.when(ok, X.fingerprint(X.remove_stopwords(F.col("prompt"))))
     per = gated_rows.groupBy("source", fp.alias("fp")).agg(F.count("*").alias("n"), F.count_if(ok).alias("p"), F.min(F.when(ok, F.col(order))).alias("o"))
@@ -34,8 +38,19 @@ def by_source(gated_rows: DataFrame, order: str = "line_no") -> DataFrame:
     return whole.join(firsts, match, "left").select(whole["source"], "n_rows", "n_passed", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
+def decided(gated_rows: DataFrame, threshold: float = 0.85, order: str = "line_no") -> DataFrame:
+    """The gated rows with 'exact' and 'near' added to the reasons; what has no reason is kept."""
+    reasons = dedup.near_dedup(gated_rows.where("skip_reason IS NULL"), order, X.remove_stopwords(F.col("prompt")), threshold)
+    return gated_rows.join(reasons, order, "left").withColumn("skip_reason", F.coalesce("skip_reason", "reason")).drop("reason")
+
+
+def decided_by_source(decided_rows: DataFrame) -> DataFrame:
+    """Per source: rows, rows that pass the gates, and rows kept after exact and near-duplicate removal."""
+    kept_rows = F.col("skip_reason").isNull()
+    passed = kept_rows | F.col("skip_reason").isin("exact", "near")
+    return decided_rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_if(passed).alias("n_passed"), F.count_if(kept_rows).alias("n_kept"))
+
+
 def run(df: DataFrame, threshold: float = 0.85, order: str = "line_no") -> DataFrame:
     """All stages: gates, exact and near-duplicate removal; (order, skip_reason) with 'exact' and 'near' added."""
-    rows = gated(df)
-    decided = dedup.near_dedup(rows.where("skip_reason IS NULL"), order, X.remove_stopwords(F.col("prompt")), threshold)
-    return rows.select(order, "skip_reason").join(decided, order, "left").select(order, F.coalesce("skip_reason", "reason").alias("skip_reason"))
+    return decided(gated(df), threshold, order).select(order, "skip_reason")

@@ -120,6 +120,10 @@ _over("skip_reasons", "instruction_records", lambda df: _gated(df).select("line_
 _over("skip_funnel", "instruction_records", lambda df: gates.funnel(_gated(df)))
 _over("preprocess_kept", "instruction_records", lambda df: preprocess.kept(_gated(df)).select("line_no", "prompt", "response"))
 _over("preprocess_by_source", "instruction_records", lambda df: preprocess.by_source(_gated(df)))
+# the two above are exact removal only, as their SQL says; these are the whole plan
+_over("preprocess_full", "instruction_records", lambda df: preprocess.decided(_gated(df)).select("line_no", "skip_reason"))
+_over("preprocess_full_kept", "instruction_records", lambda df: preprocess.decided(_gated(df)).where("skip_reason IS NULL").select("line_no", "prompt", "response"))
+_over("preprocess_full_by_source", "instruction_records", lambda df: preprocess.decided_by_source(preprocess.decided(_gated(df))))
 
 # Duplicates
 

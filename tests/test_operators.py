@@ -261,3 +261,34 @@ def test_hot_fingerprint_and_group(spark):
     assert dedup.first_seen(df, "id", X.fingerprint(F.col("t"))).where("kept").count() == 4001
     hot = df.select("id", F.when(F.col("id") % 3 == 0, F.lit("h")).otherwise(F.lit("c")).alias("g"))
     assert sampling.per_group(hot, "g", "id", 500).groupBy("g").count().where("count = 500").count() == 2
+
+
+def test_whole_preprocessing_against_the_sequential_rule(spark, sf, tmp_path):
+    from millrace.queries import queries
+
+    given = spark.read.parquet(f"{sf}/instruction_records.parquet")
+    near = given.withColumns({"line_no": F.col("line_no") + 100_000, "winner_prompt": F.concat("winner_prompt", F.lit(" Thanks"))})
+    nearer = given.where("line_no % 2 = 0").withColumns({"line_no": F.col("line_no") - 100_000, "winner_prompt": F.concat(F.lit("Hello: "), "winner_prompt")})
+    given.unionByName(near).unionByName(nearer).write.parquet(f"{tmp_path}/instruction_records.parquet")
+    q = queries()
+    gated = {r.line_no: r.skip_reason for r in q["skip_reasons"](spark, str(tmp_path)).collect()}
+    df = spark.read.parquet(f"{tmp_path}/instruction_records.parquet").select("line_no", "source", X.remove_stopwords(X.clean_text(F.col("winner_prompt"))).alias("t"))
+    rows = sorted((r.line_no, r.source, r.t) for r in df.withColumn("fp", X.fingerprint(F.col("t"))).select("line_no", "source", F.struct("t", "fp").alias("t")).collect())
+    seen, kept, want = set(), [], dict(gated)
+    for line, _, t in rows:
+        if gated[line] is None:
+            grams = {t.t[i : i + dedup.K] for i in range(max(1, len(t.t) - dedup.K + 1))}
+            if t.fp in seen:
+                want[line] = "exact"
+            elif any(len(grams & k) / len(grams | k) >= 0.85 for k in kept):
+                want[line] = "near"
+            else:
+                kept.append(grams)
+            seen.add(t.fp)
+    assert list(want.values()).count("near") > 10
+    assert {r.line_no: r.skip_reason for r in q["preprocess_full"](spark, str(tmp_path)).collect()} == want
+    assert {r.line_no for r in q["preprocess_full_kept"](spark, str(tmp_path)).collect()} == {k for k, v in want.items() if v is None}
+    counts = {r.source: (r.n_rows, r.n_passed, r.n_kept) for r in q["preprocess_full_by_source"](spark, str(tmp_path)).collect()}
+    for source in {s for _, s, _ in rows}:
+        lines = [line for line, s, _ in rows if s == source]
+        assert counts[source] == (len(lines), sum(gated[x] is None for x in lines), sum(want[x] is None for x in lines))
