@@ -56,10 +56,7 @@ def tails(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(last TAIL characters of each text in visual form without closing white space, right-aligned, 0 before the
     beginning; class of the first character of the last line: 0 other, 1 bullet, 2 number, 3 dash)."""
     n = len(offs) - 1
-    lens = np.diff(offs)
-    k = np.minimum(lens, 4 * TAIL)
-    at = np.repeat(offs[1:] - k, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-    part, poffs = normalise(cps[at], np.concatenate([[0], np.cumsum(k)]))
+    part, poffs = normalise(cps, offs)  # whole texts: the last line may be long, and so may the closing white space
     pl = np.diff(poffs)
     solid = np.flatnonzero(~SPACE[part]) if len(part) else np.zeros(0, np.int64)
     last = np.searchsorted(solid, poffs[1:]) - 1

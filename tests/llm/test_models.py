@@ -187,3 +187,17 @@ def test_suffix_decides_only_where_the_text_does_not(held_out):
     assert lang("Qqq xxyyq", fr) == [CODES.index("fr")]
     english = next(t for c, t in test if c == "en")
     assert set(lang(english, fr)) == {CODES.index("en")}
+
+
+def test_tails_of_long_last_lines_and_long_blanks():
+    import numpy as np
+
+    from millrace.llm import codepoints as cp
+    from millrace.llm import truncation
+
+    long = "word " * 80 + "end"
+    texts = ["- " + long, "3) " + long, "Intro\n* " + long, "x" * 300 + "\n" + long, "Done here." + " " * 400, "x" * 191 + "- " + long[-190:]]
+    mat, kind = truncation.tails(*cp.from_texts(texts))
+    short, wanted = truncation.tails(*cp.from_texts(["- word end", "3) word end", "Intro\n* word end", "word end", "Done here.", "x" * 9 + "- word end"]))
+    assert kind.tolist() == wanted.tolist() and kind[1] == 2 and kind[2] == 1
+    assert np.array_equal(mat[4], short[4])
