@@ -32,6 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Broadcast ``df`` only when counting proves at most ``max_rows`` rows; otherwise leave the choice to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast ``df`` only when its rows are proven to hold at most ``max_bytes`` (summed over all of them, by their
+    JSON texts); otherwise leave the choice to AQE. The proof is one pass over ``df``: give it a table or a written one."""
+    row = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) + F.lit(16)
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= max_bytes else df
