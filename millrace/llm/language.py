@@ -7,6 +7,7 @@ corpus', the corpus' towards uniform. A hidden-Markov pass over the sentences of
 something, so that names, headings and single foreign words make no segment; runs of one language are the segments, each
 with the posterior of its language as confidence.
 
+The languages are those of the samples, whatever they are; codes that NOTATIONS does not know are understood as they stand.
 Null, blank and bare placeholder values, and texts without letters, have no segment. Labels in any notation (codes of
 two or three letters, English or own names, with regions) are understood; all else names no language.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm import codepoints as cp
 from millrace.llm.sentences import sentence_offsets
 from millrace.llm.visual_form import plain
-from millrace.session import broadcast_if_small
+from millrace.session import broadcast_if_small, cut
 
 CODES = ("en", "es", "fr", "de", "it", "pt", "ru", "ar", "zh")
 #: Notations of the languages (ISO 639-1/2/3 codes, English and own names).
@@ -61,10 +62,11 @@ SWITCH = 0.004
 MAX_SAMPLES = 20_000
 
 
-def declared_code(label: Column) -> Column:
-    """The code a label names, or null: its first part that is a notation of a language."""
-    pairs = [F.lit(x) for row in NOTATIONS.strip().split("\n") for name in row.split() for x in (name, row.split()[0])]
-    known = F.create_map(*pairs)
+def declared_code(label: Column, codes: tuple[str, ...] = CODES) -> Column:
+    """The code a label names, or null: its first part that is a notation of a language, or one of ``codes``."""
+    names = {name: row.split()[0] for row in NOTATIONS.strip().split("\n") for name in row.split()}
+    names |= {c.lower(): c for c in codes}
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     parts = F.split(F.lower(label), r"[^\p{L}\p{M}]+")
     return F.try_element_at(F.filter(F.transform(parts, lambda p: F.try_element_at(known, p)), lambda c: c.isNotNull()), F.lit(1))
 
@@ -112,7 +114,10 @@ class Model:
         return out
 
     @classmethod
-    def train(cls, texts: list[str], labels: list[str], codes: tuple[str, ...] = CODES, orders: tuple[int, ...] = ORDERS) -> Model:
+    def train(cls, texts: list[str], labels: list[str], codes: tuple[str, ...] | None = None, orders: tuple[int, ...] = ORDERS) -> Model:
+        """Fit on labelled texts; the codes are those of the labels, the usual nine first, in their order."""
+        if codes is None:
+            codes = tuple(sorted(set(labels), key=lambda c: (CODES.index(c) if c in CODES else len(CODES), c))) or CODES
         cps, offs = plain(*cp.from_texts(texts))
         which = np.array([codes.index(x) for x in labels], np.int64)
         tables = []
@@ -171,8 +176,14 @@ def _loaded(blob: bytes) -> Model:
 
 def train_from(samples: DataFrame, lang_col: str = "lang", text_col: str = "sample_text") -> Model:
     """Fit on labelled samples: at most MAX_SAMPLES of them, the first by their hash."""
-    rows = samples.where(F.col(lang_col).isin(*CODES) & F.col(text_col).isNotNull()).select(lang_col, text_col).orderBy(F.xxhash64(text_col)).limit(MAX_SAMPLES).collect()
-    return Model.train([r[1] for r in rows], [r[0] for r in rows])
+    return Model.train(*labelled(samples, lang_col, text_col))
+
+
+def labelled(samples: DataFrame, lang_col: str = "lang", text_col: str = "sample_text") -> tuple[list[str], list[str]]:
+    """(texts, labels) of at most MAX_SAMPLES samples, the first by their hash."""
+    rows = samples.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col)
+    rows = rows.orderBy(F.xxhash64(text_col), text_col, lang_col).limit(MAX_SAMPLES).collect()
+    return [r[1] for r in rows], [r[0] for r in rows]
 
 
 @functools.cache
@@ -278,13 +289,16 @@ def _detector(model: Model):
     return detect
 
 
-def host_priors(values: DataFrame, weight: float = 50.0) -> DataFrame:
-    """(host, prior: one probability per language) from values (host, declared), by one grouped aggregation."""
-    counts = values.groupBy("host").agg(*(F.count_if(F.col("declared") == c).alias(c) for c in CODES))
-    corpus = counts.agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CODES)).alias("n")).scalar()
-    share = {c: (corpus[c] + 20.0) / (sum(corpus[x] for x in CODES) + 20.0 * len(CODES)) for c in CODES}
-    total = sum(F.col(x) for x in CODES)
-    return counts.select("host", F.array(*((F.col(c) + weight * share[c]) / (total + weight) for c in CODES)).alias("prior"))
+def host_priors(values: DataFrame, weight: float = 50.0, codes: tuple[str, ...] = CODES) -> DataFrame:
+    """(host, prior: one probability per language) from values (host, declared), by one grouped aggregation and one sum of
+    its groups."""
+    counts = values.groupBy("host").agg(F.array(*(F.count_if(F.col("declared") == c) for c in codes)).alias("n"))
+    corpus = counts.agg(F.array(*(F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(len(codes)))).alias("n")).scalar()
+    total = lambda n: F.aggregate(n, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    smooth = F.zip_with("n", "corpus", lambda x, c: F.struct(x.alias("x"), (c + 20.0).alias("c")))
+    by_host = counts.select("host", "n", corpus.alias("corpus")).select("host", total(F.col("n")).alias("mine"), smooth.alias("v"))
+    whole = F.aggregate("v", F.lit(0.0), lambda acc, v: acc + v["c"])
+    return by_host.select("host", "mine", "v", whole.alias("whole")).select("host", F.transform("v", lambda v: (v["x"] + weight * v["c"] / F.col("whole")) / (F.col("mine") + weight)).alias("prior"))
 
 
 def detect_languages(df: DataFrame, id_col: str, fields: list[tuple[str, str]], host_col: str, samples: DataFrame, address_col: str | None = None) -> DataFrame:
@@ -293,11 +307,11 @@ def detect_languages(df: DataFrame, id_col: str, fields: list[tuple[str, str]],
     The suffix evidence is that of ``address_col`` where it is given, else of the label's own region.
     """
     model = train_from(samples)
-    parts = [F.struct(F.lit(t).alias("field"), F.col(t).alias("text"), declared_code(F.col(lab)).alias("declared"), suffix_code(F.col(address_col or lab)).alias("suffix")) for t, lab in fields]
+    parts = [F.struct(F.lit(t).alias("field"), F.col(t).alias("text"), declared_code(F.col(lab), model.codes).alias("declared"), suffix_code(F.col(address_col or lab)).alias("suffix")) for t, lab in fields]
     base = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(host_col, F.lit("")).alias("host"), F.explode(F.array(*parts)).alias("v")).select("id", "host", "v.*")
-    priors = host_priors(base.select("host", "declared"))
+    priors = cut(host_priors(base.select("host", "declared"), codes=model.codes))
     live = base.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S") & ~is_placeholder(F.col("text")))
-    fed = live.join(broadcast_if_small(priors, 5_000), "host").select("id", "text", "declared", "prior", "field", "suffix")
+    fed = live.join(broadcast_if_small(priors), "host").select("id", "text", "declared", "prior", "field", "suffix")
     return fed.mapInArrow(_detector(model), f"id bigint, field string, declared string, segments {SEGMENTS}")
 
 
