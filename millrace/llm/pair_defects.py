@@ -12,8 +12,10 @@ answer, refusal, echo, foreign or unfinished; the tags' coverage of the response
     truncated       the last clause is unfinished
 
 A pair has the first that applies. A null or blank prompt has no language and cannot be copied. Training pairs are made
-from a sample of at most MAX_TRAIN pairs (by the hash of their key) by recombination: answers kept, prompts echoed whole or in
-part, answers of other prompts in other languages, refusals from seed sentences, and answers cut short.
+from a sample of at most MAX_TRAIN pairs (the first by the hash of their key) by recombination: answers kept, prompts echoed
+whole or in part, answers of other prompts in other languages, refusals put together by a grammar (refusals.py), and answers
+cut short. A first fit then looks for refusals, however worded, among at most MAX_MINED sampled pairs; these are refusals of
+the second fit.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from millrace.llm import codepoints as cp
 from millrace.llm import refusals as seeds
 from millrace.llm import truncation as cut_off
-from millrace.llm.language import CODES, NOTATIONS, PLACEHOLDERS, Model, bounded_sample, viterbi
+from millrace.llm.language import CODES, NOTATIONS, PLACEHOLDERS, Model, bounded_sample, labelled, viterbi
 from millrace.llm.sentences import sentence_offsets
 from millrace.llm.visual_form import normalise, plain_of_form
 
@@ -38,7 +40,10 @@ TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 WORDED = [REFUSAL, ECHO]  # the tags that words speak for or against
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
+EMPTY = 0
 MAX_TRAIN = 2_500
+MAX_MINED = 10_000
+ROUNDS = 2
 BITS = 14
 N_DENSE = 14
 REFUSED, COPIED, ECHOED = 0.4, 0.75, 0.5
@@ -47,9 +52,10 @@ _NAMES = {name: row.split()[0] for row in NOTATIONS.strip().split("\n") for name
 _ASKED = re.compile(r"(?i)\b(?:in|into|en|auf|em|na|на|по|بال|用)[ -]?(?:plain |the )?(" + "|".join(sorted(map(re.escape, _NAMES), key=len, reverse=True)) + r")")
 
 
-def asked_languages(prompt: str) -> list[int]:
-    """Languages a prompt names as that of the answer."""
-    return [CODES.index(_NAMES[m.lower()]) for m in _ASKED.findall(prompt) if m.lower() in _NAMES]
+def asked_languages(prompt: str, codes: tuple[str, ...] = CODES) -> list[int]:
+    """Languages of ``codes`` that a prompt names as that of the answer."""
+    named = (_NAMES.get(m.lower()) for m in _ASKED.findall(prompt))
+    return [codes.index(c) for c in named if c in codes]
 
 
 class Clauses:
@@ -94,6 +100,7 @@ class Clauses:
         outside = np.where(ok, -1e9, like).max(1)
         foreign = np.where((n_words > 1) & ~ok.all(1), np.clip(outside - inside, -12, 12), 0)
 
+        self.spoken = ~ok.all(1)  # whether the prompt has a language at all
         none = np.full(n_rows, -1)
         xf = cut_off.features(cps, offs, none, none)
         logit = np.clip(cut[xf].sum(1) + cut[-1], -8, 8)
@@ -124,7 +131,7 @@ class Clauses:
             take = np.repeat(qpo[head], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             out[row[head], lang.scores(qpc[take], np.concatenate([[0], np.cumsum(size)])).argmax(1)] = True
         for i, text in enumerate(prompts.to_pylist()):
-            for code in asked_languages(text or ""):
+            for code in asked_languages(text or "", lang.codes):
                 out[i, code] = True
         out[~out.any(1)] = True
         return out
@@ -135,6 +142,7 @@ class Clauses:
         by_word = (_sums(w["hashed"][self.hashed[:n_words]], self.woffs) + _sums(w["hashed"][self.hashed[n_words:]], self.paoffs)) / 2
         out[:, WORDED] += by_word  # foreign and unfinished clauses have the words of an answer
         out[:, UNFINISHED] = np.where(self.dense[:, 7] > 0, out[:, UNFINISHED], -30)
+        out[:, FOREIGN] = np.where(self.spoken, out[:, FOREIGN], -30)
         some = np.diff(self.first) > 0
         out[self.first[:-1][some]] += w["start"]
         return out
@@ -179,22 +187,28 @@ def fit_crf(c: Clauses, tags: np.ndarray, rounds: int = 60, rate: float = 0.15,
     follows = np.flatnonzero(slot > 0)
     gold_move = np.zeros((k, k))
     np.add.at(gold_move, (tags[follows - 1], tags[follows]), 1)
+    by_time = [first[:-1][lens > t] + t for t in range(top)]
+    ends = first[1:][some] - 1
     for step in range(1, rounds + 1):
+        # forward and backward in probabilities, each position scaled to a sum of one
         e = c.emissions(w).astype(np.float64)
+        e = np.exp(e - e.max(1, keepdims=True))
+        move = np.exp(w["move"].astype(np.float64))
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        move = w["move"].astype(np.float64)
-        for t in range(top):
-            at = first[:-1][lens > t] + t
-            alpha[at] = e[at] + (_lse(alpha[at - 1][:, :, None] + move[None], 1) if t else 0)
+        for t, at in enumerate(by_time):
+            x = e[at] * (alpha[at - 1] @ move) if t else e[at]
+            alpha[at] = x / x.sum(1, keepdims=True)
+        beta[ends] = 1 / k
         for t in range(top - 2, -1, -1):
-            at = first[:-1][lens > t + 1] + t
-            beta[at] = _lse(move[None] + (e[at + 1] + beta[at + 1])[:, None, :], 2)
-        z = np.zeros(n_rows)
-        z[some] = _lse(alpha[first[1:][some] - 1], 1)
-        post = np.exp(alpha + beta - z[c.row][:, None])
+            at = by_time[t + 1] - 1
+            x = (e[at + 1] * beta[at + 1]) @ move.T
+            beta[at] = x / x.sum(1, keepdims=True)
+        post = alpha * beta
+        post /= post.sum(1, keepdims=True)
         diff = ((post - onehot) / n_rows).astype(np.float32)
-        prev = follows - 1
-        both = np.exp(alpha[prev][:, :, None] + move[None] + (e[follows] + beta[follows])[:, None, :] - z[c.row[follows]][:, None, None]).sum(0)
+        left, right = alpha[follows - 1], e[follows] * beta[follows]
+        weight = 1 / np.einsum("ni,ij,nj->n", left, move, right)
+        both = (left * weight[:, None]).T @ right * move
         g = {"dense": c.dense.T @ diff, "start": diff[first[:-1][some]].sum(0), "move": ((both - gold_move) / n_rows).astype(np.float32)}
         g["hashed"] = np.stack([np.bincount(c.hashed, diff[owner, j] / 2, 1 << BITS) for j in WORDED], 1).astype(np.float32)
         for key in w:
@@ -205,55 +219,65 @@ def fit_crf(c: Clauses, tags: np.ndarray, rounds: int = 60, rate: float = 0.15,
     return w
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
-
-
 def _fill(rng: np.random.Generator, text: str) -> str:
     pick = lambda xs: xs[rng.integers(len(xs))]
     return text.format(k=pick(seeds.KINDS), n=pick(seeds.NOUNS), a=pick(seeds.ADJECTIVES), x=pick(seeds.NAMES))
 
 
-def _sentences(text: str) -> list[str]:
-    cps, offs = cp.from_texts([text])
-    starts, _ = sentence_offsets(cps, offs)
-    return [s for s in cp.texts_of(cps, starts) if s]
+def sentences_of(texts: list[str]) -> list[list[str]]:
+    """The sentences of each text, without empty ones."""
+    cps, offs = cp.from_texts(texts)
+    starts, first = sentence_offsets(cps, offs)
+    flat = cp.texts_of(cps, starts) if len(cps) else []
+    return [[s for s in flat[a:b] if s] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
-def training_pairs(pairs: list[tuple[str, str]], lang: Model, seed: int = 23) -> list[tuple[str, list[tuple[str, int]]]]:
-    """(prompt, [(clause, tag)]) examples recombined from sampled pairs and the seed sentences."""
+def training_pairs(pairs: list[tuple[str, str]], lang: Model, samples: list[tuple[str, str]] = (), learnt: list[tuple[str, list[tuple[str, int]]]] = (), seed: int = 23) -> list[tuple[str, list[tuple[str, int]]]]:
+    """(prompt, [(clause, tag)]) examples recombined from sampled pairs and the grammar of refusals; ``learnt`` are pairs
+    whose refusing clauses an earlier round has found: they serve as refusals, and no longer as answers. ``samples`` (text,
+    language) serve as answers in another language."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[rng.integers(len(xs))]
     from millrace.llm.visual_form import plain
 
     code = lambda texts: lang.scores(*plain(*cp.from_texts(texts))).argmax(1)
-    said = lambda table: {h for row in table.values() for s in re.split(r"[|\n]", row) for h in _pairs_of(s)}
-    declines = said(seeds.DECLINE)
-    around = declines | said(seeds.LEAD) | said(seeds.TRAIL)
-    share = lambda have, known: sum(h in known for h in have) / max(len(have), 1)
+    known = {x for p, r in learnt for x in ((p, "".join(s for s, _ in r)),)}
+    declines = {h for c in CODES for x in pairs_of(seeds.phrases(c)) for h in x}
+    share = lambda have, of: sum(h in of for h in have) / max(len(have), 1)
     kept, lp, lr = [], [], []
-    prompt_lang = code([(_sentences(p) or [""])[0] for p, _ in pairs])
+    parts, prompt_parts = sentences_of([r for _, r in pairs]), sentences_of([p for p, _ in pairs])
+    prompt_lang = code([(x or [""])[0] for x in prompt_parts])
     answer_lang = code([r for _, r in pairs])
     whole = cut_off.looks_complete([r for _, r in pairs])
+    said, asked_for = pairs_of([r for _, r in pairs]), pairs_of([p for p, _ in pairs])
+    clause_pairs = iter(pairs_of([s for x in parts for s in x[:4]]))
+    heads = [[next(clause_pairs) for _ in x[:4]] for x in parts]
     for i, (p, r) in enumerate(pairs):
-        have, mine = _pairs_of(r), set(_pairs_of(p))
-        if not whole[i] or not have or share(have, around) > 0.4 or share(have, mine) > 0.5:
+        if not whole[i] or not said[i] or (p, r) in known or share(said[i], set(asked_for[i])) > 0.5:
             continue
-        if any(share(_pairs_of(s), declines) >= 0.6 for s in _sentences(r)[:4]):
+        if share(said[i], declines) > 0.25 or any(share(s, declines) >= 0.4 for s in heads[i]):
             continue
-        if answer_lang[i] == prompt_lang[i] or answer_lang[i] in asked_languages(p):
-            kept.append((p, _sentences(r)))
+        if answer_lang[i] == prompt_lang[i] or answer_lang[i] in asked_languages(p, lang.codes):
+            kept.append((p, parts[i], prompt_parts[i]))
             lp.append(prompt_lang[i])
             lr.append(answer_lang[i])
-    out: list[tuple[str, list[tuple[str, int]]]] = []
+    out: list[tuple[str, list[tuple[str, int]]]] = [x for x in learnt for _ in range(4)]
     by_lang: dict[int, list[int]] = {}
     for i, x in enumerate(lr):
         by_lang.setdefault(int(x), []).append(i)
-    for i, (p, r) in enumerate(kept):
-        own = CODES[lp[i]]
+
+    def refusal(say: str) -> list[tuple[str, int]]:
+        text = [(_fill(rng, s) + " ", REFUSAL) for s in seeds.decline(rng, say)]
+        if rng.random() < 0.4:
+            text.insert(0, (_fill(rng, pick(seeds.LEAD[say].split("|"))) + " ", REFUSAL))
+        if rng.random() < 0.4:
+            text.append((_fill(rng, pick(seeds.TRAIL[say].split("|"))), REFUSAL))
+        return text
+
+    for i, (p, r, ps) in enumerate(kept):
+        own = lang.codes[lp[i]]
         ans = [(s, ANSWER) for s in r]
-        asked = set(asked_languages(p)) | {int(lp[i])}
+        asked = set(asked_languages(p, lang.codes)) | {int(lp[i])}
         out.append((p, ans))
         if rng.random() < 0.15:
             at = int(rng.integers(len(ans) + 1))
@@ -265,15 +289,8 @@ def training_pairs(pairs: list[tuple[str, str]], lang: Model, seed: int = 23) ->
             out.append((p, short if rng.random() < 0.5 else [*short, *ans[:2]]))
         if rng.random() < 0.1:
             out.append((p, [(_fill(rng, pick(seeds.LEAD["en"].split("|"))) + " ", ANSWER), *ans]))
-        if rng.random() < 0.35 or own != "en":  # refusals
-            say = own if rng.random() < 0.8 else pick(CODES)
-            text = [(_fill(rng, pick(re.split(r"[|\n]", seeds.DECLINE[say]))) + " ", REFUSAL)]
-            if rng.random() < 0.4:
-                text.insert(0, (_fill(rng, pick(seeds.LEAD[say].split("|"))) + " ", REFUSAL))
-            if rng.random() < 0.4:
-                text.append((_fill(rng, pick(seeds.TRAIL[say].split("|"))), REFUSAL))
-            out.append((p, text))
-        ps = _sentences(p)
+        if rng.random() < 0.35 or own != "en":
+            out.append((p, refusal(own if own in CODES and rng.random() < 0.8 else pick(CODES))))
         how = rng.random()
         if how < 0.2:  # the prompt whole, or most of it
             echo = [(s, ECHO) for s in ps if how < 0.1 or rng.random() < 0.85] or [(ps[0], ECHO)]
@@ -294,43 +311,80 @@ def training_pairs(pairs: list[tuple[str, str]], lang: Model, seed: int = 23) ->
         elif how < 0.9:  # cut short
             text, _, y = cut_off.cut_examples(["".join(r)], [(0, 0)], int(rng.integers(1 << 30)))
             if len(y) > 1:
-                s = _sentences(text[1])
+                s = sentences_of([text[1]])[0]
                 out.append((p, [(x, ANSWER) for x in s[:-1]] + [(s[-1], UNFINISHED)]))
-    if kept:  # every seed some times, whatever languages the sample has
-        for table in seeds.DECLINE.values():
-            for text in re.split(r"[|\n]", table):
-                for _ in range(6):
-                    out.append((kept[int(rng.integers(len(kept)))][0], [(_fill(rng, text), REFUSAL)]))
+    if kept:  # refusals of every language, whatever languages the sample has
+        for say in CODES:
+            for _ in range(min(500, len(kept)) if say == "en" else min(250, 30 + len(kept) // 2)):
+                out.append((kept[int(rng.integers(len(kept)))][0], refusal(say)))
+        # and texts of every language that refuse nothing: answers where the prompt has their language, else foreign
+        for text, say in zip(sentences_of([t for t, _ in samples]), (c for _, c in samples)):
+            own = [i for i, x in enumerate(lp) if lang.codes[x] == say]
+            for i in (int(rng.integers(len(kept))), *([pick(own)] if own else [])):
+                allowed = say in lang.codes and lang.codes.index(say) in (lp[i], *asked_languages(kept[i][0], lang.codes))
+                out.append((kept[i][0], [(s, ANSWER if allowed else FOREIGN) for s in text[: int(rng.integers(1, 4))]]))
     return out
 
 
-def _pairs_of(text: str) -> list[int]:
+def pairs_of(texts: list[str]) -> list[list[int]]:
+    """Hashes of the word pairs of each text."""
     from millrace.llm.visual_form import plain
 
-    words, offs, _ = cp.word_hashes(*plain(*cp.from_texts([text])))
-    return cp.sequence_hashes(words, offs, 2)[0].tolist()
+    words, offs, _ = cp.word_hashes(*plain(*cp.from_texts(texts)))
+    pairs, at = cp.sequence_hashes(words, offs, 2)
+    pairs = pairs.tolist()
+    return [pairs[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def train(pairs: list[tuple[str, str]], lang: Model) -> dict:
-    """The tagger: language model, unfinished-ending weights and random-field weights."""
-    cut = cut_off.train([r for _, r in pairs], [(0, 0)] * len(pairs))
-    made = training_pairs(pairs, lang)
+def _fitted(made: list[tuple[str, list[tuple[str, int]]]], lang: Model, cut: np.ndarray, rounds: int) -> dict[str, np.ndarray]:
+    """The random field of tagged examples."""
     responses = pa.array(["".join(s for s, _ in x) for _, x in made], pa.large_string())
-    prompts = pa.array([p for p, _ in made], pa.large_string())
-    c = Clauses(lang, cut, responses, prompts, np.arange(len(made)))
+    prompts = pa.array([p for p, _ in made], pa.large_string()).dictionary_encode()
+    c = Clauses(lang, cut, responses, prompts.dictionary, prompts.indices.to_numpy())
     # clauses found in the joined text take the tag of the piece that holds their middle
     cps, offs = normalise(*cp.flatten(responses))
     starts, first = sentence_offsets(cps, offs)
-    tags = np.zeros(len(starts) - 1, np.int64)
-    for i, (_, x) in enumerate(made):
-        piece_cps, piece_offs = normalise(*cp.from_texts([s for s, _ in x]))
-        lo, hi = first[i], first[i + 1]
-        middle = (starts[lo:hi] + starts[lo + 1 : hi + 1]) / 2 - offs[i]
-        tags[lo:hi] = np.array([t for _, t in x])[np.clip(np.searchsorted(piece_offs, middle, "right") - 1, 0, len(x) - 1)]
+    sizes = np.array([len(x) for _, x in made])
+    piece_offs = normalise(*cp.from_texts([s for _, x in made for s, _ in x]))[1]
+    piece_tags = np.array([t for _, x in made for _, t in x])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    row = np.repeat(np.arange(len(made)), np.diff(first))
+    middle = (starts[:-1] + starts[1:]) / 2 - offs[row] + piece_offs[begin[row]]
+    at = np.searchsorted(piece_offs, middle, "right") - 1
+    tags = piece_tags[np.clip(at, begin[row], begin[row + 1] - 1)]
     last = np.zeros(len(tags), bool)
     last[first[1:][np.diff(first) > 0] - 1] = True
     tags[(tags == UNFINISHED) & ~last] = ANSWER
-    return {"lang": lang, "cut": cut, "crf": fit_crf(c, tags)}
+    return fit_crf(c, tags, rounds)
+
+
+def refusals_in(model: dict, pairs: list[tuple[str, str]]) -> list[tuple[str, list[tuple[str, int]]]]:
+    """The pairs a model takes to be refusals, as tagged examples."""
+    responses, prompts = pa.array([r for _, r in pairs], pa.large_string()), pa.array([p for p, _ in pairs], pa.large_string())
+    c, tags = tag(model, responses, prompts)
+    out = []
+    hit = np.flatnonzero(c.defects(tags) == DEFECTS.index("refusal"))
+    for i, text in zip(hit, sentences_of([pairs[i][1] for i in hit])):
+        mine = tags[c.first[i] : c.first[i + 1]]
+        if len(text) == len(mine):
+            out.append((pairs[i][0], [(s, int(t) if t in (REFUSAL, ANSWER) else REFUSAL) for s, t in zip(text, mine)]))
+    return out
+
+
+def train(pairs: list[tuple[str, str]], lang: Model, samples: list[tuple[str, str]] = ()) -> dict:
+    """The tagger: language model, unfinished-ending weights and random-field weights.
+
+    Fitted ROUNDS times: the refusals that a round finds among the sampled pairs, worded as they may be, are refusals of
+    the next, so that their words are learnt from the data.
+    """
+    base = pairs[:MAX_TRAIN]
+    cut = cut_off.train([r for _, r in base], [(0, 0)] * len(base))
+    learnt: list = []
+    for k in range(ROUNDS):
+        if k:
+            learnt = refusals_in(model, pairs)
+        model = {"lang": lang, "cut": cut, "crf": _fitted(training_pairs(base, lang, samples, learnt), lang, cut, 60 if k + 1 == ROUNDS else 35)}
+    return model
 
 
 @functools.cache
@@ -338,6 +392,13 @@ def _loaded(blob: bytes) -> dict:
     return pickle.loads(blob)
 
 
+@functools.lru_cache(4)
+def _trained(pairs: tuple[tuple[str, str], ...], samples: tuple[tuple[str, str], ...]) -> bytes:
+    """The tagger of a sample, pickled; kept for the next call with the same sample."""
+    lang = Model.train([t for t, _ in samples], [c for _, c in samples], orders=(3,))
+    return pickle.dumps(train(list(pairs), lang, list(samples)))
+
+
 def tag(model: dict, responses: pa.Array, prompts: pa.Array) -> tuple[Clauses, np.ndarray]:
     """Clauses of responses and their tags; prompts that recur in the batch are looked at once."""
     coded = prompts.cast(pa.large_string()).fill_null("").dictionary_encode()
@@ -345,16 +406,20 @@ def tag(model: dict, responses: pa.Array, prompts: pa.Array) -> tuple[Clauses, n
     return c, viterbi(c.emissions(model["crf"]).astype(np.float32), c.first, model["crf"]["move"])
 
 
-def _detector(blob: bytes):
+def _detector(blob: bytes | None):
     def detect(batches):
-        model = _loaded(blob)
+        model = _loaded(blob) if blob else None
         for batch in batches:
             for lo, hi in cp.slices(batch.column(3), 1_000_000):
                 part = batch.slice(lo, hi - lo)
-                c, tags = tag(model, part.column(3), part.column(2))
-                d = c.defects(tags)
-                hit = np.flatnonzero(d >= 0)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(hit), part.column(1).take(hit), pa.array(np.array(DEFECTS, object)[d[hit]], pa.string())], ["tab", "row_key", "defect"])
+                d = np.where(part.column(4).to_numpy(zero_copy_only=False), EMPTY, -1)
+                live = np.flatnonzero(d < 0)
+                if model and len(live):
+                    some = part.take(pa.array(live))
+                    c, tags = tag(model, some.column(3), some.column(2))
+                    d[live] = c.defects(tags)
+                hit = pa.array(np.flatnonzero(d >= 0))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(hit), part.column(1).take(hit), pa.array(np.array(DEFECTS, object)[d[d >= 0]], pa.string())], ["tab", "row_key", "defect"])
 
     return detect
 
@@ -369,13 +434,13 @@ def is_empty(text: Column) -> Column:
 
 
 def pair_defects(pairs: DataFrame, samples: DataFrame) -> DataFrame:
-    """Defective rows of pairs (tab, row_key, prompt, response): (tab, row_key, defect)."""
-    rows = samples.where(F.col("lang").isin(*CODES) & F.col("sample_text").isNotNull()).select("sample_text", "lang").limit(20_000).collect()
-    lang = Model.train([r[0] for r in rows], [r[1] for r in rows], orders=(3,))
-    live = pairs.where(~is_empty(F.col("response")))
-    picked = bounded_sample(pairs, MAX_TRAIN, ["tab", "row_key"], ["prompt", "response"], ~is_empty(F.col("response")) & F.col("prompt").rlike(r"\S"))
-    found = pairs.where(is_empty(F.col("response"))).select("tab", "row_key", F.lit("empty").alias("defect"))
-    if not picked:
-        return found
-    blob = pickle.dumps(train([(r[0], r[1]) for r in picked], lang))
-    return found.unionByName(live.select("tab", "row_key", "prompt", "response").mapInArrow(_detector(blob), "tab string, row_key bigint, defect string"))
+    """Defective rows of pairs (tab, row_key, prompt, response): (tab, row_key, defect).
+
+    One scan takes the sample, another tags all rows; a pair that is empty is no more than marked.
+    """
+    empty = is_empty(F.col("response"))
+    picked = bounded_sample(pairs, MAX_MINED, ["tab", "row_key"], ["prompt", "response"], ~empty & F.col("prompt").rlike(r"\S"))
+    texts, labels = labelled(samples)
+    blob = _trained(tuple((r[0], r[1]) for r in picked), tuple(zip(texts, labels))) if picked and texts else None
+    rows = pairs.select("tab", "row_key", "prompt", F.when(~empty, F.col("response")).alias("response"), empty.alias("empty"))
+    return rows.mapInArrow(_detector(blob), "tab string, row_key bigint, defect string")

@@ -1,41 +1,130 @@
-"""Seed sentences for the clause tagger: ways to decline, what is said around them, and a few invented variations."""
+"""How a task is declined, as a small grammar for each language: openings, ways to say no, acts, reasons, whole sentences.
 
-#: {language: sentences that decline a task}
+Written from general knowledge of the languages, not from any table; a test holds the parts against the tables. Sentences
+are put together at random, so that a classifier learns the ways to say no rather than sentences.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: {language: (openings, ways to say no before an act, acts, reasons, sentences that decline as they stand)}; parts by "|".
 DECLINE = {
-    "en": """I'm sorry, but I can't help with that request.|I cannot write this {k}, as it goes against my guidelines.|I am unable to comply with the task as written.|Sorry — no. I'm unable to do this.
-I can't fulfil this.|I cannot fulfil this request.|I must refuse to answer.|I have to decline: this is not something I can produce.|Unfortunately, I won't be able to assist with this.|That request is outside what I'm allowed to do.
-It would not be appropriate for me to respond to this.|Apologies, this is a task I'm not in a position to complete.|We regret that the assistant is unable to process this {k}.|As an assistant, I am not permitted to answer this.
-I don't feel comfortable answering that.|I'm afraid I can't provide this {k}.|My guidelines do not allow me to continue with this.|I will not be able to provide an answer to this question.|I decline to write this {k}.|This violates my policy, so I can't respond.
-I'm not able to do that.|As an AI language model, I cannot complete this request.|I won't write this.|Regrettably, I have to turn down this request.|I am not authorised to respond.|Sorry, this task must be refused.|I apologise, but this is something I cannot assist with.
-My policy does not permit me to talk about the {n}, so I stop here.|I'd rather not talk about this.|I don't feel comfortable writing about the {n}.|I am not able to provide an answer about the {n}.|The rules don't permit this {k}.|I'll stop here, because this is not permitted.""",
-    "es": """Lo siento, pero no puedo ayudar con esa petición.|Me temo que debo rechazar la tarea; pregunta otra cosa.|Como asistente, no estoy autorizado a responder a esto.|No me es posible cumplir con esta solicitud.|Lamentablemente, no puedo escribir este texto.
-Debo negarme a contestar.|No tengo permiso para responder.|Perdona, pero no puedo hacer eso.|Mis normas no me permiten seguir con esta petición.""",
-    "fr": """Je suis désolé, mais je ne peux pas répondre à cette demande.|Je dois malheureusement refuser cette tâche.|En tant qu'assistant, je ne suis pas autorisé à répondre à cela.|Je ne suis pas en mesure d'écrire ce texte.
-Désolé, je ne peux pas vous aider avec cette demande.|Il m'est impossible de répondre à cette question.|Mes règles ne me permettent pas de continuer.|Je regrette, mais je dois décliner.""",
-    "de": """Es tut mir leid, aber dabei kann ich nicht helfen.|Ich muss diese Aufgabe leider ablehnen.|Als Assistent darf ich auf diese Anfrage nicht antworten.|Leider bin ich nicht in der Lage, diesen Text zu schreiben.
-Diese Anfrage kann ich nicht erfüllen.|Entschuldigung, das kann ich nicht tun.|Meine Richtlinien erlauben mir das nicht.|Ich kann Ihnen bei dieser Bitte nicht helfen.""",
-    "it": """Mi dispiace, ma non posso aiutare con questa richiesta.|Purtroppo devo rifiutare questo compito.|Come assistente non sono autorizzato a rispondere.|Non mi è possibile scrivere questo testo.|Spiacente, non posso farlo.
-Devo declinare la richiesta.|Le mie regole non mi permettono di rispondere a questo.|Temo di dover rifiutare; chiedi qualcos'altro.""",
-    "pt": """Sinto muito, mas não posso ajudar com esse pedido.|Infelizmente preciso recusar esta tarefa.|Como assistente, não tenho permissão para responder a isso.|Não é possível atender a esta solicitação.|Lamento, mas não posso escrever este texto.
-Desculpe, não consigo fazer isso.|As minhas diretrizes não me permitem continuar.|Receio ter de recusar o pedido.""",
-    "ru": """Извините, но я не могу помочь с этой просьбой.|К сожалению, я вынужден отказаться от этого задания.|Как помощник, я не имею права отвечать на это.|Я не могу выполнить этот запрос.|Простите, я не могу написать этот текст.
-Мне не разрешено отвечать на такой вопрос.|Вынужден отклонить эту просьбу.|Мои правила не позволяют мне продолжать.""",
-    "ar": """آسف، لا أستطيع المساعدة في هذا الطلب.|يجب أن أعتذر عن هذه المهمة.|بصفتي مساعدا، لا يسمح لي بالرد على هذا.|لا يمكنني كتابة هذا النص.|عذرا، لا أستطيع تنفيذ هذا الطلب.|للأسف علي أن أرفض هذه المهمة.|إرشاداتي لا تسمح لي بالإجابة عن هذا.""",
-    "zh": """对不起，我无法帮助完成这个请求。|很抱歉，这项任务我必须拒绝。|作为助手，我不能回答这个问题。|抱歉，我不能写这篇文章。|遗憾的是，我无法满足您的要求。|我无权对此作出回应。|我的规定不允许我继续。""",
-}
-KINDS = "poem letter story report essay memo speech review fable summary sketch dialogue diary monologue lesson text list note".split()
+    "en": (
+        "Sorry,|I'm so sorry,|Sorry, but|I apologise;|I do apologise, but|My apologies,|Apologies, but|Unfortunately,|Regrettably,|Sadly,|I'm afraid|I am afraid that|With regret,|Thank you, but|No,|I understand, but|Please understand that|As an AI,|As an AI assistant,|As a language model,|Being an assistant,",
+        "I can't|I cannot|I can not|I am unable to|I'm unable to|I'm not able to|I am not able to|I won't|I will not|I won't be able to|I must decline to|I have to decline to|I need to decline to|I must refuse to|I have to refuse to|I refuse to|I decline to|I'm not allowed to|I am not allowed to|I'm not permitted to|I am not authorised to|I'm not authorized to|I am not in a position to|I'd rather not|I would prefer not to|I am not comfortable if I|I don't feel able to|I do not wish to|it is not possible for me to|it would be wrong for me to|it would not be appropriate to|I am forbidden to|I can no longer|we can't|we cannot|we are unable to|the assistant cannot|the assistant is not able to",
+        "help|help you|help with it|help here|assist|assist you|assist with that|be of assistance|answer|answer it|answer that|answer you|answer your question|answer the prompt|reply|reply to this|respond|respond to that|do it|do so|do what you ask|do as asked|complete it|complete the task|complete what you ask|comply|comply with it|comply with that instruction|fulfil it|fulfill your request|fulfil the task|meet this request|process this|process your request|carry this out|continue|continue with it|proceed|go on|write it|write that|write such a {k}|write a {k} like that|write the {k} you want|produce it|produce a {k}|produce this sort of text|create it|create a {k} on this|generate it|generate this content|provide it|provide a {k}|provide what you want|give you one|give an answer|offer an answer|discuss it|discuss the {n}|discuss such matters|talk about it|talk about the {n}|speak about {x}|comment on it|share it|support it|take part in this|engage with this|handle it|deal with this|accept it|accept the task|take on this task|work on this|say more",
+        "as it would break my rules|because my guidelines forbid it|since it conflicts with my guidelines|as my policy does not allow it|because it is against policy|as this is beyond what I may do|for reasons of safety|because it could cause harm|given my instructions|as it falls outside my scope|since I lack the permission|due to my limits|under my rules|because it is not allowed|as that is not permitted",
+        "This is a request I decline.|I decline.|I refuse.|I must decline.|I have to refuse.|I have to say no.|I will have to pass on this one.|My rules forbid it.|My guidelines rule this out.|My policy prevents me from doing so.|The policy rules out such a {k}.|That is against my guidelines.|That goes against the rules I follow.|This conflicts with my policy.|Your request violates my guidelines.|Such content is not permitted.|That task is not something I can take on.|That is nothing I can help with.|This is beyond what I am allowed to do.|The request must be turned down.|The task has to be declined.|I'm turning this down.|I have to turn your request down.|I don't feel comfortable with this.|I am not comfortable with that topic.|I'm uncomfortable writing this.|I'm not comfortable answering.|I'd prefer not to go into it.|I have no permission to answer.|There is no way for me to do this.|No answer can be given here.|I will leave this unanswered.|I stop at this point.|Not something I can do.|Not allowed.|Compliance is out of the question.|Request refused.|Can't help with that one.|I won't.|I can't.",
+    ),
+    "es": (
+        "Lo siento,|Lo siento mucho, pero|Perdón,|Perdone, pero|Disculpa,|Disculpe, pero|Lamentablemente,|Por desgracia,|Desafortunadamente,|Me temo que|Con pesar,|Como IA,|Como modelo de lenguaje,|Siendo un asistente,|Entiendo, pero",
+        "no puedo|no me es posible|no soy capaz de|no estoy en condiciones de|no tengo permiso para|no estoy autorizado para|no se me permite|debo negarme a|tengo que negarme a|me niego a|debo rechazar|prefiero no|no voy a|no quiero|no debo|no podré|resulta imposible",
+        "ayudar|ayudarte|ayudarle con esto|contestar|contestar a eso|responder|responder a la pregunta|responder a tu petición|hacerlo|hacer eso|cumplir la tarea|cumplir tu solicitud|atender la petición|completar la tarea|seguir|continuar con esto|escribirlo|escribir ese texto|escribir algo así|crear ese contenido|dar una respuesta|hablar de ello|hablar de este tema|tratar ese asunto|aceptar la tarea|procesar la solicitud",
+        "porque va contra mis normas|ya que mis reglas lo prohíben|por motivos de seguridad|pues no está permitido|debido a mis límites|según mi política",
+        "Debo rechazarlo.|Rechazo la tarea.|Tengo que decir que no.|Mis reglas lo impiden.|Mi política lo prohíbe.|Esto va contra mis directrices.|Esa solicitud no está permitida.|No está permitido.|No es algo que pueda hacer.|La petición queda rechazada.|No me siento cómodo con este tema.|Eso queda fuera de lo que puedo hacer.",
+    ),
+    "fr": (
+        "Désolé,|Désolée, mais|Pardon,|Toutes mes excuses,|Je m'excuse, mais|Malheureusement,|Hélas,|Je crains que non :|À regret,|En tant qu'IA,|En tant que modèle de langage,|Étant un assistant,|Je comprends, mais",
+        "je ne peux pas|je ne peux|je ne puis|je ne saurais|il m'est impossible de|il ne m'est pas possible de|je suis dans l'incapacité de|je ne suis pas capable de|je n'ai pas le droit de|je ne suis pas autorisé à|il ne m'est pas permis de|je dois refuser de|je me vois obligé de refuser de|je refuse de|je préfère ne pas|je ne vais pas|je ne veux pas|je ne pourrai pas",
+        "aider|vous aider|t'aider à cela|répondre|répondre à cela|répondre à votre question|répondre à ta demande|le faire|faire cela|faire ce que vous demandez|accomplir la tâche|satisfaire la demande|traiter la demande|continuer|poursuivre|l'écrire|écrire un tel texte|rédiger cela|produire ce contenu|créer ce contenu|donner une réponse|en parler|parler de ce sujet|aborder ce sujet|accepter la tâche",
+        "car cela va contre mes règles|parce que mes consignes l'interdisent|pour des raisons de sécurité|car ce n'est pas permis|en raison de mes limites|selon ma politique",
+        "Je dois refuser.|Je refuse la tâche.|Je dois dire non.|Mes règles l'interdisent.|Ma politique s'y oppose.|Cela va à l'encontre de mes consignes.|Cette demande n'est pas autorisée.|Ce n'est pas permis.|Ce n'est pas une chose que je peux faire.|La demande est refusée.|Je ne suis pas à l'aise avec ce sujet.|Cela dépasse ce que je peux faire.",
+    ),
+    "de": (
+        "Tut mir leid,|Es tut mir sehr leid, aber|Verzeihung,|Entschuldigung,|Entschuldigen Sie, aber|Leider|Bedauerlicherweise|Ich fürchte,|Mit Bedauern:|Als KI|Als Sprachmodell|Als ein Assistent|Ich verstehe das, aber",
+        "ich kann nicht|kann ich nicht|ich darf nicht|darf ich nicht|ich bin nicht in der Lage,|es ist mir nicht möglich,|mir ist es nicht erlaubt,|es ist mir nicht gestattet,|ich bin nicht befugt,|ich muss es ablehnen,|ich lehne es ab,|ich weigere mich,|ich möchte nicht|ich werde nicht|ich will nicht|ich muss davon absehen,",
+        "helfen|Ihnen helfen|dir dabei helfen|dabei zu helfen|weiterhelfen|antworten|darauf antworten|darauf zu antworten|die Frage beantworten|diese Frage zu beantworten|das tun|das zu tun|die Aufgabe erledigen|die Aufgabe zu lösen|der Bitte nachkommen|dem nachzukommen|die Anfrage bearbeiten|fortfahren|weiterzumachen|so etwas schreiben|das zu schreiben|den Text verfassen|solche Inhalte erstellen|eine Antwort geben|darüber sprechen|über dieses Thema zu sprechen|die Aufgabe annehmen",
+        "weil es gegen meine Regeln verstößt|da meine Vorgaben es verbieten|aus Gründen der Sicherheit|weil es nicht erlaubt ist|wegen meiner Grenzen|nach meinen Richtlinien",
+        "Ich muss ablehnen.|Ich lehne ab.|Da muss ich nein sagen.|Meine Regeln verbieten es.|Meine Vorgaben lassen das nicht zu.|Das verstößt gegen meine Richtlinien.|Diese Bitte ist nicht zulässig.|Das ist nicht erlaubt.|Das ist nichts, was ich tun kann.|Die Anfrage wird abgelehnt.|Mir ist bei diesem Thema nicht wohl.|Das übersteigt, was ich darf.",
+    ),
+    "it": (
+        "Scusa,|Scusami, ma|Chiedo scusa,|Mi spiace molto, ma|Mi dispiace,|Sfortunatamente,|Purtroppo|Temo che|Con rammarico,|In quanto IA,|In quanto modello linguistico,|Essendo un assistente,|Capisco, ma",
+        "non posso|non mi è possibile|non riesco a|non sono in grado di|non sono capace di|non ho il permesso di|non sono autorizzato a|non mi è permesso|non mi è consentito|devo rifiutarmi di|mi rifiuto di|devo rifiutare di|preferisco non|non intendo|non voglio|non potrò",
+        "aiutare|aiutarti|aiutarla in questo|rispondere|rispondere a ciò|rispondere alla domanda|farlo|fare questo|fare quanto chiesto|svolgere il compito|soddisfare la richiesta|elaborare la richiesta|continuare|proseguire|scriverlo|scrivere un testo simile|creare tali contenuti|dare una risposta|parlarne|parlare di questo argomento|trattare il tema|accettare il compito",
+        "perché va contro le mie regole|poiché le mie linee guida lo vietano|per motivi di sicurezza|perché non è permesso|a causa dei miei limiti|secondo la mia politica",
+        "Devo rifiutare.|Rifiuto il compito.|Devo dire di no.|Le mie regole lo vietano.|La mia politica lo impedisce.|Ciò va contro le mie linee guida.|Questa richiesta non è consentita.|Non è permesso.|Non è qualcosa che posso fare.|La richiesta è respinta.|Non mi sento a mio agio con questo tema.|Questo va oltre ciò che posso fare.",
+    ),
+    "pt": (
+        "Desculpe,|Desculpa, mas|Peço desculpa,|Lamento muito, mas|Sinto muito,|Infelizmente,|Lamentavelmente,|Receio que|Com pesar,|Sendo uma IA,|Como modelo de linguagem,|Sendo um assistente,|Compreendo, mas",
+        "não posso|não me é possível|não consigo|não sou capaz de|não estou em condições de|não tenho permissão para|não estou autorizado a|não me é permitido|devo recusar-me a|tenho de recusar|preciso recusar|recuso-me a|prefiro não|não vou|não quero|não poderei",
+        "ajudar|ajudá-lo|ajudar você com isso|responder|responder a isso|responder à pergunta|fazê-lo|fazer isso|fazer o que pede|cumprir a tarefa|atender ao pedido|processar o pedido|continuar|prosseguir|escrevê-lo|escrever um texto assim|criar esse conteúdo|dar uma resposta|falar disso|falar sobre esse assunto|tratar do tema|aceitar a tarefa",
+        "porque vai contra as minhas regras|pois as minhas normas o proíbem|por motivos de segurança|porque não é permitido|devido aos meus limites|segundo a minha política",
+        "Devo recusar.|Recuso a tarefa.|Tenho de dizer que não.|As minhas regras proíbem isso.|A minha política impede isso.|Isso vai contra as minhas normas.|Esse pedido não é permitido.|Não é permitido.|Não é algo que eu possa fazer.|O pedido foi recusado.|Não me sinto à vontade com esse tema.|Isso vai além do que posso fazer.",
+    ),
+    "ru": (
+        "Извините,|Простите,|Прошу прощения,|Мне очень жаль, но|Мне жаль,|К сожалению,|Увы,|Боюсь, что|С сожалением сообщаю:|Как ИИ,|Как языковая модель,|Будучи помощником,|Я понимаю, но",
+        "я не могу|не могу|я не в состоянии|я не способен|мне нельзя|мне не позволено|мне запрещено|мне не разрешается|я не имею права|я не вправе|я не уполномочен|я вынужден отказаться|я должен отказаться|я отказываюсь|я предпочту не|я не буду|я не стану|я не хочу|я не смогу",
+        "помочь|вам помочь|помочь с этим|ответить|отвечать|ответить на это|ответить на вопрос|отвечать на него|это сделать|сделать это|выполнить задание|выполнять его|выполнить просьбу|обработать запрос|продолжать|продолжить|написать это|писать такой текст|создавать такое|дать ответ|говорить об этом|обсуждать эту тему|принять задание",
+        "так как это против моих правил|потому что правила это запрещают|из соображений безопасности|ведь это не разрешено|из-за моих ограничений|согласно моей политике",
+        "Я должен отказаться.|Я отказываюсь.|Приходится отказать.|Мои правила это запрещают.|Моя политика этого не допускает.|Это противоречит моим правилам.|Такая просьба недопустима.|Это не разрешено.|Этого я сделать не могу.|Запрос отклонён.|Мне неловко говорить на эту тему.|Это выходит за рамки того, что мне можно.",
+    ),
+    "ar": (
+        "آسف،|أنا آسف،|أعتذر،|أعتذر منك، لكن|عذرا،|معذرة،|للأسف،|مع الأسف،|أخشى أنني|بكل أسف،|كوني مساعدا،|بصفتي نموذجا لغويا،|أفهم ذلك، لكن",
+        "لا أستطيع|لا أقدر على|لا يمكنني|لا يمكن لي|لست قادرا على|لا يسمح لي|غير مسموح لي|لا يحق لي|ليس لدي إذن|علي أن أرفض|أرفض|يجب أن أرفض|لن أستطيع|لن أتمكن من|لا أريد|أفضل ألا",
+        "المساعدة|مساعدتك|المساعدة في ذلك|الإجابة|الإجابة عن السؤال|الرد|الرد على ذلك|فعل ذلك|القيام بذلك|القيام بهذه المهمة|تنفيذ المهمة|تنفيذ ما تطلب|تلبية الطلب|معالجة الطلب|المتابعة|الاستمرار|كتابة ذلك|كتابة نص كهذا|إنشاء هذا المحتوى|إعطاء جواب|الحديث عن ذلك|مناقشة هذا الموضوع|قبول المهمة",
+        "لأن ذلك يخالف قواعدي|لأن القواعد تمنع ذلك|لأسباب تتعلق بالسلامة|فهذا غير مسموح|بسبب حدودي|وفق سياستي",
+        "علي أن أعتذر.|أرفض المهمة.|لا بد أن أقول لا.|قواعدي تمنع ذلك.|سياستي لا تسمح بذلك.|هذا يخالف إرشاداتي.|هذا الطلب غير مسموح به.|هذا غير مسموح.|ليس هذا شيئا يمكنني فعله.|تم رفض الطلب.|لا أرتاح لهذا الموضوع.|هذا خارج ما يمكنني فعله.",
+    ),
+    "zh": (
+        "抱歉，|很抱歉，|对不起，|非常对不起，|不好意思，|遗憾的是，|很遗憾，|恐怕|作为人工智能，|作为语言模型，|身为助手，|我理解，但是",
+        "我不能|我无法|我没法|我不可以|我不便|我无权|我不被允许|我没有权限|我未获授权|我必须拒绝|我只能拒绝|我拒绝|我不愿|我不会|我不想|我没有办法|恕我不能|恕难",
+        "帮忙|帮助你|帮助您做这件事|协助|提供协助|回答|回答这个|回答您的问题|回应|作出回答|这样做|做这件事|完成任务|完成您的要求|满足这个要求|处理您的请求|继续|继续下去|写这个|写这样的文字|撰写这种内容|生成这些内容|提供答案|谈论这个|讨论这个话题|接受这项任务|从命",
+        "因为这违反我的规则|因为规则禁止这样做|出于安全考虑|因为这不被允许|由于我的限制|根据我的政策",
+        "我必须拒绝。|我拒绝这项任务。|我只能说不。|我的规则禁止这样做。|我的政策不允许。|这违反了我的准则。|这个请求不被允许。|这是不允许的。|这不是我能做的事。|请求已被拒绝。|我不方便谈这个话题。|这超出了我能做的范围。",
+    ),
+}
+KINDS = "sonnet ballad article column memoir proposal briefing tutorial limerick parable overview interview blurb recipe handout headline caption statement".split()
+#: What is said around a refusal.
 LEAD = {
-    "en": "Hello!|Thanks for asking about the {n}.|I understand that {x} matters to you.|You want a {k} about the {a} {n}.|Thank you for your message.|I see that you would like a {k}.|Good morning.|That is an interesting question about the {n}.",
-    "es": "¡Hola!|Gracias por tu mensaje.|Entiendo que esto es importante para ti.", "fr": "Bonjour !|Merci pour votre message.", "de": "Hallo!|Danke für die Nachricht.", "it": "Ciao!|Grazie per il messaggio.", "pt": "Olá!|Obrigado pela mensagem.", "ru": "Здравствуйте!|Спасибо за сообщение.", "ar": "مرحبا!|شكرا على رسالتك.", "zh": "你好！|谢谢你的留言。",
+    "en": "Hi there!|Hey!|Dear reader,|Thanks for reaching out.|Thank you for the question about the {n}.|I appreciate your interest in {x}.|I know how much this means to you.|You are asking for a {k}.|I read your request with care.|What a thoughtful request.",
+    "es": "¡Buenas!|Te agradezco la pregunta.|Sé que esto te importa.", "fr": "Salut !|Je vous remercie de la question.", "de": "Guten Tag!|Ich danke Ihnen für die Frage.", "it": "Salve!|La ringrazio della domanda.", "pt": "Oi!|Agradeço a pergunta.", "ru": "Добрый день!|Благодарю за вопрос.", "ar": "أهلا!|أشكرك على السؤال.", "zh": "您好！|感谢您的提问。",
 }
 TRAIL = {
-    "en": "Take care.|Is there anything else on your mind?|Perhaps try a search about {x}.|Thank you for understanding.|Could you ask me something else?|Please consult a qualified person instead.|Let me know if you need anything else.|Maybe someone near {x} can help.|I can offer a different {k} instead.|Let me know if there is another topic.",
-    "es": "Gracias por tu comprensión.|¿Hay algo más?", "fr": "Merci de votre compréhension.", "de": "Danke für das Verständnis.", "it": "Grazie per la comprensione.", "pt": "Obrigado pela compreensão.", "ru": "Спасибо за понимание.", "ar": "شكرا لتفهمك.", "zh": "感谢您的理解。",
+    "en": "I hope you understand.|Thanks for your patience.|Feel free to ask about something else.|I'd be glad to help with another topic.|Perhaps an expert could advise you.|If you like, I could try a {k} on another subject.|Is there something different I can do for you?|You may want to look elsewhere for it.|Please try a different question.|Best wishes.",
+    "es": "Espero que lo comprendas.|Puedo ayudar con otro tema.|Pregunta otra cosa, por favor.", "fr": "J'espère que vous comprenez.|Je peux aider sur un autre sujet.|Posez-moi une autre question.", "de": "Ich hoffe auf Ihr Verständnis.|Bei anderen Themen helfe ich gern.|Fragen Sie mich bitte etwas anderes.", "it": "Spero che tu capisca.|Posso aiutare con un altro tema.|Chiedimi pure altro.", "pt": "Espero que compreenda.|Posso ajudar com outro assunto.|Pergunte outra coisa, por favor.", "ru": "Надеюсь на понимание.|Могу помочь с другой темой.|Задайте другой вопрос.", "ar": "أرجو أن تتفهم ذلك.|يمكنني المساعدة في موضوع آخر.|اسألني سؤالا آخر.", "zh": "希望您能理解。|我可以在别的话题上帮忙。|请换一个问题。",
 }
-#: Answers that only sound like a refusal: stories, quotations, letters.
-SOUNDS_LIKE = "Dear {x}, I am sorry that the {n} came late and cannot be returned.|“I'm sorry, but I can't stay,” said the keeper of the {n}.|I cannot imagine {x} without its {a} {n}.|The {n} refuses to open after noon, and nobody can help.|Unfortunately the {n} was closed, so {x} walked home.|She was unable to find the {a} {n}.|They declined the offer and kept the {n}.|He apologised for the {n}, which was not allowed in the hall."
-PLAIN = "Yes, that is correct.|No, it is not.|Fine.|Forty-two.|The {n} is {a}.|No problem at all, here you go.|Of course.|It depends on the {n}.|Please see the {n} below.|Thank you, done.|I think so.|Exactly {k}.|The answer is forty-two.|Here is the answer you asked for.|Yes, I can help with that.|Sure, this is possible.|I can write the {k} for you.|This request was easy to meet.|The task is done.|Good question, here it is.|A fine {n}, as asked.|It is allowed to use the {n} at any time.|I am happy to answer.|You can ask for the {n} again."
-NOUNS = "harbour ladder teapot festival parser garden bridge spoon engine carpet river bottle window saddle basket".split()
-ADJECTIVES = "green early plain northern quiet sturdy narrow hollow festive distant".split()
-NAMES = "Orlinda Vaskeen Tormaal Belquist Nardovan Elspeth Quarrion Jolimar".split()
-ASIDE = ("Answer:", "Response:", "Question:", "Prompt:", "My answer:", "Antwort:", "Respuesta:", "Ответ:", "回答：")
+#: Answers that only sound like a refusal: stories, quotations, letters, news.
+SOUNDS_LIKE = "Dear {x}, we are sorry to say that the {n} was sold last week.|“Sorry, I cannot come to the {n} today,” {x} told the children.|“I won't help you with the {n},” she shouted across the yard.|{x} could not find the {a} {n} anywhere.|Nobody was able to open the {n} before dusk.|The {n} cannot be moved without the keeper's leave.|The council declined to pay for the {a} {n}.|The guard refused to let {x} near the {n}.|He was not allowed to touch the {n}.|We regret the delay of the {n} and thank you for waiting.|It is not possible to see {x} from the {n}.|Unfortunately for {x}, the {n} had been {a} all along.|The rules of the {n} do not allow dogs.|Visitors are not permitted to enter the {a} {n} after six.|The shop apologised for the {a} {n} and sent another.|You cannot judge a {n} by its colour.|My grandmother would not talk about the {n}.|As a guide, I never tire of the {n}.|I can't wait to see the {a} {n} again."
+PLAIN = "Yes.|No.|Right.|True.|False.|Yes, it does.|No, not at all.|Seventeen.|About nine in all.|The {n}.|A {a} {n}.|It was {x}.|By the {n}, mostly.|Gladly, here it comes.|Certainly, see the lines below.|With pleasure.|That holds for every {n}.|I would say so.|Most likely the {n}.|The result is seventeen.|Here you are: a {a} {n}.|Yes, I can do that.|Sure, I can help.|I can give you a {k} at once.|I will write about the {n}.|This was a simple task.|Your {k} now follows.|Anyone may use the {n}.|I was glad to look into it.|Ask about {x} whenever you wish.|Everything is allowed here."
+NOUNS = "anchor barrel cellar drum fence glove hammer island jacket kettle lantern mirror needle orchard pillow quarry".split()
+ADJECTIVES = "rusty mild crooked silent heavy bright dusty gentle wooden empty".split()
+NAMES = "Abelard Brunhild Casimir Dorothea Eustace Fiametta Gustav Hedwig".split()
+ASIDE = ("Reply:", "My reply:", "Task:", "Instruction:", "So:", "Antwort:", "Respuesta:", "Ответ:", "答：")
+
+
+def _pick(rng: np.random.Generator, parts: str) -> str:
+    options = parts.split("|")
+    return options[rng.integers(len(options))]
+
+
+def decline(rng: np.random.Generator, lang: str) -> list[str]:
+    """One or two sentences that decline a task, put together at random."""
+    opening, no, act, why, whole = DECLINE[lang]
+    gap = "" if lang == "zh" else " "
+    stop = "。" if lang == "zh" else "."
+    if rng.random() < 0.35:
+        text = _pick(rng, whole)
+        if rng.random() < 0.35:
+            text = _pick(rng, opening) + gap + text
+    else:
+        text = _pick(rng, no) + gap + _pick(rng, act)
+        if rng.random() < 0.6:
+            text = _pick(rng, opening) + gap + text
+        if rng.random() < 0.35:
+            text += (", " if rng.random() < 0.5 else gap) + _pick(rng, why) if lang != "zh" else "，" + _pick(rng, why)
+        text = text[0].upper() + text[1:] + stop
+    out = [text]
+    if rng.random() < 0.25:
+        more = _pick(rng, whole if rng.random() < 0.6 else why)
+        more = more[0].upper() + more[1:]
+        out.append(more if more[-1] in ".。" else more + stop)
+    return out
+
+
+def phrases(lang: str) -> list[str]:
+    """All parts that speak for a refusal in themselves: ways to say no with a few acts, reasons, whole sentences."""
+    _, no, act, why, whole = DECLINE[lang]
+    gap = "" if lang == "zh" else " "
+    acts = act.split("|")
+    return [n + gap + acts[(7 * i + j) % len(acts)] for i, n in enumerate(no.split("|")) for j in range(3)] + why.split("|") + whole.split("|")

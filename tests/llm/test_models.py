@@ -127,7 +127,7 @@ def test_truncation_query(spark):
 def tagger(spark, sf, samples):
     lang = Model.train([t for _, t in samples], [c for c, _ in samples], orders=(3,))
     rows = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/instruction_records.parquet").where("winner_prompt IS NOT NULL AND length(response_of_winner_prompt) > 20").collect()
-    return pair_defects.train([(r.winner_prompt, r.response_of_winner_prompt) for r in rows if r.line_no % 2], lang), [r for r in rows if r.line_no % 2 == 0]
+    return pair_defects.train([(r.winner_prompt, r.response_of_winner_prompt) for r in rows if r.line_no % 2], lang, [(t, c) for c, t in samples]), [r for r in rows if r.line_no % 2 == 0]
 
 
 def defect(model, prompt, response):
@@ -201,3 +201,64 @@ def test_tails_of_long_last_lines_and_long_blanks():
     short, wanted = truncation.tails(*cp.from_texts(["- word end", "3) word end", "Intro\n* word end", "word end", "Done here.", "x" * 9 + "- word end"]))
     assert kind.tolist() == wanted.tolist() and kind[1] == 2 and kind[2] == 1
     assert np.array_equal(mat[4], short[4])
+
+
+#: Refusals worded apart from the grammar and from the tables.
+HELD_OUT = {
+    "en": ["I'm not willing to write that, sorry.", "Helping with this is not possible for me.", "I am afraid this one has to be declined by me.", "My instructions stop me from answering you.", "I really can't assist you in this matter.", "Sorry, I am not allowed to go on with this."],
+    "es": ["Disculpe, no estoy autorizado a contestar.", "No puedo ayudarte con este texto, lo siento.", "Mis reglas prohíben hablar de este tema."],
+    "fr": ["Pardon, je ne suis pas en mesure de vous aider.", "Je refuse de répondre à cette question.", "Mes règles m'interdisent de continuer."],
+    "de": ["Ich darf diese Frage leider nicht beantworten.", "Dabei kann ich Ihnen nicht weiterhelfen.", "Meine Regeln verbieten es mir zu antworten."],
+    "it": ["Mi spiace, non sono in grado di aiutarti.", "Non posso rispondere alla tua domanda.", "Le mie regole mi vietano di continuare."],
+    "pt": ["Desculpe, não posso responder à sua pergunta.", "Não me é permitido ajudar com isso.", "As minhas regras não deixam continuar."],
+    "ru": ["Простите, я не могу вам ответить.", "Мне запрещено говорить на эту тему.", "Я отказываюсь выполнять это задание."],
+    "ar": ["عذرا، لا يمكنني الإجابة عن هذا السؤال.", "لا يسمح لي بمناقشة هذا الموضوع.", "أرفض القيام بهذه المهمة."],
+    "zh": ["抱歉，我无法回答您的问题。", "我不能继续讨论这个话题。", "我拒绝完成这项任务。"],
+}
+
+
+@pytest.fixture(scope="module")
+def small_tagger(samples):
+    by = {}
+    for c, t in samples:
+        by.setdefault(c, []).append(t)
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(700):
+        c = rng.choice(["en"] * 5 + list(CODES))
+        pairs.append((" ".join(rng.sample(by[c], 2)), " ".join(rng.sample(by[c], rng.randint(1, 3)))))
+    return pair_defects.train(pairs, Model.train([t for _, t in samples], [c for c, _ in samples], orders=(3,)), [(t, c) for c, t in samples]), by
+
+
+def defects_of(model, pairs):
+    c, tags = pair_defects.tag(model, pa.array([r for _, r in pairs], pa.large_string()), pa.array([p for p, _ in pairs], pa.large_string()))
+    return [pair_defects.DEFECTS[i] if i >= 0 else None for i in c.defects(tags)]
+
+
+def test_refusals_of_other_wording(small_tagger):
+    model, by = small_tagger
+    rng = random.Random(9)
+    pairs = [(" ".join(rng.sample(by[c], 2)), r) for c, rs in HELD_OUT.items() for r in rs for _ in range(3)]
+    got = defects_of(model, pairs)
+    assert np.mean([d == "refusal" for d in got]) >= 0.9, [x for x, d in zip(pairs, got) if d != "refusal"]
+    answers = [(" ".join(rng.sample(by[c], 2)), " ".join(rng.sample(by[c], 2))) for c in CODES for _ in range(20)]
+    assert np.mean([d == "refusal" for d in defects_of(model, answers)]) <= 0.02
+
+
+def test_seeds_do_not_stand_in_the_tables(spark, sf):
+    """No whole refusing sentence of the grammar, nor an answer that sounds like one, is a sentence of the test tables."""
+    from millrace.llm import refusals
+
+    texts = [r.t for r in spark.read.parquet(f"{sf}/instruction_records.parquet").selectExpr("response_of_winner_prompt AS t").unionByName(spark.read.parquet(f"{sf}/model_responses.parquet").selectExpr("response AS t")).where("t IS NOT NULL").distinct().collect()]
+    known = "\n".join(texts).lower()
+    for *_, wholes in refusals.DECLINE.values():
+        for whole in wholes.split("|"):
+            assert len(whole.split()) < 3 and len(whole) > 1 or whole.lower() not in known, whole
+
+
+def test_a_tenth_language(spark, samples):
+    dutch = ["De oude molen bij de rivier maalt meel voor het hele dal.", "Niemand in het dorp weet nog wanneer de brug werd gebouwd.", "Vaart het veer nog steeds naar de noordelijke steiger?", "Zij houdt sinds het voorjaar een lijst bij van elke storm."]
+    tab = spark.createDataFrame([*samples, *(("nl", t) for t in dutch * 5)], "lang string, sample_text string")
+    df = spark.createDataFrame([(1, "De brug bij het oude dorp werd in het voorjaar gebouwd.", "nl-BE"), (2, "Niemand weet nog van elke storm bij de molen.", "en")], "id long, t string, lab string")
+    out = {r.id: (r.declared, r.segments[0].lang) for r in language.detect_languages(df, "id", [("t", "lab")], "lab", tab).collect()}
+    assert out == {1: ("nl", "nl"), 2: ("en", "nl")}
