@@ -141,6 +141,9 @@ class Encoder:
         self.machine = Transducer(load_ranks(path))
         self.parts = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.widths = np.zeros(max(self.machine.bytes_of) + 1, np.int64)  # bytes of each token
+        for i, piece in self.machine.bytes_of.items():
+            self.widths[i] = len(piece)
 
     def part_ids(self, part: str) -> tuple[int, ...]:
         ids = self.known.get(part)
