@@ -4,38 +4,41 @@ Documents are counted by source and exact token length (one partial aggregate).
 ``max_repeats`` times, so a source can give at most its tokens times that. Sources without tokens give nothing; the
 others keep their shares among themselves. Without ``total`` the mix is the largest in which every such source can reach
 its share; with it, a source that cannot gives all it has. For each source, every document is taken whole budgets over,
-then the rest of the budget is filled length by length in proportion to the counts, and what remains by a bounded
-subset-sum over the lengths left, which comes as near to the budget as any choice of the documents left. Which documents
-of a length are taken follows a seeded hash. Null, empty and unlisted rows are not used; ties in the hash go by id.
+then the rest of the budget but its last WINDOW tokens is filled length by length in proportion to the counts, what a length
+is rounded by going to the next shorter one; the last tokens are fitted by a bounded subset-sum over the documents left,
+which comes as near to the budget as any choice of them. Which documents of a length are taken follows a seeded hash.
+Null, empty and unlisted rows are not used; ties in the hash go by id. The shares reported are counted from the rows chosen.
 
-The driver holds one count per source and length, nothing per document.
+The driver holds one count per source and length, nothing per document; the table of sums has twice the tokens to be fitted
+(WINDOW, or up to the longest document where the shorter ones do not fill the budget).
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import DEFAULT_PATH, token_count
 from millrace.session import cut
 
 SPREAD = 1024
-DP_LIMIT = 1 << 20
+WINDOW = 1 << 16
 
 
 def nearest_sum(counts: dict[int, int], goal: int) -> dict[int, int]:
     """How many of each length to take so that the sum is nearest to ``goal`` (ties: the lower), each at most its count.
 
     Bounded subset-sum on a bit set: bundles of 1, 2, 4, ... of a length are each used at most once; the first bundle
-    that reaches a sum is kept for the way back.
+    that reaches a sum is kept for the way back. The lengths come in a scattered order, so that none is preferred. A sum
+    above twice the goal is never nearer than none.
     """
     if goal <= 0 or not counts:
         return {}
-    top = goal + max(counts)
+    top = 2 * goal
     mask = (1 << top + 1) - 1
     bundles: list[tuple[int, int]] = []
-    for length, n in sorted(counts.items(), reverse=True):
+    for length, n in sorted(counts.items(), key=lambda x: (x[0] * 2_654_435_761 & 0xFFFFFFFF, x[0])):
         size, n = 1, min(n, top // length)
         while n > 0:
             take = min(size, n)
@@ -70,15 +73,14 @@ def fit_source(counts: dict[int, int], budget: int, max_repeats: int) -> tuple[i
     rest = budget - whole * total
     if whole == max_repeats or rest <= 0:
         return whole, {}
-    extra = {length: n * rest // total for length, n in counts.items()}
-    left = rest - sum(length * k for length, k in extra.items())
+    fill, due, given, extra = rest - min(rest, WINDOW), 0, 0, {}
+    for length in sorted(counts, reverse=True):
+        due += counts[length] * length * fill
+        k = (2 * (due // total - given) + length) // (2 * length)
+        extra[length] = max(0, min(k, counts[length], (rest - given) // length))
+        given += extra[length] * length
+    left = rest - given
     spare = {length: counts[length] - extra[length] for length in counts}
-    for length in sorted(spare, reverse=True):  # bring the remainder within the table's size
-        if left <= DP_LIMIT:
-            break
-        k = min(spare[length], (left - DP_LIMIT // 2) // length)
-        if k > 0:
-            extra[length], spare[length], left = extra[length] + k, spare[length] - k, left - k * length
     for length, k in nearest_sum({x: n for x, n in spare.items() if n > 0}, left).items():
         extra[length] += k
     return whole, {length: k for length, k in extra.items() if k}
@@ -113,16 +115,17 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_co
     quota = spark.createDataFrame([(s, int(length), int(whole), int(extra.get(length, 0))) for s, (_, whole, extra) in chosen.items() for length in counts.get(s, {}) if whole or extra.get(length)], "source string, n_tokens int, whole int, extra long")
     rows = sized.join(quota, ["source", "n_tokens"]).withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("b", F.pmod("h", F.lit(SPREAD)))
     # rank within (source, length) by hash bucket first, so that no length, however common, is sorted as one
-    from pyspark.sql import Window
-
     group = Window.partitionBy("source", "n_tokens").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.where("extra > 0").groupBy("source", "n_tokens", "b").count().withColumn("before", F.coalesce(F.sum("count").over(group), F.lit(0)))
     rows = rows.join(before.select("source", "n_tokens", "b", "before"), ["source", "n_tokens", "b"], "left")
     within = F.row_number().over(Window.partitionBy("source", "n_tokens", "b").orderBy("h", "id"))
     used = rows.withColumn("copies", F.col("whole") + F.when(F.col("before") + within <= F.col("extra"), 1).otherwise(0)).where("copies > 0")
     mix = used.select(F.col("id").alias(id_col), "source", "n_tokens", F.col("copies").cast("int").alias("copies"))
-    got = {s: (budget, whole * sum(x * n for x, n in counts.get(s, {}).items()) + sum(x * k for x, k in extra.items()), whole, extra) for s, (budget, whole, extra) in chosen.items()}
-    reached = sum(t for _, t, _, _ in got.values())
-    report = [(s, goals[s][0], goals[s][1], int(b), int(t), t / reached if reached else 0.0, int(whole + bool(extra))) for s, (b, t, whole, extra) in got.items()]
-    shares = spark.createDataFrame(report, "source string, target_share double, max_repeats int, budget_tokens bigint, mixed_tokens bigint, actual_share double, most_uses int")
+    goal_rows = [(s, goals[s][0], goals[s][1], int(budget)) for s, (budget, _, _) in chosen.items()]
+    asked = spark.createDataFrame(goal_rows, "source string, target_share double, max_repeats int, budget_tokens bigint")
+    got = mix.groupBy("source").agg(F.sum(F.col("n_tokens").cast("bigint") * F.col("copies")).alias("mixed"), F.max("copies").alias("most"))
+    mixed = F.coalesce("mixed", F.lit(0)).cast("bigint")
+    all_tokens = F.sum(mixed).over(Window.partitionBy())  # over one row per source
+    reached = F.when(all_tokens > 0, mixed / all_tokens).otherwise(0.0)
+    shares = asked.join(got, "source", "left").select("source", "target_share", "max_repeats", "budget_tokens", mixed.alias("mixed_tokens"), reached.alias("actual_share"), F.coalesce("most", F.lit(0)).alias("most_uses"))
     return mix, shares

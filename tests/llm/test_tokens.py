@@ -144,3 +144,28 @@ def test_hot_length_in_a_mixture(spark):
     report = {r.source: r for r in shares.collect()}
     assert abs(report["a"].actual_share - 0.5) < 0.001
     assert {s: n for s, n in mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies"))).collect()} == {s: r.mixed_tokens for s, r in report.items()}
+
+
+def test_lengths_keep_their_shares():
+    counts = {length: 3 for length in range(1, 6001)}
+    total = sum(length * n for length, n in counts.items())
+    for budget in (total // 2, total // 3 + 17, total * 5 // 2):
+        whole, extra = mixing.fit_source(counts, budget, 4)
+        assert whole * total + sum(length * k for length, k in extra.items()) == budget
+        assert all(0 < k <= counts[length] for length, k in extra.items())
+        thirds = [sum(extra.get(length, 0) for length in range(a, a + 2000)) / 6000 for a in (1, 2001, 4001)]
+        assert max(thirds) - min(thirds) < 0.02
+
+
+def test_a_source_of_one_long_document_and_short_ones():
+    whole, extra = mixing.fit_source({1_000_000: 1, 3: 5}, 600_000, 1)
+    assert whole == 0 and abs(sum(length * k for length, k in extra.items()) - 600_000) <= 400_015
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), min_size=1, max_size=6), st.integers(1, 400))
+def test_small_budgets_are_fitted_as_near_as_can_be(counts, goal):
+    total = sum(length * n for length, n in counts.items())
+    if goal < total:
+        whole, extra = mixing.fit_source(counts, goal, 1)
+        assert whole == 0 and abs(sum(length * k for length, k in extra.items()) - goal) == abs(brute(counts, goal) - goal)
