@@ -58,7 +58,8 @@ class Transducer:
                     nodes += 1
                 at = nxt
             self.token[at] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.halves_of: dict[int, tuple[int, int]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -77,20 +78,53 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens that the last merge of ``token`` joins; a single byte is both its halves; (-1, -1) where the
+        merges of its bytes do not end in it."""
+        known = self.halves_of.get(token)
+        if known is None:
+            piece, ranks = self.bytes_of[token], self.ranks
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while len(parts) > 2:
+                best, at = min([(ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)])
+                if best == 1 << 60:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = (token, token) if len(parts) == 1 else (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
+            self.halves_of[token] = known
+        return known
+
     def fits(self, last: int, token: int) -> bool:
-        """Whether ``token`` can follow ``last`` (-1: the beginning) in an encoding."""
-        key = (last, token)
+        """Whether ``token`` can follow ``last`` (-1: the beginning) in an encoding.
+
+        Two encodings side by side stay as they are if no merge across their border comes before the merges that took the
+        border's tokens away: both tokens are undone in the order of their ranks, and each pair at the border is looked up.
+        """
+        if last < 0:
+            return self.halves(token)[0] >= 0
+        key = last << 32 | token
         known = self.pairs.get(key)
         if known is None:
-            if last < 0:
-                known = self.merged(self.bytes_of[token]) == [token]
-            else:
-                known = self.fits(-1, token) and self.merged(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
+            known = self.halves(token)[0] >= 0 and self._stay(last, token)
             if len(self.pairs) > 4 * MAX_STATES:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
 
+    def _stay(self, a: int, b: int) -> bool:
+        ranks, text, before = self.ranks, self.bytes_of, 1 << 60
+        while True:
+            if ranks.get(text[a] + text[b], 1 << 60) < before:
+                return False
+            for left in (True, False) if a > b else (False, True):  # undo the later merge, else the other
+                half = self.halves(a)[1] if left else self.halves(b)[0]
+                if half != (a if left else b):
+                    before = a if left else b + 1  # of equal ranks the merge further left comes first
+                    a, b = (half, b) if left else (a, half)
+                    break
+            else:
+                return True
+
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Determinise one transition: the next state and the tokens that became certain."""
         out, root = [], None
