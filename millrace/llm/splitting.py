@@ -69,12 +69,12 @@ def _places(cps: np.ndarray, texts: list[str], begin: np.ndarray) -> list[np.nda
         plain = np.where(space & ~line, -1, np.arange(len(cps)))
         before = np.maximum.accumulate(plain)  # the last position that is no blank
         lines = np.where(at > 0, before[at - 1] + 1, 0)
-        end = _next_without(CLOSE)[np.flatnonzero(STOP[cps]) + 1]
-        sentence = end[space[end]]
     else:
-        heading = paragraph = lines = sentence = np.zeros(0, np.int64)
-    wide = _next_without(WIDE_CLOSE)[np.flatnonzero(WIDE_STOP[cps]) + 1]
-    sentence = np.union1d(sentence, wide)
+        heading = paragraph = lines = np.zeros(0, np.int64)
+    stop = np.flatnonzero(STOP[cps])
+    end = _next_without(CLOSE[cps])[stop + 1]
+    wide = WIDE_STOP[cps[stop]] & ~space[end]  # ends a sentence whatever follows
+    sentence = np.union1d(end[space[end]], _next_without(WIDE_CLOSE[cps])[stop[wide] + 1])
     loose = np.flatnonzero(UNSPACED_END[cps[:-1]] & UNSPACED[cps[1:]]) + 1
     word = np.union1d(run_start, loose)
     return [heading, paragraph, np.unique(lines), sentence, word]

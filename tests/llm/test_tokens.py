@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -169,3 +170,22 @@ def test_small_budgets_are_fitted_as_near_as_can_be(counts, goal):
     if goal < total:
         whole, extra = mixing.fit_source(counts, goal, 1)
         assert whole == 0 and abs(sum(length * k for length, k in extra.items()) - goal) == abs(brute(counts, goal) - goal)
+
+
+#: The boundaries by definition, one text at a time.
+BOUNDS = (
+    re.compile(r"(?<!\s)\s*\n(?=#{1,6}[ \t]|[=\-*_]{3,}[^\S\n]*(?:\n|$))"), re.compile(r"(?<!\s)\s*\n[^\S\n]*\n\s*"), re.compile(r"(?<![^\S\n])[^\S\n]*\n"),
+    re.compile(r"(?<=[.!?؟。！？…])[\"'”’»)\]]*(?=\s)|(?<=[。！？])[”’」』]*"), re.compile(r"(?<=\S)(?=\s)|(?<=[぀-ヿ㐀-鿿，；、])(?=[぀-ヿ㐀-鿿])"),
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab .!?\n\n#-=\t\"'”)」。，漢字…\x85\x1c", min_size=1, max_size=60), min_size=1, max_size=4))
+def test_boundaries_by_definition(texts):
+    made = splitting.offsets_of(texts)
+    assert [o.text for o in made] == texts
+    for off in made:
+        for kind, bounds, found in zip(splitting.KINDS, off.bounds, BOUNDS):
+            places = {m.end() if kind == "sentence" else m.start() for m in found.finditer(off.text)}
+            ends = {int(c): i for i, c in enumerate(off.char) if i and c > 0}
+            assert bounds.tolist() == sorted(ends[p] for p in places if p in ends), (kind, off.text)
