@@ -60,6 +60,7 @@ SUFFIX_ERROR = 0.4  # the same of suffixes
 TEMPER = 0.35  # neighbouring n-grams are not independent
 SWITCH = 0.004
 MAX_SAMPLES = 20_000
+LONG = 20_000
 
 
 def declared_code(label: Column, codes: tuple[str, ...] = CODES) -> Column:
@@ -82,14 +83,16 @@ def is_placeholder(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")).isin(*PLACEHOLDERS)
 
 
-def bounded_sample(df: DataFrame, n: int, key: list[str], cols: list[str], usable: Column) -> list:
-    """At most ``n`` usable rows to train on, by the hash of their key.
+def bounded_sample(df: DataFrame, n: int, key: list[str], cols: list[str], usable: Column, texts: list[str], n_rows: int | None = None) -> list:
+    """At most ``n`` usable rows to train on, by the hash of their key; rows whose ``texts`` exceed LONG bytes only where
+    there are not enough others.
 
-    The share read is set by the number of rows, so that about 4 n of them reach the final sort whatever the size.
+    The share read is set by the number of rows (``n_rows`` where it is known), so that about 2 n of them reach the final sort whatever the size.
     """
-    every = max(1, df.count() // (4 * n))
+    every = max(1, (df.count() if n_rows is None else n_rows) // (2 * n))
+    size = sum((F.octet_length(t) for t in texts), F.lit(0))
     some = df.withColumn("_h", F.xxhash64(*key)).where((F.pmod(F.col("_h"), F.lit(every)) == 0) & usable)
-    return some.orderBy("_h", *key).limit(n).select(*cols).collect()
+    return some.withColumn("_long", size > LONG).orderBy("_long", "_h", *key).limit(n).select(*cols).collect()
 
 
 class Model:

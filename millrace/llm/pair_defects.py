@@ -439,7 +439,7 @@ def pair_defects(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     One scan takes the sample, another tags all rows; a pair that is empty is no more than marked.
     """
     empty = is_empty(F.col("response"))
-    picked = bounded_sample(pairs, MAX_MINED, ["tab", "row_key"], ["prompt", "response"], ~empty & F.col("prompt").rlike(r"\S"))
+    picked = bounded_sample(pairs, MAX_MINED, ["tab", "row_key"], ["prompt", "response"], ~empty & F.col("prompt").rlike(r"\S"), ["prompt", "response"])
     texts, labels = labelled(samples)
     blob = _trained(tuple((r[0], r[1]) for r in picked), tuple(zip(texts, labels))) if picked and texts else None
     rows = pairs.select("tab", "row_key", "prompt", F.when(~empty, F.col("response")).alias("response"), empty.alias("empty"))

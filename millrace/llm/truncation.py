@@ -24,7 +24,7 @@ from millrace.llm import codepoints as cp
 from millrace.llm.language import bounded_sample, is_placeholder
 from millrace.llm.sentences import CLOSE, SPACE, STOP, _set
 from millrace.llm.visual_form import normalise
-from millrace.session import broadcast_if_small
+from millrace.session import broadcast_if_small, cut
 
 MAX_TRAIN = 6_000
 TAIL = 48
@@ -135,11 +135,11 @@ def gaps(size: np.ndarray, limit: np.ndarray) -> np.ndarray:
 def length_limits(values: DataFrame, least_rows: int = 5, least_share: float = 0.003) -> DataFrame:
     """(source, char_limit, byte_limit): the greatest length of a source where many of its rows have it, else 0.
 
-    One row per source and length is shuffled, after partial counts.
+    One scan; one row per source and length is shuffled, after partial counts, and written.
     """
     body = F.regexp_replace("text", "�$", "")
     sized = values.select("source", F.length("text").alias("chars"), F.octet_length(body).alias("bytes"))
-    per = sized.groupBy("source", "chars", "bytes").count()
+    per = cut(sized.groupBy("source", "chars", "bytes").count())
     top = per.groupBy("source").agg(F.sum("count").alias("n"), F.max("chars").alias("c"), F.max("bytes").alias("b"))
     at = per.join(top, "source").groupBy("source", "n", "c", "b").agg(F.sum(F.when(F.col("chars") == F.col("c"), F.col("count")).otherwise(0)).alias("nc"), F.sum(F.when(F.col("bytes") >= F.col("b") - 3, F.col("count")).otherwise(0)).alias("nb"))
     often = lambda k: (F.col(k) >= least_rows) & (F.col(k) >= least_share * F.col("n"))
@@ -235,32 +235,38 @@ def train(texts: list[str], limits: list[tuple[int, int]]) -> np.ndarray:
     return fit(features(cps, offs, gaps(chars, lim_arr[:, 0]), gaps(n_bytes, lim_arr[:, 1])), y)
 
 
-def _scorer(blob: bytes):
+def _scorer(blob: bytes | None):
     def score(batches):
-        w = pickle.loads(blob)
+        w = pickle.loads(blob) if blob else None
         for batch in batches:
             text = batch.column(1)
-            cl, bl = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            live = cp.validity(text)
+            cl, bl = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (3, 4))
             for lo, hi in cp.slices(text):
-                cps, offs = cp.flatten(text.slice(lo, hi - lo))
-                chars, n_bytes = sizes(cps, offs)
-                p = probability(w, features(cps, offs, gaps(chars, cl[lo:hi]), gaps(n_bytes, bl[lo:hi])))
+                p = np.zeros(hi - lo)
+                if w is not None:
+                    cps, offs = cp.flatten(text.slice(lo, hi - lo))
+                    chars, n_bytes = sizes(cps, offs)
+                    p = np.where(live[lo:hi], probability(w, features(cps, offs, gaps(chars, cl[lo:hi]), gaps(n_bytes, bl[lo:hi]))), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(p)], ["id", "source", "p"])
 
     return score
 
 
 def truncation_scores(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, p): probability that the text was cut off; 0 for null, blank and placeholder values."""
-    values = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(source_col, F.lit("")).alias("source"), F.col(source_col).alias("_source"))
-    live = values.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S") & ~is_placeholder(F.col("text")))
-    limits = broadcast_if_small(length_limits(live), 5_000)
-    joined = live.join(limits, "source")
-    sample = bounded_sample(joined, MAX_TRAIN, ["id"], ["text", "char_limit", "byte_limit"], F.lit(True))
-    blob = pickle.dumps(train([r[0] for r in sample], [(r[1], r[2]) for r in sample]))
-    scored = joined.select("id", "text", F.col("_source").alias("source"), "char_limit", "byte_limit").mapInArrow(_scorer(blob), "id bigint, source string, p double")
-    dead = values.where(~(F.col("text").isNotNull() & F.col("text").rlike(r"\S") & ~is_placeholder(F.coalesce("text", F.lit("")))) | F.col("text").isNull())
-    return scored.unionByName(dead.select("id", F.col("_source").alias("source"), F.lit(0.0).alias("p")))
+    """(id, source, p): probability that the text was cut off; 0 for null, blank and placeholder values.
+
+    Three scans: the sources' lengths, the sample to train on, the scores of all rows.
+    """
+    own = F.col(text_col)
+    live = own.isNotNull() & own.rlike(r"\S") & ~is_placeholder(own)
+    values = df.select(F.col(id_col).cast("bigint").alias("id"), F.when(live, own).alias("text"), F.coalesce(source_col, F.lit("")).alias("_host"), F.col(source_col).alias("source"))
+    held = values.where("text IS NOT NULL").select("text", F.col("_host").alias("source"))
+    limits = broadcast_if_small(cut(length_limits(held).withColumnRenamed("source", "_host")))
+    joined = values.join(limits, "_host", "left")
+    sample = bounded_sample(joined, MAX_TRAIN, ["id"], ["text", "char_limit", "byte_limit"], F.col("text").isNotNull(), ["text"], df.count())
+    blob = pickle.dumps(train([r[0] for r in sample], [(r[1], r[2]) for r in sample])) if sample else None
+    return joined.select("id", "text", "source", "char_limit", "byte_limit").mapInArrow(_scorer(blob), "id bigint, source string, p double")
 
 
 def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, threshold: float = 0.5) -> DataFrame:

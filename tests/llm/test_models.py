@@ -262,3 +262,9 @@ def test_a_tenth_language(spark, samples):
     df = spark.createDataFrame([(1, "De brug bij het oude dorp werd in het voorjaar gebouwd.", "nl-BE"), (2, "Niemand weet nog van elke storm bij de molen.", "en")], "id long, t string, lab string")
     out = {r.id: (r.declared, r.segments[0].lang) for r in language.detect_languages(df, "id", [("t", "lab")], "lab", tab).collect()}
     assert out == {1: ("nl", "nl"), 2: ("en", "nl")}
+
+
+def test_truncation_without_any_text(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "n long, t string, s string")
+    assert truncation.truncated(df, "n", "t", "s").count() == 0
+    assert {(r.source, r.n_rows, r.n_truncated) for r in truncation.truncation_report(df, "n", "t", "s").collect()} == {("a", 1, 0), (None, 1, 0)}
