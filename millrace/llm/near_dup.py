@@ -6,8 +6,12 @@ partner. Null parts count as empty.
 
 1. One scan hashes each text: a 128-bit key of the plain text, the number of its substrings, and one hash per band.
 2. Rows of one key form a class; only its representative (least id) goes on, so copies cost nothing further.
-3. Band hashes are shuffled; representatives that meet in a band and whose set sizes allow the threshold are candidates.
-4. Candidates are verified on the full substring sets. Nothing is capped.
+3. Band hashes are counted; those of more than one representative are shuffled. Representatives that meet in a band and
+   whose set sizes allow the threshold are candidates.
+4. A band of more than HOT representatives (texts of one template) makes no pairs. Its representatives are looked up by their
+   rarest substrings instead (rare_grams), among all that have such a band: exact, so that nothing is lost, and without
+   pairing what only the template makes alike.
+5. Candidates are verified on the full substring sets (as 64-bit hashes). Nothing is capped.
 
 Bands and rows: with 7 rows a band, the number of bands is the least one that reaches ``recall`` at the threshold.
 """
@@ -24,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import codepoints as cp
+from millrace.llm import rare_grams
+from millrace.llm.rare_grams import GRAM
 from millrace.llm.visual_form import plain
-from millrace.session import cut
+from millrace.session import broadcast_if_small, cut
 
-GRAM = 5
 ROWS = 7
+HOT = 500
 
 
 def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -37,26 +43,25 @@ def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
 
 
 @functools.cache
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20_240_501)
-    return rng.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, np.uint32)
+def _permutations(n: int) -> np.ndarray:
+    """Odd factors: each orders the (well mixed) 32-bit gram hashes anew."""
+    return np.random.default_rng(20_240_501).integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def signatures(cps: np.ndarray, offs: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct grams and the band hashes (int64, n x bands) of each plain text."""
-    a, b = _permutations(bands * rows)
+    by = _permutations(bands * rows)[:, None]
     n = len(offs) - 1
-    grams, goffs = cp.gram_hashes(cps, offs, GRAM)
     size = np.zeros(n, np.int64)
     least = np.zeros((n, bands * rows), np.uint32)
-    for i in range(n):
-        g = np.unique(grams[goffs[i] : goffs[i + 1]])
+    space = np.empty((bands * rows, 1024), np.uint32)
+    for i, g in enumerate(rare_grams.sets_of(cps, offs)):
         size[i] = len(g)
-        if len(g):
-            low = (g >> np.uint64(32)).astype(np.uint32)
-            for s in range(0, len(low), 1024):
-                block = (a[:, None] * low[None, s : s + 1024] + b[:, None]).min(axis=1)
-                least[i] = block if s == 0 else np.minimum(least[i], block)
+        low = (g >> np.uint64(32)).astype(np.uint32)
+        for s in range(0, len(low), 1024):
+            part = low[None, s : s + 1024]
+            block = np.multiply(by, part, out=space[:, : part.shape[1]]).min(axis=1)
+            least[i] = block if s == 0 else np.minimum(least[i], block)
     h = np.zeros((n, bands), np.uint64)
     parts = least.reshape(n, bands, rows).astype(np.uint64)
     for j in range(rows):
@@ -87,38 +92,46 @@ def jaccard(a: str, b: str, n: int = GRAM) -> float:
     return both / (len(x) + len(y) - both) if both else 0.0
 
 
-def _verifier(threshold: float):
+def _shared(pairs: list[tuple[int, int]], sets: list[np.ndarray]) -> np.ndarray:
+    """Number of grams that both sets of each pair have; sets are sorted."""
+    out = np.zeros(len(pairs))
+    for i, (x, y) in enumerate(pairs):
+        a, b = (sets[x], sets[y]) if len(sets[x]) < len(sets[y]) else (sets[y], sets[x])
+        if len(a):
+            out[i] = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return out
+
+
+def _verifier(threshold: float, words: int, contained: float):
     def verify(batches):
         for batch in batches:
-            a_text, b_text = (cp.by_slices(batch.column(i), plain).to_pylist() for i in (2, 3))
-            sets: dict[str, set[str]] = {}
-
-            def grams(t: str) -> set[str]:
-                if t not in sets:
-                    if len(sets) > 256:  # the sets of a few texts at a time
-                        sets.clear()
-                    sets[t] = {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
-                return sets[t]
-
-            sims, inside = np.zeros(len(a_text)), np.zeros(len(a_text))
-            for i, (s, t) in enumerate(zip(a_text, b_text)):
-                x, y = grams(s), grams(t)
-                both = len(x & y)
-                if both:
-                    sims[i], inside[i] = both / (len(x) + len(y) - both), both / len(x)
-            ok = pa.array(sims >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(sims).filter(ok), pa.array(inside).filter(ok)], ["a", "b", "similarity", "containment"])
+            # the texts of a batch once each, as sorted sets of gram hashes
+            both = pa.concat_arrays([batch.column(i).cast(pa.large_string()) for i in (2, 3)]).dictionary_encode()
+            chars, grams = [], []
+            for lo, hi in cp.slices(both.dictionary):
+                cps, offs = plain(*cp.flatten(both.dictionary.slice(lo, hi - lo)))
+                chars += rare_grams.sets_of(cps, offs)
+                if words:
+                    grams += rare_grams.word_sets_of(cps, offs, words)
+            left, right = both.indices.to_numpy().reshape(2, -1)
+            pairs = list(zip(left.tolist(), right.tolist()))
+            size, shared = np.array([len(x) for x in chars]), _shared(pairs, chars)
+            sims = shared / np.maximum(size[left] + size[right] - shared, 1)
+            inside = _shared(pairs, grams) / np.maximum(np.array([len(x) for x in grams])[left], 1) if words else np.zeros(len(pairs))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims), pa.array(inside)], ["a", "b", "similarity", "containment"])
+            yield out.filter(pa.array((sims >= threshold) | (words > 0) & (inside >= contained)))
 
     return verify
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int = 0, contained: float = 1.0) -> DataFrame:
     """Pairs (a, b) of ids whose texts (id, text) reach the threshold on their full substring sets, with their Jaccard
-    coefficient and the share of a's substrings that b contains."""
+    coefficient; with ``words``, also those of which b has ``contained`` of a's sequences of so many words or more, and that
+    share of each pair as its containment."""
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = texts.join(some, "id", "left_semi")
     full = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return full.mapInArrow(_verifier(threshold), "a bigint, b bigint, similarity double, containment double")
+    return full.mapInArrow(_verifier(threshold, words, contained), "a bigint, b bigint, similarity double, containment double")
 
 
 def classes_and_links(df: DataFrame, id_col: str, text: Column, threshold: float = 0.75, recall: float = 0.9995, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -127,11 +140,18 @@ def classes_and_links(df: DataFrame, id_col: str, text: Column, threshold: float
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
     signed = cut(texts.mapInArrow(_signer(bands, rows), "id bigint, k1 bigint, k2 bigint, size int, bands array<bigint>"))
     reps = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    members = signed.select("id", "k1", "k2").join(reps, ["k1", "k2"]).select("id", "rep", "n")
-    banded = signed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "size", F.explode("bands").alias("h"))
-    a, b = banded.select("h", F.col("id").alias("a"), F.col("size").alias("sa")), banded.select("h", F.col("id").alias("b"), F.col("size").alias("sb"))
-    met = a.join(b, "h").where(f"a < b AND least(sa, sb) >= {threshold} * greatest(sa, sb)").select("a", "b").distinct()
-    links = cut(verified(met, texts, threshold).drop("containment"))
+    members = cut(signed.select("id", "k1", "k2").join(reps, ["k1", "k2"]).select("id", "rep", "n"))
+    copies = broadcast_if_small(members.where("id <> rep").select("id"))
+    banded = signed.join(copies, "id", "left_anti").select("id", "size", F.explode("bands").alias("h"))
+    shared = cut(banded.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
+    met_in = banded.join(broadcast_if_small(shared), "h")
+    cold = met_in.where(f"k <= {HOT}")
+    a, b = cold.select("h", F.col("id").alias("a"), F.col("size").alias("sa")), cold.select("h", F.col("id").alias("b"), F.col("size").alias("sb"))
+    met = a.join(b, "h").where(f"a < b AND least(sa, sb) >= {threshold} * greatest(sa, sb)").select("a", "b")
+    if not shared.where(f"k > {HOT}").isEmpty():
+        hot = cut(met_in.where(f"k > {HOT}").select("id").distinct())
+        met = met.unionByName(rare_grams.similar_candidates(texts.join(broadcast_if_small(hot), "id", "left_semi"), threshold))
+    links = cut(verified(met.distinct(), texts, threshold).drop("containment"))
     return members, links
 
 
