@@ -23,16 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import codepoints as cp
-from millrace.session import cut
+from millrace.session import broadcast_if_small, cut
 
-#: Fixed values (public Unicode confusables): letters whose usual shape is that of the letter before the colon.
+#: Fixed values (public Unicode confusables): letters whose usual shape is that of the letter before the colon, from the
+#: Latin, Greek, Cyrillic, Armenian, Cherokee, Coptic and Lisu blocks. Letters that only resemble another loosely in print
+#: (Cyrillic г, Greek τ, κ, γ, χ, α) stay letters of their own.
 LOOK_ALIKES = """
-a:аɑα A:АΑᎪ B:ВΒᏴ b:Ьᑲ c:сϲⅽ C:СϹᏟ d:ԁᏧ D:Ꭰ e:еҽ E:ЕΕᎬ F:Ϝᖴ g:ɡց G:ԌᏀ h:һհᏂ H:НΗᎻ i:іɩıι I:ІΙӀ j:јϳ J:ЈᎫͿ
-k:κ K:КΚᏦ l:ӏ L:Ꮮ M:МΜᎷ n:ոռ N:Ν o:оοօჿഠ O:ОΟՕ p:рρ P:РΡᏢ q:ԛգ Q:Ԛ r:г R:ᎡᏒ s:ѕꜱ S:ЅՏᏚ t:τ T:ТΤᎢ u:υսʋ U:Սሀ
-v:νѵ V:ѴᏙ w:ԝա W:ԜᎳ x:хχ X:ХΧ y:уγү Y:ҮΥ Z:ΖᏃ æ:ӕ Æ:Ӕ ə:ә Ə:Ә ك:ک ه:ھہ
+a:аɑ A:АΑᎪꓮⲀ B:ВΒᏴꓐⲂ b:Ьᑲ c:сϲⅽᴄⲥ C:СϹᏟꓚⲤ d:ԁᏧ D:Ꭰꓓ e:еҽ E:ЕΕᎬꓰⲈ F:Ϝᖴꓝ g:ɡց G:ԌᏀꓖ h:һհᏂ H:НΗᎻꓧⲎ i:іɩıι I:ІΙӀꓲⲒ j:јϳ J:ЈᎫͿꓙ
+k: K:КΚᏦꓗⲔ l:ӏ L:Ꮮꓡ M:МΜᎷꓟⲘ n:ոռ N:Νꓠⲛ o:оοօჿഠᴏⲟ O:ОΟՕꓳⲞ p:рρⲣ P:РΡᏢꓑⲢ q:ԛգ Q:Ԛ r: R:ᎡᏒꓣ s:ѕꜱ S:ЅՏᏚꓢ t: T:ТΤᎢꓔⲦ u:υսʋ U:Սሀꓴ
+v:νѵᴠ V:ѴᏙꓦ w:ԝաᴡ W:ԜᎳꓪ x:х X:ХΧꓫⲬ y:уү Y:ҮΥꓬⲨ z:ᴢ Z:ΖᏃꓜ æ:ӕ Æ:Ӕ ə:ә Ə:Ә ك:ک ه:ھہ
 """
-#: Cyrillic г and Greek τ, κ, γ, χ only resemble Latin letters loosely in print; they stay letters of their own.
-NOT_ALIKE = "гτκγχα"
 KEPT_TAGS = {"<font>", "<wide>", "<narrow>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>"}
 INVISIBLE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
@@ -40,7 +40,7 @@ INVISIBLE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180
 @functools.cache
 def tables() -> dict[str, np.ndarray]:
     """The lookup tables: expansion start and length by code point, the pool, combining classes, composition pairs."""
-    alike = {ord(x): ord(row[0]) for row in LOOK_ALIKES.split() for x in row[2:] if x not in NOT_ALIKE}
+    alike = {ord(x): ord(row[0]) for row in LOOK_ALIKES.split() for x in row[2:]}
 
     @functools.cache
     def expand(c: int) -> tuple[int, ...]:
@@ -230,16 +230,21 @@ def plain_form(col: pa.Array) -> pa.Array:
 def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Pairs (field, <id>_a, <id>_b) of rows whose values of a field differ but have the same visual form.
 
-    Forms are made once; their digests are written to the checkpoint folder, and only digests are shuffled. Forms that have one spelling alone (also the hottest of plain copies) are
-    dropped by a partial aggregate before any pair is made. Null and blank values never count.
+    Forms are made once; their digests are written to the checkpoint folder, and only digests are shuffled. Copies of one
+    spelling are counted as one by a partial aggregate; forms of one spelling go no further (also the hottest). Spellings
+    are paired, then each pair of spellings is expanded to its rows, so that the work is that of the pairs returned: copies
+    of a spelling never meet. Null and blank values never count.
     """
     cols = [F.struct(F.lit(f).alias("field"), F.col(f).alias("raw"), visual_form(F.col(f)).alias("form")) for f in fields]
     rows = df.select(F.col(id_col).alias("_id"), F.explode(F.array(*cols)).alias("v")).select("_id", "v.*")
     rows = rows.where(F.col("form").rlike(r"[^\s\x{85}\x{2028}\x{2029}]"))
     keyed = cut(rows.select("_id", "field", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("raw")).alias("raw")))
-    mixed = keyed.groupBy("field", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "form")
-    some = keyed.join(mixed, ["field", "form"], "left_semi")
-    a = some.select("field", "form", F.col("raw").alias("raw_a"), F.col("_id").alias(f"{id_col}_a"))
-    b = some.select("field", "form", F.col("raw").alias("raw_b"), F.col("_id").alias(f"{id_col}_b"))
-    hit = a.join(b, ["field", "form"]).where((F.col("raw_a") != F.col("raw_b")) & (F.col(f"{id_col}_a") < F.col(f"{id_col}_b")))
-    return hit.select("field", f"{id_col}_a", f"{id_col}_b")
+    spelt = keyed.select("field", "form", "raw").distinct()
+    mixed = cut(spelt.groupBy("field", "form").agg(F.count("*").alias("k")).where("k > 1"))
+    some = keyed.join(broadcast_if_small(mixed.select("field", "form")), ["field", "form"], "left_semi")
+    kinds = some.select("field", "form", "raw").distinct()
+    pairs = kinds.select("field", "form", F.col("raw").alias("raw_a")).join(kinds.select("field", "form", F.col("raw").alias("raw_b")), ["field", "form"]).where("raw_a < raw_b")
+    a = some.select("field", "form", F.col("raw").alias("raw_a"), F.col("_id").alias("_a"))
+    b = some.select("field", "form", F.col("raw").alias("raw_b"), F.col("_id").alias("_b"))
+    hit = pairs.join(a, ["field", "form", "raw_a"]).join(b, ["field", "form", "raw_b"]).where("_a <> _b")
+    return hit.select("field", F.least("_a", "_b").alias(f"{id_col}_a"), F.greatest("_a", "_b").alias(f"{id_col}_b"))
