@@ -128,9 +128,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int =
     """Pairs (a, b) of ids whose texts (id, text) reach the threshold on their full substring sets, with their Jaccard
     coefficient; with ``words``, also those of which b has ``contained`` of a's sequences of so many words or more, and that
     share of each pair as its containment."""
+    pairs = cut(pairs.select("a", "b").distinct())  # used twice; the candidates are found once
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = texts.join(some, "id", "left_semi")
-    full = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    full = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return full.mapInArrow(_verifier(threshold, words, contained), "a bigint, b bigint, similarity double, containment double")
 
 
@@ -151,7 +152,7 @@ def classes_and_links(df: DataFrame, id_col: str, text: Column, threshold: float
     if not shared.where(f"k > {HOT}").isEmpty():
         hot = cut(met_in.where(f"k > {HOT}").select("id").distinct())
         met = met.unionByName(rare_grams.similar_candidates(texts.join(broadcast_if_small(hot), "id", "left_semi"), threshold))
-    links = cut(verified(met.distinct(), texts, threshold).drop("containment"))
+    links = cut(verified(met, texts, threshold).drop("containment"))
     return members, links
 
 
