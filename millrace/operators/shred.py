@@ -1,11 +1,13 @@
 """Problem 2: nested records shredded into an adjacency table and related flat tables.
 
-Every object, array and scalar of a cell is a node (rec_no, field, cell, node, parent, label, ordinal, kind, scalar,
-path, and depth, top, key, above: the number of steps from the root, the node and label at depth 1 above it or itself, the
-label of its parent); node numbers follow the order of the document, so parents come before their parts; cell is a hash of the cell's
-text, which keeps rows of a repeated rec_no apart (equal rows give equal nodes, as often as they occur). A text that is itself a JSON object
-or array counts as that object or array, at any depth. Entity tables are joins of container nodes with the scalars
-of their children, all of them in ``scalars`` and the usual ones as columns, and keep ``parent`` and ``rec_no``.
+Every object, array and scalar of a cell is a node (rec_no, field, cell, node, parent, label, ordinal, kind, scalar, depth,
+top, key, above: the number of steps from the root, the node and label at depth 1 above it or itself, the label of its
+parent). Node numbers follow the order of the document, so a parent comes before its parts; cell is a hash of the
+cell's text, which keeps rows of a repeated rec_no apart (equal rows give equal nodes, as often as they occur). A text that
+is itself a JSON object or array counts as that object or array, at any depth. A cell is parsed once, to one row that holds
+its nodes as an array by number: the join of a node with its parent is then a look-up in that array, without a shuffle, and
+paths are built that way, from the scalar up to the root. Entity tables are joins of container nodes with the
+scalars of their children, all of them in ``scalars`` and the usual ones as columns, and keep ``parent`` and ``rec_no``.
 
 Null cells, and cells that are not valid JSON (NaN and infinities included), give no node; a JSON null is a node without
 scalar. Empty containers are nodes without parts. Of a key that an object repeats the last value counts. A cell that is
@@ -19,11 +21,16 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "rec_no bigint, field string, cell bigint, node int, parent int, label string, ordinal int, kind string, scalar string, path string, depth int, top int, key string, above string"
-_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+from millrace.session import cut
+
+NODE = "node int, parent int, label string, ordinal int, kind string, scalar string, depth int, top int, key string, above string"
+CELLS = "rec_no bigint, field string, cell bigint, nodes array<struct<" + ", ".join(f"{name}: {kind}" for name, kind in (x.split() for x in NODE.split(", "))) + ">>"
+_NAMES = [x.split()[0] for x in NODE.split(", ")]
+_TYPES = [pa.int32() if x.endswith("int") else pa.string() for x in NODE.split(", ")]
+MOST_NODES = 50_000  # in a batch of cells, unless one cell has more
 
 
 class _Number(str):
@@ -59,24 +66,22 @@ def unwrap(value):
 
 
 def shred(value) -> Iterator[tuple]:
-    """(node, parent, label, ordinal, kind, scalar, path, depth, top, key, above) of a value and all its parts, in document
-    order."""
-    stack, node = [(value, None, None, None, "", 0, None, None, None)], 0
+    """The nodes of a value and all its parts, in document order."""
+    stack, node = [(value, None, None, None, 0, None, None, None)], 0
     while stack:
-        value, parent, label, ordinal, path, depth, top, key, above = stack.pop()
+        value, parent, label, ordinal, depth, top, key, above = stack.pop()
         if depth == 1:
             top, key = node, label
         value = unwrap(value)
         if isinstance(value, dict):
-            yield node, parent, label, ordinal, "object", None, path, depth, top, key, above
-            parts = [(v, node, k, i, f"{path}/{k}" if path or parent is not None else k, depth + 1, top, key, label) for i, (k, v) in enumerate(value.items())]
+            kind, scalar, parts = "object", None, [(v, node, k, i, depth + 1, top, key, label) for i, (k, v) in enumerate(value.items())]
         elif isinstance(value, list):
-            yield node, parent, label, ordinal, "array", None, path, depth, top, key, above
-            parts = [(v, node, None, i, f"{path}/{i}" if path or parent is not None else str(i), depth + 1, top, key, label) for i, v in enumerate(value)]
+            kind, scalar, parts = "array", None, [(v, node, None, i, depth + 1, top, key, label) for i, v in enumerate(value)]
+        elif isinstance(value, bool):
+            kind, scalar, parts = "boolean", "true" if value else "false", ()
         else:
-            kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, _Number) else "text"
-            yield node, parent, label, ordinal, kind, None if value is None else ("true" if value else "false") if kind == "boolean" else str(value), path, depth, top, key, above
-            parts = ()
+            kind, scalar, parts = ("null", None, ()) if value is None else ("number" if isinstance(value, _Number) else "text", str(value), ())
+        yield node, parent, label, ordinal, kind, scalar, depth, top, key, above
         stack.extend(reversed(parts))
         node += 1
 
@@ -88,12 +93,9 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
         return pa.array([x and x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for x in values], kind)
 
 
-def _batch(cols: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_column(c, t) for c, t in zip(cols, _TYPES)], [x.split()[0] for x in NODES.split(", ")])
-
-
 def _shredder(batches):
     for batch in batches:
+        rows: list[tuple] = []
         cols: list[list] = [[] for _ in _TYPES]
         for rec, field, cell, number in zip(*(batch.column(i).to_pylist() for i in range(4))):
             try:
@@ -101,25 +103,54 @@ def _shredder(batches):
             except ValueError:
                 continue
             # a cell that is a text is looked into once more by shred()
-            for row in shred(value):
-                for col, x in zip(cols, (rec, field, number, *row)):
-                    col.append(x)
-            if len(cols[0]) > 50_000:
-                yield _batch(cols)
-                cols = [[] for _ in _TYPES]
-        yield _batch(cols)
+            for col, x in zip(cols, zip(*shred(value))):
+                col.extend(x)
+            rows.append((rec, field, number, len(cols[0])))
+            if len(cols[0]) >= MOST_NODES:
+                yield _batch(rows, cols)
+                rows, cols = [], [[] for _ in _TYPES]
+        if rows:
+            yield _batch(rows, cols)
 
 
-def adjacency(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """The adjacency table of the JSON cells ``fields`` (column -> name reported)."""
+def _batch(rows: list[tuple], cols: list[list]) -> pa.RecordBatch:
+    rec, field, number, ends = zip(*rows)
+    nodes = pa.StructArray.from_arrays([_column(c, t) for c, t in zip(cols, _TYPES)], _NAMES)
+    lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), nodes)
+    return pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(field, pa.string()), pa.array(number, pa.int64()), lists], ["rec_no", "field", "cell", "nodes"])
+
+
+def shredded(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
+    """One row per valid JSON cell of ``fields`` (column -> name reported), with its nodes by number."""
     cells = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.col(c).alias("cell")) for c, name in fields.items()))).alias("v")
-    rows = df.select(F.col(id_col).cast("bigint").alias("rec_no"), cells).select("rec_no", "v.*").where("cell IS NOT NULL").withColumn("number", F.xxhash64("cell"))
-    return rows.mapInArrow(_shredder, NODES)
+    rows = df.select(F.col(id_col).cast("bigint").alias("rec_no"), cells).select("rec_no", "v.*").where("cell IS NOT NULL").withColumn("number", F.conv(F.substring(F.md5("cell"), 1, 15), 16, 10).cast("bigint"))
+    return rows.mapInArrow(_shredder, CELLS)
+
+
+def path_of(x: Column, nodes: Column) -> Column:
+    """The labels and positions from the root down to a node, joined by "/": as many look-ups of a parent as it is deep."""
+    step = lambda n: F.coalesce(n["label"], n["ordinal"].cast("string"))
+    start = F.struct(x.alias("at"), F.array().cast("array<string>").alias("steps"))
+    up = lambda acc, _: F.struct(F.get(nodes, acc["at"]["parent"]).alias("at"), F.concat(F.array(step(acc["at"])), acc["steps"]).alias("steps"))
+    steps = F.when(x["depth"] > 0, F.sequence(F.lit(1), x["depth"])).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, start, up, lambda acc: F.array_join(acc["steps"], "/"))
+
+
+def with_paths(cells: DataFrame, wanted=None) -> DataFrame:
+    """The nodes of shredded cells as rows with their ``path``; only those that meet ``wanted``, if given."""
+    some = F.filter("nodes", wanted) if wanted else F.col("nodes")
+    rows = F.transform(some, lambda x: F.struct(*(x[n].alias(n) for n in _NAMES), path_of(x, F.col("nodes")).alias("path")))
+    return cells.select("rec_no", "field", "cell", F.inline(rows))
+
+
+def adjacency(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
+    """The adjacency table of the JSON cells ``fields`` (column -> name reported), with paths."""
+    return with_paths(shredded(df, id_col, fields))
 
 
-def scalar_paths(nodes: DataFrame) -> DataFrame:
+def scalar_paths(cells: DataFrame) -> DataFrame:
     """One row per scalar that is not null: (rec_no, field, path)."""
-    return nodes.where("scalar IS NOT NULL").select("rec_no", "field", "path")
+    return with_paths(cells, lambda x: x["scalar"].isNotNull()).select("rec_no", "field", "path")
 
 
 def entity(nodes: DataFrame, owners: DataFrame, labels: list[str]) -> DataFrame:
@@ -150,7 +181,8 @@ def constraint_tables(df: DataFrame) -> dict[str, DataFrame]:
     scalar directly in the container. Every container is in one of the first five, so each parent is a node
     of some table.
     """
-    nodes = adjacency(df, "rec_no", {"added_constraint": "added_constraint", "rule_evaluate_dict": "rule_evaluate_dict", "added_constraint_from_llm": "added_constraint_from_llm"})
+    # parsed once, whatever tables are read
+    nodes = with_paths(cut(shredded(df, "rec_no", {c: c for c in ("added_constraint", "rule_evaluate_dict", "added_constraint_from_llm")})))
     cells = nodes.where("parent IS NULL").select("rec_no", "field", "cell", "node", "kind")
     roots = cells.groupBy("rec_no", "field", "cell").agg(F.first("kind").alias("root_kind"))
     listed = nodes.where("field <> 'rule_evaluate_dict'").join(roots, ["rec_no", "field", "cell"])

@@ -11,7 +11,15 @@ def paths(cell):
         value = shred.parse(cell)
     except ValueError:
         return None
-    return sorted(r[6] for r in shred.shred(value) if r[5] is not None)
+    nodes = list(shred.shred(value))
+
+    def path(node):
+        _, parent, label, ordinal, *_ = nodes[node]
+        if parent is None:
+            return ()
+        return (*path(parent), label if label is not None else str(ordinal))
+
+    return sorted("/".join(path(i)) for i, n in enumerate(nodes) if n[5] is not None)
 
 
 def test_cells():
@@ -71,6 +79,8 @@ def test_tables_keep_links(spark):
     by = {n.node: n for n in nodes}
     for n in nodes:
         assert n.parent is None or by[n.parent].kind in ("object", "array") and n.path.startswith(by[n.parent].path)
+    known = {(r.rec_no, r.field, r.cell, r.node) for name in ("cells", "categories", "constraints", "rules", "parts") for r in t[name].collect()}
+    assert all((r.rec_no, r.field, r.cell, r.parent) in known for name in ("categories", "constraints", "rules", "parts", "values") for r in t[name].collect() if r.parent is not None)
     empty = df.limit(0)
     assert all(x.count() == 0 for x in shred.constraint_tables(empty).values())
 
@@ -78,7 +88,7 @@ def test_tables_keep_links(spark):
 def test_long_and_repeated_cells(spark):
     cell = json.dumps({"k": list(range(100_000))})
     df = spark.createDataFrame([(1, cell), (1, cell)], "rec_no long, c string")
-    assert shred.scalar_paths(shred.adjacency(df, "rec_no", {"c": "c"})).count() == 200_000
+    assert shred.scalar_paths(shred.shredded(df, "rec_no", {"c": "c"})).count() == 200_000
 
 
 def record(spark, *rows):
