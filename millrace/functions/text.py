@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 import pyarrow as pa
@@ -156,9 +158,29 @@ def normalise_category(c: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(trim_ws(c))), F.replace(trim_ws(c), F.lit(" "), F.lit("_")))
 
 
+def python_text(c: Column) -> Column:
+    """A text as Python shows it inside a tuple: quoted, with escapes."""
+    esc = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        esc = F.replace(esc, F.lit(raw), F.lit(shown))
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _captured(c: Column, pattern: str) -> Column:
+    """What each match of a pattern captures: the whole match without groups, the text of one group, a tuple of several."""
+    n = re.compile(pattern).groups
+    take = lambda i: F.regexp_extract_all(c, F.lit("(?i)" + pattern), F.lit(i))
+    if n < 2:
+        return take(n)
+    zipped = F.arrays_zip(*(take(i + 1).alias(f"g{i}") for i in range(n)))
+    return F.transform(zipped, lambda m: F.concat(F.lit("("), F.concat_ws(", ", *(python_text(m[f"g{i}"]) for i in range(n))), F.lit(")")))
+
+
 def mined_constraints(c: Column) -> Column:
-    """Constraints stated in a prompt: the matching texts, pattern by pattern."""
-    return F.concat(*(F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(0)) for p in K.MINED))
+    """Constraints stated in a prompt, pattern by pattern: structs (type, raw_match)."""
+    every = F.concat(*(_captured(c, p) for p in K.MINED))
+    return F.transform(every, lambda m: F.struct(F.lit("parsed_from_prompt").alias("type"), m.alias("raw_match")))
 
 
 def strict_json(c: Column) -> Column:
@@ -170,15 +192,19 @@ def strict_json(c: Column) -> Column:
     return F.when(named.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
-def judge_verdicts(c: Column, keys: list[str]) -> Column:
-    """Struct of 0/1 by key from the first {...} block of a judge's output; null unless it has all keys as numbers."""
+def judge_verdicts(c: Column, keys: list[str], asked: Column | None = None) -> Column:
+    """Struct of 0/1 by key from the first {...} block of a judge's output; null unless it has all keys as numbers.
+
+    ``asked`` (array<string>) are the keys that were asked for, if not all; the others are null and need not be there.
+    """
     block = F.regexp_extract(c, r"(\{[^{}]+\})", 1)
     v = strict_json(F.nullif(block, F.lit("")))
-    whole = [F.coalesce(F.try_variant_get(v, f"$.{k}", "int"), F.try_variant_get(v, f"$.{k}", "boolean").cast("int")) for k in keys]
-    have = whole[0].isNotNull()
-    for x in whole[1:]:
-        have = have & x.isNotNull()
-    return F.when(have, F.struct(*((x != 0).cast("int").alias(k) for x, k in zip(whole, keys))))
+    of = {k: F.coalesce(F.try_variant_get(v, f"$.{k}", "int"), F.try_variant_get(v, f"$.{k}", "boolean").cast("int")) for k in keys}
+    wanted = {k: F.lit(True) if asked is None else F.array_contains(asked, k) for k in keys}
+    have = F.lit(True)
+    for k in keys:
+        have = have & (of[k].isNotNull() | ~wanted[k])
+    return F.when(have & v.isNotNull(), F.struct(*(F.when(wanted[k], (of[k] != 0).cast("int")).alias(k) for k in keys)))
 
 
 def verdict(c: Column) -> Column:

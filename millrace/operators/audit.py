@@ -30,6 +30,13 @@ def category_coverage(df: DataFrame, m: Column) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("n_records"), F.sum(F.size("items")).cast("bigint").alias("n_items"))
 
 
+def constraint_totals(df: DataFrame, m: Column) -> DataFrame:
+    """Records, items of all their categories, and mean items per record."""
+    items = F.aggregate(F.coalesce(F.map_values(m), F.array()), F.lit(0), lambda n, x: n + F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)))
+    n, k = F.count("*"), F.coalesce(F.sum(items), F.lit(0)).cast("bigint")
+    return df.agg(n.alias("n_records"), k.alias("n_items"), (k / F.greatest(n, F.lit(1))).alias("mean_items"))
+
+
 def field_presence(df: DataFrame, cell: Column) -> DataFrame:
     """Records that have each top-level key of a JSON object cell."""
     keys = F.json_object_keys(cell)

@@ -142,3 +142,11 @@ def threefold(original: DataFrame, *others: DataFrame) -> DataFrame:
     for i, d in enumerate(others, 1):
         out = out.unionByName(d.withColumn("aug_rank", F.lit(i)), allowMissingColumns=True)
     return out
+
+
+def stats(augmented: DataFrame) -> DataFrame:
+    """Per augmentation of threefold(): rows, rows augmented, rows that fell back to the original, and errors (no prompt)."""
+    fell = F.coalesce("fell_back", F.lit(False))
+    failed = F.col("winner_prompt").isNull()
+    rows = augmented.where("aug_rank > 0").groupBy("augmentation_method")
+    return rows.agg(F.count("*").alias("total"), F.count_if(~fell & ~failed).alias("augmented"), F.count_if(fell).alias("fell_back"), F.count_if(failed).alias("errors"))

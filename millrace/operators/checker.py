@@ -1,14 +1,15 @@
 """Constraint checkers: the 18 kinds of machine-checkable constraint and the report over a list of them.
 
-A constraint is a struct (type, target, relation, keywords, keyword, value); a response is given by its facts(). Each verdict is true, false or null (unknown
+A constraint is a struct (type, target, relation, keywords, keyword, value, count, num, forbidden), which unified() makes of
+one that lacks some of them; a response is given by its facts(). Each verdict is true, false or null (unknown
 kind, missing or unusable parameter). All are built-in expressions; nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -22,9 +23,19 @@ def facts(response: Column) -> Column:
     return F.struct(response.alias("text"), F.lower(response).alias("low"), F.lower(body).alias("body"), X.word_count(response).alias("n_words"), X.sentence_count(response).alias("n_sentences"), X.paragraph_count(response).alias("n_paragraphs"))
 
 
+#: The fields a constraint may have; of the numbers the first that is there counts.
+USUAL = ("type", "target", "relation", "keywords", "keyword", "value")
+FIELDS = {"type": "string", "target": "int", "relation": "string", "keywords": "array<string>", "keyword": "string", "value": "string", "count": "int", "num": "int", "forbidden": "array<string>"}
+
+
+def unified(constraint: Column, have: Sequence[str] = USUAL) -> Column:
+    """A constraint struct that has the fields ``have`` with all of FIELDS, the others null."""
+    return F.struct(*((constraint[f] if f in have else F.lit(None)).cast(kind).alias(f) for f, kind in FIELDS.items()))
+
+
 def _target(c: Column) -> Column:
-    """The count asked for: ``target`` where it is given, else ``value`` as a number."""
-    return F.when(c["target"].isNotNull(), c["target"]).otherwise(c["value"].try_cast("int"))
+    """The count asked for: target, count, value as a number or num, the first that is given."""
+    return F.when(c["target"].isNotNull(), c["target"]).when(c["count"].isNotNull(), c["count"]).when(c["value"].isNotNull(), c["value"].try_cast("int")).otherwise(c["num"])
 
 
 def _keywords(c: Column) -> Column:
@@ -59,7 +70,8 @@ def _frequency(r: Column, c: Column) -> Column:
 
 
 def _forbidden(r: Column, c: Column) -> Column:
-    return F.when(~_has_null(_keywords(c)), ~F.exists(_keywords(c), lambda k: F.contains(r["low"], F.lower(k))))
+    words = F.coalesce(c["keywords"], c["forbidden"], _keywords(c))
+    return F.when(~_has_null(words), ~F.exists(words, lambda k: F.contains(r["low"], F.lower(k))))
 
 
 def capital_words(r: Column) -> Column:
@@ -113,21 +125,30 @@ CHECKS: dict[str, Check] = {
 }
 
 
-def check(response: Column, constraint: Column) -> Column:
-    """The verdict on one constraint, by its type; null for unknown types and null responses."""
+def check(response: Column, constraint: Column, have: Sequence[str] = USUAL) -> Column:
+    """The verdict on one constraint with the fields ``have``, by its type; null for unknown types and null responses."""
+    constraint = unified(constraint, have)
     out = F.lit(None).cast("boolean")
     for kind, rule in CHECKS.items():
         out = F.when(constraint["type"] == kind, rule(response, constraint)).otherwise(out)
     return out
 
 
-def results(response: Column, constraints: Column) -> Column:
-    """Verdicts (type, passed) on a list of constraints. Project them before report(), which uses them several times."""
-    return F.transform(F.coalesce(constraints, F.array()), lambda c: F.struct(c["type"].alias("type"), check(response, c).alias("passed")))
+def results(response: Column, constraints: Column, have: Sequence[str] = USUAL) -> Column:
+    """Verdicts (type, passed) on a list of constraints that have the fields ``have``. Project them before report(), which
+    uses them several times."""
+    one = lambda c: F.struct(c["type"].alias("type"), check(response, c, have).alias("passed"))
+    return F.transform(F.coalesce(constraints, F.array()), one)
+
+
+def fields_of(df: DataFrame, constraints: str) -> list[str]:
+    """The fields that the constraints of a table have."""
+    return df.schema[constraints].dataType.elementType.names
 
 
 def report(results: Column) -> Column:
-    """Struct of the results, their counts, per_constraint_csr and hard_csr."""
+    """Struct of the results, their counts, per_constraint_csr and hard_csr; null results count as an empty list."""
+    results = F.coalesce(results, F.array())
     checked = F.size(F.filter(results, lambda x: x["passed"].isNotNull()))
     passed = F.size(F.filter(results, lambda x: F.coalesce(x["passed"], F.lit(False))))
     csr = F.when(checked > 0, passed / checked).otherwise(F.lit(0.0))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
-from millrace.session import cut
+from millrace.session import broadcast_if_small, cut
 
 K = 5
 
@@ -48,7 +48,7 @@ def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhash(text: Column, bands: int, rows: int) -> Column:
-    """Band hashes (array<bigint>) of the shingles of each text."""
+    """Band hashes (array<bigint>) of the shingles of each text; with one row a band, its MinHash signature."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def bands_of(texts: pa.Array) -> pa.Array:
@@ -86,29 +86,61 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def near_pairs(df: DataFrame, order: str, text: Column, threshold: float = 0.85, rows: int = 8, recall: float = 0.9999) -> DataFrame:
-    """Pairs (a < b, similarity) of rows of different texts at or above the threshold."""
+    """Pairs (a < b, similarity) of rows at or above the threshold, copies (similarity 1) included.
+
+    Copies are one class, represented by its first row; only representatives are banded and compared, and only the pairs
+    found are expanded to their rows.
+    """
+    # written once: the text may be costly to make, and is read for the classes, the bands and the verification
+    base = cut(df.select(F.col(order).alias("id"), F.coalesce(text, F.lit("")).alias("t")))
+    members = cut(_classes(base))
+    similar = first_pairs(base.join(members.where("id = rep").select("id"), "id", "left_semi"), threshold, rows, recall)
+    x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = similar.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    many = members.where("n > 1")
+    within = many.select("rep", F.col("id").alias("a")).join(many.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return across.unionByName(within)
+
+
+def _classes(base: DataFrame) -> DataFrame:
+    """(id, rep, n): the first row and the size of the class of equal texts of each row."""
+    keyed = base.select("id", F.md5("t").alias("_k"))
+    return keyed.join(keyed.groupBy("_k").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "_k").select("id", "rep", "n")
+
+
+def first_pairs(texts: DataFrame, threshold: float = 0.85, rows: int = 8, recall: float = 0.9999) -> DataFrame:
+    """Pairs (a < b, similarity) of different texts (id, t) at or above the threshold. Bands that one text alone has are
+    dropped by a count before any is joined; AQE splits the join of bands that many have."""
     bands = bands_for(threshold, recall, rows)
-    texts = df.select(F.col(order).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
-    banded = texts.select("id", F.length("t").alias("n"), F.explode(minhash(F.col("t"), bands, rows)).alias("h"))
-    a, b = banded.select("h", F.col("id").alias("a"), F.col("n").alias("na")), banded.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
+    banded = cut(texts.select("id", F.length("t").alias("n"), F.explode(minhash(F.col("t"), bands, rows)).alias("h")))
+    shared = cut(banded.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))
+    some = banded.join(broadcast_if_small(shared), "h", "left_semi")
+    a, b = some.select("h", F.col("id").alias("a"), F.col("n").alias("na")), some.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
     met = a.join(b, "h").where("a < b").select("a", "b").distinct()
-    both = met.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    ends = texts.join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    both = met.join(ends.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(ends.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     return both.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def greedy(ids: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, kept) by the first-seen rule over similar pairs (a < b). Each round is written to the checkpoint folder."""
+def greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, kept) by the first-seen rule over similar pairs (a < b). Each round is written to the checkpoint folder.
+
+    A round decides at least the first row that is open, so that the rounds end; there are as many as the longest chain of
+    rows that wait for one another. Pairs whose later row is decided, or whose earlier one is dropped, go no further.
+    """
     pairs = cut(pairs.select("a", "b"))
     state = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(max_rounds):
+    while True:
         known = state.select(F.col("id").alias("a"), F.col("kept").alias("ka"))
-        seen = pairs.join(known, "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("hit"), F.bool_or(F.col("ka").isNull()).alias("open"))
+        live = pairs.join(known, "a")
+        seen = live.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("hit"), F.bool_or(F.col("ka").isNull()).alias("open"))
         nxt = state.join(seen, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True).alias("kept"))
         state = cut(nxt)
-        if state.where("kept IS NULL").isEmpty():
+        undecided = state.where("kept IS NULL").select("id")
+        if undecided.isEmpty():
             break
-    else:
-        raise RuntimeError(f"the first-seen rule did not settle in {max_rounds} rounds")
+        dropped = state.where("NOT kept").select(F.col("id").alias("a"))
+        pairs = cut(pairs.join(undecided.withColumnRenamed("id", "b"), "b", "left_semi").join(dropped, "a", "left_anti"))
     return ids.join(state, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
@@ -118,6 +150,6 @@ def near_dedup(df: DataFrame, order: str, text: Column, threshold: float = 0.85)
     base = cut(df.select(F.col(order).alias("id"), F.coalesce(text, F.lit("")).alias("t")))
     marked = first_seen(base, "id", X.fingerprint(F.col("t")))
     firsts = cut(marked.where("kept").select("id", "t"))
-    decided = greedy(firsts.select("id"), near_pairs(firsts, "id", F.col("t"), threshold))
+    decided = greedy(firsts.select("id"), first_pairs(firsts, threshold))
     out = base.select("id").join(decided, "id", "left")  # only firsts are decided
     return out.select(F.col("id").alias(order), F.when(F.col("kept").isNull(), "exact").when(~F.col("kept"), "near").alias("reason"))

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
 from millrace.operators.checker import report
+from millrace.operators.validators import KEYS
 
 Generate = Callable[[list[str]], list[str]]
 
 
 def generated(prompt: Column, load: Callable[[], Generate], batch: int = 32) -> Column:
-    """A model's output for each prompt. ``load`` runs once per Python worker; null prompts give null."""
+    """A model's output for each prompt. ``load`` runs once per Python worker, whatever it has bound; null prompts give
+    null."""
+    key = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
 
     @F.arrow_udf(T.StringType())
     def outputs(prompts: pa.Array) -> pa.Array:
-        model = _loaded(load)
+        model = _loaded(key, load)
         texts = prompts.to_pylist()
         at = [i for i, t in enumerate(texts) if t is not None]
         out: list[str | None] = [None] * len(texts)
@@ -32,43 +37,73 @@ def generated(prompt: Column, load: Callable[[], Generate], batch: int = 32) ->
     return outputs(prompt)
 
 
-_MODELS: dict[int, Generate] = {}
+_MODELS: dict[str, Generate] = {}
 
 
-def _loaded(load: Callable[[], Generate]) -> Generate:
-    key = hash((getattr(load, "__module__", ""), getattr(load, "__qualname__", repr(load))))
+def _loaded(key: str, load: Callable[[], Generate]) -> Generate:
     if key not in _MODELS:
         _MODELS[key] = load()
     return _MODELS[key]
 
 
-def judge_prompt(prompt: Column, response: Column, style: Column, topic: Column) -> Column:
-    """Question to a judge: one bullet per applicable constraint and the JSON to fill in; null where none applies."""
-    asked = F.filter(F.array(F.when(style.isNotNull(), F.concat(F.lit("- style: "), style)), F.when(topic.isNotNull(), F.concat(F.lit("- topic: "), topic))), lambda x: x.isNotNull())
-    keys = F.filter(F.array(F.when(style.isNotNull(), F.lit('"style": 0 or 1')), F.when(topic.isNotNull(), F.lit('"topic": 0 or 1'))), lambda x: x.isNotNull())
-    body = F.concat(F.lit("Instruction:\n"), prompt, F.lit("\n\nAnswer:\n"), response, F.lit("\n\nDoes the answer meet each of these?\n"), F.array_join(asked, "\n"), F.lit("\n\nReply with JSON only: {"), F.array_join(keys, ", "), F.lit("}"))
-    return F.when(F.size(asked) > 0, body)
-
-
-def batch_judge(df: DataFrame, key: str, prompt: Column, response: Column, style: Column, topic: Column, load: Callable[[], Generate]) -> DataFrame:
-    """Verdicts (key, style, topic) of a judge model; rows without an applicable constraint are not sent and get nulls."""
-    asked = df.select(key, judge_prompt(prompt, response, style, topic).alias("q"), style.isNotNull().alias("s"), topic.isNotNull().alias("t"))
-    sent = asked.where("q IS NOT NULL").select(key, "s", "t", generated(F.col("q"), load).alias("raw"))
-    one = lambda k: X.judge_verdicts(F.col("raw"), [k])[k]
-    both = X.judge_verdicts(F.col("raw"), ["style", "topic"])
-    pick = lambda k, mine, other: F.when(F.col(mine) & F.col(other), both[k]).when(F.col(mine), one(k))
-    return df.select(key).join(sent.select(key, pick("style", "s", "t").alias("style"), pick("topic", "t", "s").alias("topic")), key, "left")
+def applicable_keys(rules: Column, styles: Column, topics: Column) -> Column:
+    """The constraints a judge is asked about: those of the parsed rules that are given, and style and topic."""
+    has = {
+        "length": rules["lo"].isNotNull() & rules["hi"].isNotNull(), "keyword": F.coalesce(F.size(rules["keywords"]), F.lit(0)) > 0,
+        "start_with": F.coalesce(rules["start"] != "", F.lit(False)), "end_with": F.coalesce(rules["end"] != "", F.lit(False)),
+        "style": styles.isNotNull(), "topic": topics.isNotNull(),
+    }
+    return F.filter(F.array(*(F.when(c, k) for k, c in has.items())), lambda k: k.isNotNull())
+
+
+def judge_prompt(response: Column, rules: Column, styles: Column, topics: Column) -> Column:
+    """Question to a judge: one line per applicable constraint and the JSON to fill in; null where none applies."""
+    quoted = lambda xs, between: F.array_join(F.transform(xs, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), between)
+    words = F.transform(F.array_sort(F.map_entries(rules["keywords"])), lambda e: F.concat(F.lit('"'), e["key"], F.lit('" '), e["value"].cast("string"), F.lit(" times or more")))
+    line = {
+        "length": F.concat(F.lit("from "), rules["lo"].cast("string"), F.lit(" to "), rules["hi"].cast("string"), F.lit(" words")),
+        "keyword": F.concat(F.lit("contains "), F.array_join(words, " and ")),
+        "start_with": F.concat(F.lit('begins with "'), rules["start"], F.lit('"')), "end_with": F.concat(F.lit('ends with "'), rules["end"], F.lit('"')),
+        "style": F.concat(F.lit("its style is all of "), quoted(styles, ", ")), "topic": F.concat(F.lit("its topic is all of "), quoted(topics, ", ")),
+    }
+    keys = applicable_keys(rules, styles, topics)
+    asked = F.array(*(F.when(F.array_contains(keys, k), F.concat(F.lit(f"- {k}: "), text)) for k, text in line.items()))
+    blanks = F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('": 0 or 1')))
+    body = F.concat(F.lit("Answer:\n"), response, F.lit("\n\nDoes the answer meet each of these?\n"), F.array_join(asked, "\n"), F.lit("\n\nReply with JSON only: {"), F.array_join(blanks, ", "), F.lit("}"))
+    return F.when(F.size(keys) > 0, body)
+
+
+def batch_judge(df: DataFrame, response: Column, rules: Column, styles: Column, topics: Column, load: Callable[[], Generate]) -> DataFrame:
+    """Add ``judged``: a struct of the six verdicts of a judge model, null where nothing was asked or its output lacks a key
+    that was. Rows stay where they are; only questions are sent to the model."""
+    asked = df.withColumns({"_question": judge_prompt(response, rules, styles, topics), "_keys": applicable_keys(rules, styles, topics)})
+    sent = asked.withColumn("_raw", generated(F.col("_question"), load))
+    return sent.withColumn("judged", X.judge_verdicts(F.col("_raw"), list(KEYS), F.col("_keys"))).drop("_question", "_keys", "_raw")
 
 
 def judge_open_results(scores: DataFrame, key: str, ask: Callable[[Column, Column], Column]) -> DataFrame:
-    """Verdicts for results without one: exploded by position, judged, put back in order, and the report made anew.
+    """Verdicts for results without one, in place, and the report made anew; every record is returned.
 
-    ``ask(response, type)`` gives the judge's raw output (PASS... or FAIL...); results that had a verdict are not sent.
+    ``ask(response, type)`` is an expression of the judge's raw output (PASS... or FAIL...); results that had a verdict are
+    not sent. A judge in Python cannot stand inside an array: judge_open_rows() sends its questions as rows.
     """
-    rows = scores.select(key, "response", F.posexplode("results").alias("pos", "r")).select(key, "response", "pos", "r.type", "r.passed")
-    sent = rows.where("passed IS NULL").withColumn("passed", X.verdict(ask(F.col("response"), F.col("type")))).withColumn("judged_by", F.when(F.col("passed").isNotNull(), "llm"))
-    kept = rows.where("passed IS NOT NULL").withColumn("judged_by", F.lit(None).cast("string"))
-    packed = sent.unionByName(kept).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "type", "passed", "judged_by"))).alias("rs"))
+
+    def one(r: Column) -> Column:
+        said = F.when(r["passed"].isNull(), X.verdict(ask(F.col("response"), r["type"])))
+        return F.struct(r["type"].alias("type"), F.coalesce(r["passed"], said).alias("passed"), F.when(said.isNotNull(), "llm").alias("judged_by"))
+
+    done = scores.select(key, F.transform(F.coalesce("results", F.array()), one).alias("_results"))
+    return done.select(key, report(F.col("_results")).alias("report")).select(key, "report.*")
+
+
+def judge_open_rows(scores: DataFrame, key: str, question: Callable[[Column, Column], Column], load: Callable[[], Generate]) -> DataFrame:
+    """The same with a judge model: results exploded by position, judged in batches, put back in order. The key is unique;
+    records without results stay."""
+    rows = scores.select(key, "response", F.posexplode_outer("results").alias("pos", "r")).select(key, "response", "pos", "r.type", "r.passed")
+    open_ = F.col("pos").isNotNull() & F.col("passed").isNull()
+    asked = rows.withColumn("_raw", generated(F.when(open_, question(F.col("response"), F.col("type"))), load))
+    judged = asked.select(key, "pos", "type", F.coalesce("passed", X.verdict(F.col("_raw"))).alias("passed"), F.when(open_ & X.verdict(F.col("_raw")).isNotNull(), "llm").alias("judged_by"))
+    packed = judged.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "type", "passed", "judged_by")))).alias("rs"))
     results = F.transform("rs", lambda x: F.struct(x["type"].alias("type"), x["passed"].alias("passed"), x["judged_by"].alias("judged_by")))
     return packed.select(key, report(results).alias("report")).select(key, "report.*")
 

@@ -16,7 +16,7 @@ def csr_by_level(scores: DataFrame) -> DataFrame:
     named = agg.select(F.when(F.col("g") == 1, "Overall").otherwise(F.col("difficulty_level")).alias("level"), "n", "s", "h").where("level IS NOT NULL")
     n = F.coalesce("n", F.lit(0))
     mean = lambda c: F.when(n > 0, F.col(c) / n).otherwise(F.lit(0.0))
-    return F.broadcast(levels).join(named, "level", "left").select("level", n.alias("n"), mean("s").alias("mean_csr"), mean("h").alias("hard_csr"))
+    return levels.join(named, "level", "left").select("level", n.alias("n"), mean("s").alias("mean_csr"), mean("h").alias("hard_csr"))
 
 
 def pass_by_type(scores: DataFrame) -> DataFrame:
@@ -31,10 +31,11 @@ def overall(scores: DataFrame) -> DataFrame:
 
 
 def per_key(verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """Pass rate per verdict column, nulls left out, in one pass; keys without a verdict do not appear."""
+    """Pass rate and loss per verdict column, nulls left out, in one pass; keys without a verdict do not appear."""
     cells = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).alias("v")) for k in keys))).alias("x")
     rows = verdicts.select(cells).select("x.*").where("v IS NOT NULL")
-    return rows.groupBy("key").agg(F.count("*").alias("n"), (F.count_if("v") / F.count("*")).alias("pass_rate"))
+    rate = F.count_if(F.col("v").cast("boolean")) / F.count("*")
+    return rows.groupBy("key").agg(F.count("*").alias("n"), rate.alias("pass_rate"), (1 - rate).alias("loss"))
 
 
 def fold_means(scores: DataFrame, metrics: list[str]) -> DataFrame:
@@ -55,6 +56,11 @@ def compare_models(scores: DataFrame, metrics: list[str], a: str, b: str) -> Dat
     return wide.withColumn("winner", F.when(F.col("mean_a") > F.col("mean_b"), a).when(F.col("mean_b") > F.col("mean_a"), b).otherwise("Tie"))
 
 
+def wins(compared: DataFrame) -> DataFrame:
+    """How many metrics each model wins, and how many are ties."""
+    return compared.groupBy("winner").agg(F.count("*").alias("n_metrics"))
+
+
 def override(base: DataFrame, judged: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Rows of ``base`` with the columns of the judged row of their key where there is one."""
     j = judged.select(F.col(key), F.struct(*cols).alias("_j"))

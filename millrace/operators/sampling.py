@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranking import hash_rank, ntile, seeded
@@ -19,17 +19,27 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     return ranked.withColumn("fold", ntile(F.col("rank"), F.col("n"), k)).drop("_h", "rank", "n")
 
 
+def _first_of_groups(df: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:
+    """The first ``most`` rows of each group by their seeded key, with their rank as ``_rank``.
+
+    A literal limit on a row number lets each task keep ``most`` rows of a group before the shuffle, so that no task gets a
+    whole group.
+    """
+    w = Window.partitionBy(group).orderBy("_h", key)
+    ranked = df.withColumn("_h", seeded(F.col(key), seed)).withColumn("_rank", F.row_number().over(w))
+    return ranked.where(F.col("_rank") <= most).drop("_h")
+
+
 def per_group(df: DataFrame, group: str, key: str, m: int, seed: int = 42) -> DataFrame:
     """At most ``m`` rows of each group."""
-    return hash_rank(df.withColumn("_h", seeded(F.col(key), seed)), "_h", key, [group]).where(F.col("rank") <= m).drop("_h", "rank", "n")
+    return _first_of_groups(df, group, key, m, seed).drop("_rank")
 
 
 def stratified(df: DataFrame, level: str, key: str, total: int, seed: int = 42) -> DataFrame:
     """max(1, total // levels) rows of each level, or all it has."""
     levels = df.agg(F.count_distinct(F.coalesce(F.col(level).cast("string"), F.lit("")))).scalar()
     quota = F.greatest(F.lit(1), F.floor(F.lit(total) / F.greatest(levels, F.lit(1))))
-    ranked = hash_rank(df.withColumn("_h", seeded(F.col(key), seed)), "_h", key, [level])
-    return ranked.where(F.col("rank") <= quota).drop("_h", "rank", "n")
+    return _first_of_groups(df, level, key, max(1, total), seed).where(F.col("_rank") <= quota).drop("_rank")
 
 
 def holdout(df: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:

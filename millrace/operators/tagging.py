@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -56,3 +56,23 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
 def top_labels(df: DataFrame, label: str, order: str, k: int = 20) -> DataFrame:
     """The k most frequent labels; ties by first appearance."""
     return df.groupBy(label).agg(F.count("*").alias("n"), F.min(order).alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(k)
+
+
+def category_presence(assigned: DataFrame) -> DataFrame:
+    """(category, n, share): records that have each category, against all records."""
+    total = assigned.agg(F.count("*")).scalar()
+    counts = assigned.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return counts.select("category", "n", (F.col("n") / total).alias("share"))
+
+
+def summary(assigned: DataFrame, order: str, k: int = 20) -> DataFrame:
+    """The cluster summary as rows (section, value, n, pct): primary clusters, categories present, numbers of types, and the
+    k most frequent labels (ties by first appearance); pct of all records, to two places. One pass counts all sections."""
+    total = assigned.agg(F.count("*")).scalar()
+    item = lambda section, value: F.struct(F.lit(section).alias("section"), value.cast("string").alias("value"))
+    fixed = F.array(item("by_primary_cluster", F.col("primary_cluster")), item("num_constraint_types", F.col("num_constraint_types")), item("top_cluster_labels", F.col("cluster_label")))
+    present = F.transform("categories", lambda c: item("category_presence", c))
+    counts = assigned.select(order, F.inline(F.concat(fixed, present))).groupBy("section", "value").agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "first_seen"))
+    ranked = counts.withColumn("place", place).where((F.col("section") != "top_cluster_labels") | (F.col("place") <= k))
+    return ranked.select("section", "value", "n", F.round(100 * F.col("n") / total, 2).alias("pct"))

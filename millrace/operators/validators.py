@@ -56,10 +56,36 @@ def rule_score(verdicts: Column, without: float = 0.0) -> Column:
     return F.when(total > 0, passed / total).otherwise(F.lit(without))
 
 
-def with_fallback(judged: Column, ruled: Column) -> Column:
-    """Struct (verdict, by): the judge's verdict where there is one, else the rule's, and where it comes from."""
-    by = F.when(judged.isNotNull(), "judge").when(ruled.isNotNull(), "rule(fallback)")
-    return F.struct(F.coalesce(judged, ruled).alias("verdict"), by.alias("by"))
+KEYS = ("length", "keyword", "start_with", "end_with", "style", "topic")
+
+
+def described_items(cell: Column, name: str) -> Column:
+    """Style or topic descriptions of a cell of constraints for a model (JSON text): the texts under the name, or under its
+    lower-case form where the name is no key; null where there are none. A single text counts as a list of one."""
+    v = X.strict_json(cell)
+    has = F.array_contains(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), name)
+    x = F.when(has, F.try_variant_get(v, f"$.{name}", "variant")).otherwise(F.try_variant_get(v, f"$.{name.lower()}", "variant"))
+    is_text = lambda i: F.schema_of_variant(i) == "STRING"
+    texts = lambda xs: F.transform(F.filter(xs, lambda i: F.coalesce(is_text(i), F.lit(False))), lambda i: F.try_variant_get(i, "$", "string"))
+    items = texts(F.when(is_text(x), F.array(x)).otherwise(F.try_variant_get(x, "$", "array<variant>")))
+    return F.when(F.size(items) > 0, items)
+
+
+def scored(judged: Column, ruled: Column, by_judge: bool) -> Column:
+    """Struct of the six verdicts (0, 1 or null), passed, total, score, loss and scorer of one example.
+
+    The judge's verdicts where its output could be read, the keys it was not asked for null; else the rules' (which say nothing on
+    style and topic), as rule(fallback), or as rule where there is no judge.
+    """
+    use = judged.isNotNull() if by_judge else F.lit(False)
+    of_rules = {"length": ruled["length"], "keyword": ruled["keyword"], "start_with": ruled["start"], "end_with": ruled["end"]}
+    null = F.lit(None).cast("int")
+    one = {k: F.when(use, judged[k]).otherwise(of_rules[k].cast("int") if k in of_rules else null) for k in KEYS}
+    passed = sum((F.coalesce(v, F.lit(0)) for v in one.values()), F.lit(0))
+    total = sum((v.isNotNull().cast("int") for v in one.values()), F.lit(0))
+    score = F.when(total > 0, passed / total).otherwise(F.lit(0.0))
+    scorer = F.when(use, "judge").otherwise("rule(fallback)" if by_judge else "rule")
+    return F.struct(*(v.alias(k) for k, v in one.items()), passed.alias("passed"), total.alias("total"), score.alias("score"), F.round(1 - score, 6).alias("loss"), scorer.alias("scorer"))
 
 
 # Category validators: constraints are a map from category to descriptions; all nine categories count, always.

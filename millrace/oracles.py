@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from millrace.functions import constants as K
+from millrace.sources.queries import io_sql
 
 #: Parameters of the checker queries.
 CHECK_ARGS: dict[str, dict] = {
@@ -82,6 +85,20 @@ def finger(x: str) -> str:
     return f"sha256({spaces(f'lower({x})')})"
 
 
+def python_text(x: str) -> str:
+    esc = f"replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+    return f"CASE WHEN contains({x}, chr(39)) AND NOT contains({x}, chr(34)) THEN chr(34) || {esc} || chr(34) ELSE chr(39) || replace({esc}, chr(39), chr(92) || chr(39)) || chr(39) END"
+
+
+def captured(c: str, pattern: str) -> str:
+    n = re.compile(pattern).groups
+    take = lambda i: f"regexp_extract_all({c}, {q('(?i)' + pattern)}, {i})"
+    if n < 2:
+        return take(n)
+    shown = " || ', ' || ".join(f"({python_text(f'{take(i + 1)}[i]')})" for i in range(n))
+    return f"list_transform(range(1, len({take(0)}) + 1), lambda i: '(' || {shown} || ')')"
+
+
 def parts(x: str, pattern: str) -> str:
     return f"len(list_filter(string_split_regex({x}, {q(pattern)}), lambda s: {trim_ws('s')} <> ''))"
 
@@ -229,22 +246,42 @@ def _check_queries() -> dict[str, str]:
     return out
 
 
-def _shredded() -> str:
-    """Scalars of the nested cells by recursion over objects, arrays, and texts that hold either."""
+def _shredded() -> dict[str, str]:
+    """The nodes of the nested cells by recursion over objects, arrays, and texts that hold either, and the tables of them."""
 
     def unwrap(x: str) -> str:
         t = f"json_extract_string({x}, '$')"
         return f"CASE WHEN json_type({x}) <> 'VARCHAR' THEN {x} WHEN NOT json_valid({t}) THEN {x} WHEN json_type({t}) IN ('OBJECT', 'ARRAY') THEN {t}::JSON ELSE {x} END"
 
     names = ["added_constraint", "rule_evaluate_dict", "added_constraint_from_llm"]
-    parts = """CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: struct_pack(k := k, c := json_extract(v, '$."' || k || '"')))
-            ELSE list_transform(range(json_array_length(v)::BIGINT), lambda i: struct_pack(k := i::VARCHAR, c := json_extract(v, '$[' || i || ']'))) END"""
-    return f"""WITH RECURSIVE cells AS (SELECT rec_no, unnest({strings(names)}) AS field, unnest([{', '.join(names)}]) AS cell FROM constraint_records),
-        roots AS (SELECT rec_no, field, CASE WHEN json_valid(cell) THEN cell::JSON END AS v FROM cells),
-        n AS (SELECT rec_no, field, NULL::VARCHAR AS path, {unwrap('v')} AS v FROM roots WHERE v IS NOT NULL
-            UNION ALL SELECT rec_no, field, CASE WHEN path IS NULL THEN x.k ELSE path || '/' || x.k END AS path, {unwrap('x.c')} AS v
-            FROM (SELECT rec_no, field, path, unnest({parts}) AS x FROM n WHERE json_type(v) IN ('OBJECT', 'ARRAY')))
-        SELECT rec_no, field, coalesce(path, '') AS path FROM n WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')"""
+    parts = """CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k, i: struct_pack(k := k, o := i - 1, c := json_extract(v, '$."' || k || '"')))
+            ELSE list_transform(range(json_array_length(v)::BIGINT), lambda i: struct_pack(k := NULL::VARCHAR, o := i, c := json_extract(v, '$[' || i || ']'))) END"""
+    kind = "CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+    base = f"""WITH RECURSIVE cells AS (SELECT rec_no, unnest({strings(names)}) AS field, unnest([{', '.join(names)}]) AS cell FROM constraint_records),
+        roots AS (SELECT rec_no, field, ('0x' || substr(md5(cell), 1, 15))::BIGINT AS cell, CASE WHEN json_valid(cell) THEN cell::JSON END AS v FROM cells),
+        n AS (SELECT rec_no, field, cell, NULL::VARCHAR AS path, []::BIGINT[] AS ords, NULL::VARCHAR AS label, NULL::VARCHAR AS above, NULL::VARCHAR AS key, NULL::BIGINT AS ordinal, {unwrap('v')} AS v FROM roots WHERE v IS NOT NULL
+            UNION ALL SELECT rec_no, field, cell, CASE WHEN path IS NULL THEN coalesce(x.k, x.o::VARCHAR) ELSE path || '/' || coalesce(x.k, x.o::VARCHAR) END, list_append(ords, x.o), x.k, label, CASE WHEN len(ords) = 0 THEN x.k ELSE key END, x.o, {unwrap('x.c')}
+            FROM (SELECT rec_no, field, cell, path, ords, label, key, unnest({parts}) AS x FROM n WHERE json_type(v) IN ('OBJECT', 'ARRAY'))),
+        m AS (SELECT rec_no, field, cell, coalesce(path, '') AS path, ords, len(ords) AS depth, label, above, key, ordinal, {kind} AS kind, CASE WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(v, '$') END AS scalar, row_number() OVER (PARTITION BY rec_no, field, cell ORDER BY ords) - 1 AS node FROM n),
+        w AS (SELECT c.*, p.node AS parent, t.node AS top, r.kind AS root_kind FROM m c LEFT JOIN m p ON p.rec_no = c.rec_no AND p.field = c.field AND p.cell = c.cell AND c.depth > 0 AND p.ords = c.ords[:-2]
+            LEFT JOIN m t ON t.rec_no = c.rec_no AND t.field = c.field AND t.cell = c.cell AND c.depth > 0 AND t.ords = c.ords[1:1] JOIN m r ON r.rec_no = c.rec_no AND r.field = c.field AND r.cell = c.cell AND r.depth = 0),
+        s AS (SELECT rec_no, field, cell, parent AS node, map_from_entries(list(struct_pack(k := label, v := scalar)) FILTER (WHERE label IS NOT NULL)) AS named,
+            string_agg(ordinal || ':' || coalesce(label, '') || ':' || kind || ':' || scalar, '|' ORDER BY ordinal) AS scalars FROM w WHERE scalar IS NOT NULL AND parent IS NOT NULL GROUP BY ALL)"""
+    ids = "w.rec_no, w.field, w.cell, w.node, w.parent"
+    joined = "w LEFT JOIN s ON s.rec_no = w.rec_no AND s.field = w.field AND s.cell = w.cell AND s.node = w.node"
+    get = lambda *xs: ", ".join(f'named[{q(x)}] AS "{x}"' for x in xs)
+    item = "w.field <> 'rule_evaluate_dict' AND (root_kind = 'object' AND (depth = 2 AND label IS NULL OR depth = 1 AND scalar IS NOT NULL OR depth = 3 AND above = 'items') OR root_kind = 'array' AND depth = 1)"
+    return {
+        "p2_found": f"{base} SELECT rec_no, field, path FROM m WHERE scalar IS NOT NULL",
+        "p2_cells": f"{base} SELECT rec_no, field, cell, node, kind FROM m WHERE depth = 0",
+        "p2_categories": f"{base} SELECT {ids}, label, ordinal, kind, path, {get('weight')}, scalars FROM {joined} WHERE w.field <> 'rule_evaluate_dict' AND root_kind = 'object' AND depth = 1 AND scalar IS NULL",
+        "p2_constraints": f"""{base}, tw AS (SELECT rec_no, field, cell, top, max(scalar) AS of_top FROM w WHERE depth = 2 AND label = 'weight' AND scalar IS NOT NULL GROUP BY ALL)
+            SELECT {ids}, ordinal, coalesce(named['type'], named['constraint_type'], key) AS category, coalesce(scalar, named['text'], named['description']) AS body, coalesce(named['weight'], of_top) AS weight, scalars, path
+            FROM {joined} LEFT JOIN tw ON tw.rec_no = w.rec_no AND tw.field = w.field AND tw.cell = w.cell AND tw.top = w.top WHERE {item}""",
+        "p2_rules": f"{base} SELECT {ids}, ordinal, label AS rule, kind, scalar, path, scalars FROM {joined} WHERE w.field = 'rule_evaluate_dict' AND depth = 1 AND kind <> 'null'",
+        "p2_parts": f"{base} SELECT {ids}, label, ordinal, kind, path, {get('word', 'count', 'model', 'name', 'ok', 'tool', 'round', 'by', 'weight', 'min', 'max')}, scalars FROM {joined} WHERE kind IN ('object', 'array') AND depth >= 2",
+        "p2_values": f"{base} SELECT {ids}, label, ordinal, kind, scalar, path FROM w WHERE scalar IS NOT NULL",
+    }
 
 
 def _rules() -> dict[str, str]:
@@ -269,8 +306,47 @@ def _rules() -> dict[str, str]:
         "rule_parse": f"""{base} SELECT rec_no, lo::BIGINT AS lo, hi::BIGINT AS hi, array_to_string(list_sort(list_transform(ks, lambda x: x.k || '=' || x.n)), '|') AS keywords, s AS "start", e AS "end" FROM t""",
         "rule_scores": f"""{base} SELECT rec_no, "length", keyword, "start", "end", {score('0.0')} AS score, 1 - {score('0.0')} AS loss FROM t""",
         "train_scores": f"""{base} SELECT rec_no, "length"::INT::DOUBLE AS length_score, keyword::INT::DOUBLE AS keyword_score, "start"::INT::DOUBLE AS start_score, "end"::INT::DOUBLE AS end_score, {score('1.0')} AS score FROM t""",
-        "judge_fallback": f"""{base} SELECT rec_no, coalesce(CASE rec_no % 3 WHEN 0 THEN true WHEN 1 THEN false END, "length") AS verdict,
-            CASE WHEN rec_no % 3 < 2 THEN 'judge' WHEN "length" IS NOT NULL THEN 'rule(fallback)' END AS "by" FROM t""",
+        **_judge(base),
+    }
+
+
+def _judge(base: str) -> dict[str, str]:
+    keys = ("length", "keyword", "start_with", "end_with", "style", "topic")
+    cell = "added_constraint_from_llm"
+    of = lambda n: f"CASE WHEN list_contains(json_keys(j), '{n}') THEN json_extract(j, '$.{n}') ELSE json_extract(j, '$.{n.lower()}') END"
+    texts = lambda x: f"CASE json_type({x}) WHEN 'VARCHAR' THEN [json_extract_string({x}, '$')] WHEN 'ARRAY' THEN list_transform(list_filter(json_extract({x}, '$[*]'), lambda i: json_type(i) = 'VARCHAR'), lambda i: json_extract_string(i, '$')) END"
+    some = lambda xs: f"CASE WHEN len({xs}) > 0 THEN {xs} END"
+    quoted = lambda xs: f"array_to_string(list_transform({xs}, lambda x: '\"' || x || '\"'), ', ')"
+    words = "array_to_string(list_transform(list_sort(ks), lambda x: '\"' || x.k || '\" ' || x.n || ' times or more'), ' and ')"
+    line = {
+        "length": ("lo IS NOT NULL AND hi IS NOT NULL", "'from ' || lo || ' to ' || hi || ' words'"), "keyword": ("len(ks) > 0", f"'contains ' || {words}"),
+        "start_with": ("s <> ''", "'begins with \"' || s || '\"'"), "end_with": ("e <> ''", "'ends with \"' || e || '\"'"),
+        "style": ("styles IS NOT NULL", f"'its style is all of ' || {quoted('styles')}"), "topic": ("topics IS NOT NULL", f"'its topic is all of ' || {quoted('topics')}"),
+    }
+    listed_keys = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{k}' END" for k, (cond, _) in line.items()) + "], lambda k: k IS NOT NULL)"
+    lines = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '- {k}: ' || {text} END" for k, (cond, text) in line.items()) + "], lambda x: x IS NOT NULL)"
+    asked = f"""{base}, c1 AS (SELECT rec_no, CASE WHEN json_valid({cell}) THEN {cell}::JSON END AS j FROM constraint_records),
+        c2 AS (SELECT rec_no, {of('Style')} AS sx, {of('Topic')} AS tx FROM c1), c3 AS (SELECT rec_no, {texts('sx')} AS sl, {texts('tx')} AS tl FROM c2),
+        d AS (SELECT t.*, {some('sl')} AS styles, {some('tl')} AS topics FROM t JOIN c3 USING (rec_no)),
+        qk AS (SELECT *, {listed_keys} AS keys, {lines} AS lines FROM d),
+        qq AS (SELECT *, CASE WHEN len(keys) > 0 THEN 'Answer:' || chr(10) || response || chr(10) || chr(10) || 'Does the answer meet each of these?' || chr(10) || array_to_string(lines, chr(10)) || chr(10) || chr(10) || 'Reply with JSON only: {{' || array_to_string(list_transform(keys, lambda k: '"' || k || '": 0 or 1'), ', ') || '}}' END AS question FROM qk),
+        j AS (SELECT *, question IS NOT NULL AND length(question) % 5 <> 0 AS ok, {', '.join(f"CASE WHEN question IS NOT NULL AND length(question) % 5 <> 0 AND list_contains(keys, '{k}') THEN (length(question) + {len(k)}) % 2 END::BIGINT AS j_{k}" for k in keys)} FROM qq)"""
+    ruled = {"length": '"length"', "keyword": "keyword", "start_with": '"start"', "end_with": '"end"'}
+
+    def scored(use: str, otherwise: str) -> str:
+        one = ", ".join(f"CASE WHEN {use} THEN j_{k} ELSE {ruled[k] + '::INT' if k in ruled else 'NULL'} END::BIGINT AS v_{k}" for k in keys)
+        total = " + ".join(f"(v_{k} IS NOT NULL)::INT" for k in keys)
+        passed = " + ".join(f"coalesce(v_{k}, 0)" for k in keys)
+        score = f"CASE WHEN ({total}) > 0 THEN ({passed})::DOUBLE / ({total}) ELSE 0.0 END"
+        return f"""{asked}, z AS (SELECT rec_no, CASE WHEN {use} THEN 'judge' ELSE '{otherwise}' END AS scorer, {one} FROM j)
+            SELECT rec_no, {', '.join(f'v_{k} AS "{k}"' for k in keys)}, ({passed})::BIGINT AS passed, ({total})::BIGINT AS total, {score} AS score, round(1 - {score}, 6) AS loss, scorer FROM z"""
+
+    return {
+        "parse_style_topic": f"{asked} SELECT rec_no, array_to_string(styles, '|') AS styles, array_to_string(topics, '|') AS topics FROM d",
+        "judge_prompt": f"{asked} SELECT rec_no, question FROM qq",
+        "batch_judge": f"{asked} SELECT rec_no, {', '.join(f'j_{k} AS "{k}"' for k in keys)} FROM j",
+        "judge_fallback": scored("ok", "rule(fallback)"),
+        "rule_scorer": scored("false", "rule"),
     }
 
 
@@ -307,14 +383,19 @@ def _validators() -> dict[str, str]:
     end = f"CASE WHEN len({toks('ph')}) > 0 THEN ({toks('lr')})[greatest(1, len({toks('lr')}) - len({toks('ph')}) + 1):] = {toks('ph')} ELSE true END"
     fmt = f"NOT contains(ld, '<<') OR regexp_matches(response, '<<.+?>>')"
     tag = "CASE " + " ".join(f"WHEN contains(lk, '{t}') THEN '{t}'" for t in ("length", "keyword", "start", "end", "format", "tone", "style", "role", "numerical")) + " ELSE 'other' END"
-    desc = f"""WITH c AS (SELECT rec_no, id, json_transform(added_constraint, '[{{"type":"VARCHAR","constraint_type":"VARCHAR","description":"VARCHAR"}}]') AS cs FROM constraint_records WHERE added_constraint LIKE '[%' AND json_valid(added_constraint)),
+    field = lambda n: f"CASE WHEN json_type(i, '$.{n}') = 'VARCHAR' THEN json_extract_string(i, '$.{n}') END"
+    desc = f"""WITH a0 AS (SELECT rec_no, id, CASE WHEN json_valid(added_constraint) THEN added_constraint::JSON END AS v FROM constraint_records),
+        a1 AS (SELECT rec_no, id, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(json_extract_string(v, '$')) THEN json_extract_string(v, '$')::JSON ELSE v END AS v FROM a0),
+        c AS (SELECT rec_no, id, list_transform(json_extract(v, '$[*]'), lambda i: struct_pack("type" := {field('type')}, constraint_type := {field('constraint_type')}, description := {field('description')})) AS cs FROM a1 WHERE json_type(v) = 'ARRAY'),
         f AS (SELECT id, coalesce({r}, '') AS response FROM instruction_records WHERE line_no IN (SELECT min(line_no) FROM instruction_records GROUP BY id)),
         x AS (SELECT rec_no, response, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS pos FROM c JOIN f USING (id)),
         y AS (SELECT rec_no, pos::BIGINT AS pos, response, lower(response) AS lr, lower(coalesce(nullif(c.type, ''), c.constraint_type, '')) AS lk, coalesce(c.description, '') AS d FROM x),
         z AS (SELECT *, lower(d) AS ld, list_transform(regexp_extract_all(lower(d), '[0-9]+'), lambda n: n::BIGINT) AS ns, len({words('response')}) AS wc, {pieces('response')} AS sc,
             lower({trim_ws(f"coalesce(nullif({rx(dtimes, 1)}, ''), {rx(dquoted, 1)})")}) AS kw, lower({trim_ws(rx(dquoted, 1))}) AS ph FROM y),
         s AS (SELECT rec_no, pos, {tag} AS tag, CASE WHEN (CASE WHEN contains(lk, 'length') THEN {length} WHEN contains(lk, 'keyword') THEN {keyword} WHEN contains(lk, 'start') THEN {start} WHEN contains(lk, 'end') THEN {end} WHEN contains(lk, 'format') THEN {fmt} ELSE true END) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM z)"""
-    return {"cv_validators": cv, "desc_validators": f"{desc} SELECT * FROM s", "desc_means": f"{desc} SELECT tag, count(*) AS n, sum(score::INT)::DOUBLE / count(*) AS mean_score FROM s GROUP BY tag"}
+    return {"cv_validators": cv, "desc_validators": f"{desc} SELECT * FROM s", "desc_record_means": f"{desc}, g AS (SELECT rec_no, count(*) AS n, sum(score::INT)::DOUBLE / count(*) AS m FROM s GROUP BY rec_no) SELECT c.rec_no, coalesce(n, 0)::BIGINT AS n_rules, coalesce(m, 1.0) AS mean_score FROM c JOIN f USING (id) LEFT JOIN g USING (rec_no)",
+        "desc_overall": f"{desc}, g AS (SELECT rec_no, sum(score::INT)::DOUBLE / count(*) AS m FROM s GROUP BY rec_no) SELECT count(*) AS n_records, round(avg(coalesce(m, 1.0)), 9) AS csr FROM c JOIN f USING (id) LEFT JOIN g USING (rec_no)",
+        "desc_means": f"{desc} SELECT tag, count(*) AS n, sum(score::INT)::DOUBLE / count(*) AS mean_score FROM s GROUP BY tag"}
 
 
 def _tags() -> dict[str, str]:
@@ -331,6 +412,11 @@ def _tags() -> dict[str, str]:
         "cluster_summary": share("primary_cluster"),
         "type_count_dist": share("num_constraint_types"),
         "top_labels": f"{assign} SELECT cluster_label, count(*) AS n, min(line_no) AS first_seen FROM b GROUP BY cluster_label ORDER BY n DESC, first_seen LIMIT 20",
+        "category_presence": f"{assign} SELECT category, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM b) AS share FROM (SELECT unnest(cats) AS category FROM b) GROUP BY category",
+        "cluster_report": f"""{assign}, i AS (SELECT 'by_primary_cluster' AS section, primary_cluster AS value, line_no FROM b UNION ALL SELECT 'num_constraint_types', num_constraint_types::VARCHAR, line_no FROM b
+            UNION ALL SELECT 'category_presence', unnest(cats), line_no FROM b UNION ALL SELECT 'top_cluster_labels', cluster_label, line_no FROM b),
+            k AS (SELECT section, value, count(*) AS n, min(line_no) AS first_seen FROM i GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, first_seen) AS place FROM k)
+            SELECT section, value, n, round(100 * n::DOUBLE / (SELECT count(*) FROM b), 2) AS pct FROM r WHERE section <> 'top_cluster_labels' OR place <= 20""",
         "level_by_cluster": f"{assign} SELECT primary_cluster, {level('added_constraint_num')} AS level, count(*) AS n FROM b GROUP BY ALL",
     }
 
@@ -339,10 +425,11 @@ def _folds() -> dict[str, str]:
     names = "length_ok sentence_ok keyword_ok start_ok end_ok format_ok tone_ok style_ok role_ok".split()
     means = "WITH l AS (" + " UNION ALL ".join(f"SELECT model, fold, '{n}' AS metric, {n}::INT AS v FROM cv_scores" for n in names) + "), m AS (SELECT model, fold, metric, sum(v)::DOUBLE / count(v) AS value FROM l GROUP BY ALL)"
     summary = lambda std: f"{means} SELECT model, metric, round(avg(value), 9) AS mean, round({std}(value), 9) AS std, count(value) AS n_folds FROM m GROUP BY ALL"
-    rates = " UNION ALL ".join(f"SELECT '{n}' AS key, count({n}) AS n, sum({n}::INT)::DOUBLE / count({n}) AS pass_rate FROM cv_scores HAVING count({n}) > 0" for n in names)
-    compare = f"""{means}, a AS (SELECT model, metric, avg(value) AS mean FROM m GROUP BY ALL), w AS (SELECT metric, max(mean) FILTER (WHERE model = 'lora') AS a, max(mean) FILTER (WHERE model = 'full_ft') AS b FROM a GROUP BY metric)
+    rates = " UNION ALL ".join(f"SELECT '{n}' AS key, count({n}) AS n, sum({n}::INT)::DOUBLE / count({n}) AS pass_rate, 1 - sum({n}::INT)::DOUBLE / count({n}) AS loss FROM cv_scores HAVING count({n}) > 0" for n in names)
+    with_csr = means.replace("WITH l AS (", "WITH l AS (SELECT model, fold, 'csr' AS metric, csr AS v FROM cv_scores UNION ALL ").replace("::INT AS v", "::INT::DOUBLE AS v")
+    compare = f"""{with_csr}, a AS (SELECT model, metric, avg(value) AS mean FROM m GROUP BY ALL), w AS (SELECT metric, max(mean) FILTER (WHERE model = 'lora') AS a, max(mean) FILTER (WHERE model = 'full_ft') AS b FROM a GROUP BY metric)
         SELECT metric, round(a, 9) AS mean_a, round(b, 9) AS mean_b, CASE WHEN a > b THEN 'lora' WHEN b > a THEN 'full_ft' ELSE 'Tie' END AS winner FROM w"""
-    return {"per_key_rates": rates, "fold_means": f"{means} SELECT * FROM m", "fold_summary": summary("stddev_samp"), "fold_summary_pop": summary("stddev_pop"), "model_compare": compare}
+    return {"per_key_rates": rates, "fold_means": f"{means} SELECT * FROM m", "fold_summary": summary("stddev_samp"), "fold_summary_pop": summary("stddev_pop"), "model_compare": compare, "model_wins": f"SELECT winner, count(*) AS n_metrics FROM ({compare}) GROUP BY winner"}
 
 
 def _levels(rows: str) -> str:
@@ -378,7 +465,8 @@ def _augmented() -> dict[str, str]:
         "random_deletion": deletion,
         "bt_verify": f"SELECT line_no, {kept(f'replace({p}, {q("the")}, {q("THIS")})')} AS preserved {rows}",
         "augment_union": f"SELECT line_no, 0::BIGINT AS aug_rank, id, augmentation_method, NULL::VARCHAR AS augmentation_intermediate_lang {rows} UNION ALL SELECT line_no, 1, id || '_lex', 'lexical', NULL {rows} UNION ALL SELECT line_no, 2, id || '_bt', 'back_translation', 'xx' {rows}",
-        "aug_stats": f"SELECT count(*) AS total, count(*) FILTER (WHERE NOT ok) AS fell_back, count(*) FILTER (WHERE ok) AS augmented FROM (SELECT {trim_ws(p)} <> '' AND {kept(f'upper({p})')} AS ok {rows})",
+        "aug_stats": f"SELECT 'lexical' AS augmentation_method, count(*) AS total, count(*) AS augmented, 0::BIGINT AS fell_back, 0::BIGINT AS errors {rows} UNION ALL SELECT 'back_translation', count(*), count(*) FILTER (WHERE ok), count(*) FILTER (WHERE NOT ok), 0 FROM (SELECT {trim_ws(p)} <> '' AND {kept(f'upper({p})')} AS ok {rows})",
+        "back_translate": f"SELECT line_no, CASE WHEN {trim_ws(p)} = '' THEN {p} ELSE '<' || {p} || '>!' END AS out {rows}",
     }
 
 
@@ -387,7 +475,7 @@ def oracle_sql() -> dict[str, str]:
     recs = lambda f: f"SELECT line_no, {f('winner_prompt')} AS out FROM instruction_records"
     both = ("winner_prompt", "response_of_winner_prompt")
     strange = lambda c: f"regexp_extract_all(coalesce({c}, ''), '[^\\x{{0}}-\\x{{7F}}]')"
-    mined = lambda c: "array_to_string(flatten([" + ", ".join(f"regexp_extract_all({c}, {q('(?i)' + p)})" for p in K.MINED) + "]), '|')"
+    mined = lambda c: "array_to_string(list_transform(flatten([" + ", ".join(captured(c, p) for p in K.MINED) + "]), lambda m: 'parsed_from_prompt=' || m), '|')"
     counts = "SELECT category, count(*) AS n_records FROM (SELECT unnest(CASE WHEN cardinality(added_constraint) > 0 THEN map_keys(added_constraint) ELSE ['unknown'] END) AS category FROM instruction_records) GROUP BY category"
     turn = lambda role, t: f"'<|start_header_id|>{role}<|end_header_id|>' || chr(10) || chr(10) || {t} || '<|eot_id|>'"
     llama = f"'<|begin_of_text|>' || {turn('system', q('Be brief.'))} || {turn('user', 'winner_prompt')} || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)"
@@ -398,15 +486,16 @@ def oracle_sql() -> dict[str, str]:
         s AS (SELECT DISTINCT row_no, unnest(CASE WHEN length(t) < 5 THEN [t] ELSE list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)) END) AS g FROM t),
         n AS (SELECT row_no, count(*) AS n FROM s GROUP BY row_no), i AS (SELECT a.row_no AS a, b.row_no AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_no < b.row_no GROUP BY ALL)
         SELECT a, b, k::DOUBLE / (x.n + y.n - k) AS similarity FROM i JOIN n x ON x.row_no = a JOIN n y ON y.row_no = b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.85"""
-    judge = "SELECT resp_id, 'Instruction:' || chr(10) || e.winner_prompt || chr(10) || chr(10) || 'Answer:' || chr(10) || response || chr(10) || chr(10) || 'Does the answer meet each of these?' || chr(10) || array_to_string(list_filter(['- style: ' || model, '- topic: ' || source], lambda x: x IS NOT NULL), chr(10)) || chr(10) || chr(10) || 'Reply with JSON only: {' || array_to_string(list_filter([CASE WHEN model IS NOT NULL THEN '\"style\": 0 or 1' END, CASE WHEN source IS NOT NULL THEN '\"topic\": 0 or 1' END], lambda x: x IS NOT NULL), ', ') || '}' AS raw, model, source FROM model_responses m JOIN eval_prompts e USING (id) WHERE response IS NOT NULL"
     cell = "added_constraint"
     shape = f"""WITH a AS (SELECT rec_no, CASE WHEN json_valid({cell}) THEN {cell}::JSON END AS v FROM constraint_records),
         e AS (SELECT rec_no, v, json_type(v) AS t, CASE WHEN json_type(v) = 'OBJECT' THEN list_transform(json_keys(v), lambda k: json_extract(v, '$."' || k || '"')) END AS cs FROM a),
         f AS (SELECT rec_no, t, cs, CASE WHEN len(list_filter(cs, lambda c: json_type(c) <> 'ARRAY')) = 0 THEN flatten(list_transform(cs, lambda c: json_extract(c, '$[*]'))) END AS items FROM e)
         SELECT rec_no, CASE WHEN t IS NULL OR t = 'NULL' OR len(cs) = 0 THEN 'missing' WHEN t <> 'OBJECT' THEN 'not_object' WHEN items IS NULL OR len(list_filter(cs, lambda c: json_array_length(c) = 0)) > 0 THEN 'bad_category'
             WHEN len(list_filter(items, lambda i: json_type(i) <> 'VARCHAR' OR {trim_ws("json_extract_string(i, '$')")} = '')) > 0 THEN 'blank_item' END AS reason FROM f"""
+    opened = """WITH x AS (SELECT resp_id, list_transform(coalesce(results, []), lambda r: coalesce(r.passed, length(response) % 2 = 0)) AS ps FROM model_responses WHERE response IS NOT NULL)
+        SELECT resp_id, len(ps)::BIGINT AS num_constraints, len(ps)::BIGINT AS num_checked, len(list_filter(ps, lambda p: p))::BIGINT AS num_passed, len(ps) > 0 AND len(list_filter(ps, lambda p: p)) = len(ps) AS hard_csr FROM x"""
     return {
-        "p2_found": _shredded(),
+        **_shredded(),
         "remove_html": docs(html), "replace_emojis": docs(emojis), "replace_unknown_chars": recs(unknown), "normalize_symbols": recs(symbols), "normalize_whitespace": docs(spaces), "clean_text": docs(clean),
         "remove_stopwords": docs(stopless), "fingerprint": docs(finger), "printable_ratio": docs(printable), "entities": recs(lambda c: listed(entities(c))), "mine_constraints": recs(mined),
         "safe_names": "SELECT line_no, translate(source, '/-', '__') AS out FROM instruction_records",
@@ -418,7 +507,6 @@ def oracle_sql() -> dict[str, str]:
         "constraint_tokens": f"SELECT line_no, {listed(constrained('winner_prompt', 'added_constraint'))} AS tokens FROM instruction_records WHERE winner_prompt IS NOT NULL",
         "parse_judge": "SELECT score_id, CASE WHEN score_id % 4 > 1 THEN style_ok::INT END AS style, CASE WHEN score_id % 4 > 1 THEN tone_ok::INT END AS topic FROM cv_scores",
         "parse_verdict": "SELECT score_id, CASE score_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS passed FROM cv_scores",
-        "judge_prompt": f"SELECT resp_id, CASE WHEN model IS NOT NULL OR source IS NOT NULL THEN raw END AS question FROM ({judge})",
         "alias_projection": f"SELECT line_no, coalesce(nullif(winner_prompt, ''), nullif(prompt_winner, ''), '') AS prompt, coalesce(nullif(response_of_winner_prompt, ''), nullif(response_winner, ''), '') AS response, {level('coalesce(added_constraint_num, 0)')} AS difficulty, coalesce(id, line_no::VARCHAR) AS key FROM instruction_records",
         "quality_gates": f"{GATED} SELECT line_no, len({words('p')}) >= 15 AS long_enough, {printable('p')} >= 0.85 AS printable, {trim_ws('r')} <> '' AS answered FROM g",
         "language_gate": f"SELECT line_no, NOT coalesce({detected('prompt_lang')} <> 'en', false) AS kept FROM instruction_records",
@@ -456,6 +544,11 @@ def oracle_sql() -> dict[str, str]:
         "override_merge": f"SELECT resp_id, model, num_passed, per_constraint_csr, hard_csr FROM ({MERGED})",
         "resume_anti_join": "SELECT resp_id, id FROM model_responses WHERE NOT EXISTS (SELECT 1 FROM model_responses d WHERE d.hard_csr AND d.id = model_responses.id)",
         "judge_delta": f"SELECT a.level, a.hard_csr AS rule_hard_csr, b.hard_csr AS judged_hard_csr FROM ({_levels('SELECT * FROM model_responses')}) a JOIN ({_levels(MERGED)}) b USING (level)",
-        "judge_open_results": "WITH x AS (SELECT resp_id, unnest(results) AS r, length(response) % 2 = 0 AS yes FROM model_responses WHERE response IS NOT NULL), y AS (SELECT resp_id, coalesce(r.passed, yes) AS p FROM x) SELECT resp_id, count(*) AS num_constraints, count(*) AS num_checked, count(*) FILTER (WHERE p) AS num_passed, bool_and(p) AS hard_csr FROM y GROUP BY resp_id",
+        "judge_open_results": opened, "judge_open_rows": opened,
+        "generate": "SELECT resp_id, length(response) || ': ' || substr(response, 1, 20) AS out FROM model_responses",
+        "constraint_totals": "SELECT count(*) AS n_records, coalesce(sum(k), 0)::BIGINT AS n_items, coalesce(sum(k), 0)::DOUBLE / greatest(count(*), 1) AS mean_items FROM (SELECT coalesce(list_sum(list_transform(map_values(added_constraint), lambda l: coalesce(len(l), 0))), 0) AS k FROM instruction_records)",
+        "preprocess_audit": f"{KEPT}, cc AS (SELECT category, count(*) AS n_records FROM (SELECT unnest(CASE WHEN cardinality(added_constraint) > 0 THEN map_keys(added_constraint) ELSE ['unknown'] END) AS category FROM k WHERE first) GROUP BY category), w AS (SELECT sum(n_records)::DOUBLE AS n, count(*) AS m FROM cc) SELECT category, n_records, n_records / n AS share, n_records / n < 0.5::DOUBLE / m AS flagged FROM cc, w",
+        "cc_aliases": f"SELECT resp_id, {wc('response')} >= 50 AS by_count, {wc('response')} >= 50 AS by_value, {wc('response')} >= 50 AS by_num, NULL::BOOLEAN AS by_words, NOT (contains(lower(response), 'kayak') OR contains(lower(response), 'quilt')) AS forbidden FROM model_responses WHERE response IS NOT NULL",
+        **io_sql(),
         **_check_queries(), **_rules(), **_validators(), **_tags(), **_folds(), **_samples(), **_augmented(),
     }

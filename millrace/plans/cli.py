@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from millrace.operators import augment
 from millrace.plans import evaluate, preprocess
@@ -23,11 +23,14 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--force", action="store_true", help="write again where the folder exists")
         p.add_argument("--threshold", type=float, default=0.85, help="similarity of near-duplicates")
         p.add_argument("--seed", type=int, default=42)
+        p.add_argument("--detector", help="module:function of (session, folder of the tables) that gives a function adding the column detected to the records")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "preprocess":
-        df = table(spark, args.tables, "instruction_records").withColumn("detected", F.lit(None).cast("string"))
-        out = preprocess.run(df, args.threshold)
+        module, _, name = (args.detector or "").partition(":")
+        detector = getattr(importlib.import_module(module), name)(spark, args.tables) if name else None
+        out, audited = preprocess.run(table(spark, args.tables, "instruction_records"), args.threshold, detector=detector)
+        print(writers.report("Categories of the records kept", audited.orderBy("category")))
     elif args.command == "evaluate":
         out = evaluate.scored(table(spark, args.tables, "model_responses"), table(spark, args.tables, "eval_prompts"))
     else:

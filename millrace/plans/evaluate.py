@@ -15,7 +15,7 @@ def scored(responses: DataFrame, prompts: DataFrame, key: str = "id") -> DataFra
     known = responses.where("response IS NOT NULL").join(asked, key)
     known = known.withColumn("facts", checker.facts(F.col("response")))
     kept = [c for c in responses.columns if c not in ("results", "num_constraints", "num_checked", "num_passed", "per_constraint_csr", "hard_csr")]
-    judged = known.select(*kept, checker.results(F.col("facts"), F.col("constraints")).alias("results"))
+    judged = known.select(*kept, checker.results(F.col("facts"), F.col("constraints"), checker.fields_of(prompts, "constraints")).alias("results"))
     return judged.select(*kept, checker.report(F.col("results")).alias("x")).select(*kept, "x.*")
 
 

@@ -1,4 +1,4 @@
-"""The preprocessing plan: clean, gate, remove exact and near-duplicates, count by source.
+"""The preprocessing plan: clean, gate, remove exact and near-duplicates, audit and count by source.
 
 ``decided`` and what rests on it (``decided_by_source``, ``run``) are the whole plan. ``kept`` and ``by_source`` stop after exact
 removal: near-duplicates count as kept there.
@@ -6,11 +6,15 @@ removal: near-duplicates count as kept there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import dedup, gates
+from millrace.operators.audit import category_counts, imbalance
+from millrace.session import cut
 
 
 def gated(df: DataFrame) -> DataFrame:
@@ -51,6 +55,16 @@ def decided_by_source(decided_rows: DataFrame) -> DataFrame:
     return decided_rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_if(passed).alias("n_passed"), F.count_if(kept_rows).alias("n_kept"))
 
 
-def run(df: DataFrame, threshold: float = 0.85, order: str = "line_no") -> DataFrame:
-    """All stages: gates, exact and near-duplicate removal; (order, skip_reason) with 'exact' and 'near' added."""
-    return decided(gated(df), threshold, order).select(order, "skip_reason")
+def audit(gated_rows: DataFrame, kept_rows: DataFrame, order: str = "line_no") -> DataFrame:
+    """Category counts, shares and imbalance flags of the rows kept."""
+    rows = gated_rows.select(order, "added_constraint").join(kept_rows.select(order), order, "left_semi")
+    return imbalance(category_counts(rows, F.col("added_constraint")))
+
+
+def run(df: DataFrame, threshold: float = 0.85, order: str = "line_no", detector: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """All stages: gates, exact and near-duplicate removal, audit of what is kept: (decided rows: order, skip_reason with
+    'exact' and 'near' added; audit). ``detector`` adds the column ``detected`` (a language code or null) to the records;
+    without one nothing is detected, and the language gate lets all pass."""
+    known = detector(df) if detector else df.withColumn("detected", F.lit(None).cast("string"))
+    rows = cut(decided(gated(known), threshold, order).select(order, "skip_reason", "added_constraint"))
+    return rows.select(order, "skip_reason"), audit(rows, rows.where("skip_reason IS NULL"), order)

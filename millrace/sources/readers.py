@@ -1,7 +1,7 @@
 """Readers: JSON lines with line numbers, JSON arrays and wrapped objects, zip archives, checkpoints and CSV globs.
 
 Records are read as declared columns or as a ``raw`` Variant that keeps unknown keys. Whole-file formats (arrays, wrapped
-objects, zip members) cannot be split; all others are.
+objects, zip members) cannot be split and hold one file a row, of up to 2 GB; all others are split.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.session import broadcast_if_small, cut
 
 WRAPPERS = ("data", "instances", "examples", "records")
 
@@ -33,14 +34,15 @@ def guard(spark: SparkSession, path: str) -> None:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): lines numbered from 1 in each file, though files are read in blocks by many tasks.
 
-    The rows of a block are counted; a line's number is the count before its block plus its place in the block. The table
-    of blocks has one row per block.
+    The rows of a block are counted in a pass of their own that reads no more than line ends; a line's number is the count
+    before its block plus its place in the block. The table of blocks, one short row each, is written and broadcast, so that
+    no text is shuffled (where it is too large to be, the text is joined by file and block).
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    return raw.join(offsets, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
+    return raw.join(broadcast_if_small(cut(offsets)), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -56,9 +58,9 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lenient_lines(spark: SparkSession, path: str) -> DataFrame:
-    """As json_lines, with broken UTF-8 replaced before parsing."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")).alias("pos", "value"))
-    return parsed(files.select("file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "value")).where("status = 'ok'").select("file", "line_no", "raw")
+    """As json_lines, with broken UTF-8 replaced before parsing. Files are split as those of lines() are."""
+    rows = lines(spark, path).withColumn("value", F.make_valid_utf8("value"))
+    return parsed(rows).where("status = 'ok'").select("file", "line_no", "raw")
 
 
 def _exploded(whole: DataFrame) -> DataFrame:

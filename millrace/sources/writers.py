@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +28,15 @@ def once(df: DataFrame, path: str, force: bool = False) -> dict[str, str]:
     return {"status": "written"}
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Add rows to a checkpoint; readers.checkpointed() gives them back."""
-    json_lines(df, path, "append")
+def append(df: DataFrame, path: str, key: str | None = None, batches: int = 1) -> None:
+    """Add rows to a checkpoint; readers.checkpointed() gives them back.
+
+    With a ``key`` the rows are added in so many batches by its hash, each on disk before the next is computed, so that a
+    run that fails loses one batch; the next run leaves out what is done (inference.not_done).
+    """
+    for i in range(batches if key else 1):
+        part = df.where(F.pmod(F.xxhash64(key), F.lit(batches)) == i) if key else df
+        json_lines(part, path, "append")
 
 
 def csv_with_summary(rows: DataFrame, summary: DataFrame, path: str, key: str = "id") -> None:
@@ -48,6 +56,21 @@ def metadata(spark: SparkSession, path: str, **values) -> None:
     spark.createDataFrame([(json.dumps(values, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def zipped(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A small result as JSON lines in a zip archive of one member."""
+    rows = df.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; use json_lines()")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("records.jsonl", "\n".join(rows))
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+
+
 def by_fold(df: DataFrame, path: str, fold: str = "fold") -> None:
     """Results in one folder per fold."""
     df.write.mode("overwrite").partitionBy(fold).json(path)

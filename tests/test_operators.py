@@ -1,8 +1,10 @@
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import constants as K
 from millrace.functions import text as X
 from millrace.operators import audit, augment, checker, dedup, gates, inference, metrics, sampling, tagging, validators
 from millrace.operators.ranking import hash_rank, ntile
@@ -88,7 +90,7 @@ def test_gates_funnel_and_first_seen(spark):
     assert gates.funnel(g).first().asDict() == {"total": 6, "kept": 2, "language": 1, "too_short": 1, "unprintable": 0, "empty_response": 1, "bad_constraint": 1}
     assert [r.line_no for r in preprocess.kept(g).collect()] == [1]
     assert {r.source: (r.n_rows, r.n_passed, r.n_kept) for r in preprocess.by_source(g).collect()} == {"s": (3, 1, 1), "t": (2, 1, 0), None: (1, 0, 0)}
-    assert {r.line_no: r.skip_reason for r in preprocess.run(_records(spark)).collect()}[6] == "exact"
+    assert {r.line_no: r.skip_reason for r in preprocess.run(_records(spark))[0].collect()}[6] == "exact"
 
 
 def _greedy(sets, threshold):
@@ -249,11 +251,103 @@ def test_names_of_characters(spark):
     assert {r.ch: (r.name, r.category) for r in audit.named_chars(df).collect()} == {"é": ("LATIN SMALL LETTER E WITH ACUTE", "Ll"), "\x80": ("UNNAMED", "Cc")}
 
 
+RULES = '{"word_length": {"func_input": ["r", null, 10]}, "keyword": {"func_input": ["r", {"b": 2, "a": 1}]}, "start_with": {"func_input": ["r", "So"]}, "end_with": {"func_input": ["r", ""]}}'
+
+
+def _examples(spark):
+    rows = [
+        (1, "So a b b", RULES, '{"Style": ["calm", "brief"], "topic": "boats"}'), (2, "x", "{}", '{"Style": [], "style": ["unused"]}'), (3, "y", "{broken", None),
+        (4, "So it is", '{"start_with": {"func_input": ["r", "so "]}}', '{"Topic": [1, "tea"]}'),
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "k int, r string, rules string, llm string, judged string").drop("judged")
+    items = lambda n: validators.described_items(F.col("llm"), n)
+    return df.select("k", "r", validators.parsed_rules(F.col("rules")).alias("p"), items("Style").alias("styles"), items("Topic").alias("topics"))
+
+
+def test_judge_questions(spark):
+    df = _examples(spark)
+    cols = F.col("p"), F.col("styles"), F.col("topics")
+    got = {r.k: (r.keys, r.q) for r in df.select("k", inference.applicable_keys(*cols).alias("keys"), inference.judge_prompt(F.col("r"), *cols).alias("q")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: ["length", "keyword", "start_with", "style", "topic"], 2: [], 3: [], 4: ["start_with", "topic"]}
+    assert got[2][1] is None and got[3][1] is None
+    assert '- length: from 8 to 12 words\n- keyword: contains "a" 1 times or more and "b" 2 times or more\n- start_with: begins with "So"\n- style: its style is all of "calm", "brief"\n- topic: its topic is all of "boats"' in got[1][1]
+    assert got[4][1].endswith('{"start_with": 0 or 1, "topic": 0 or 1}')
+
+
 def test_batch_judge(spark):
-    df = spark.createDataFrame([(1, "s", None), (2, None, None), (3, "s", "t"), (4, None, "t")], "k int, s string, t string")
-    load = lambda: lambda qs: ['{"style": 1, "topic": 0}'] * len(qs)
-    out = inference.batch_judge(df, "k", F.lit("p"), F.lit("r"), F.col("s"), F.col("t"), load)
-    assert {r.k: (r.style, r.topic) for r in out.collect()} == {1: (1, None), 2: (None, None), 3: (1, 0), 4: (None, 0)}
+    def answers(verdict):
+        return lambda: lambda qs: [verdict] * len(qs)
+
+    df = _examples(spark)
+    args = F.col("r"), F.col("p"), F.col("styles"), F.col("topics")
+    out = {r.k: r.judged for r in inference.batch_judge(df, *args, answers('Sure: {"start_with": 1, "topic": "0", "length": 7}')).collect()}
+    assert out[4].asDict() == {"length": None, "keyword": None, "start_with": 1, "end_with": None, "style": None, "topic": 0}
+    assert out[1] is None and out[2] is None and out[3] is None  # a key that was asked is missing; nothing was asked
+    # a second loader of the same function is another model
+    again = {r.k: r.judged for r in inference.batch_judge(df, *args, answers('{"start_with": 0, "topic": true}')).collect()}
+    assert (again[4].start_with, again[4].topic) == (0, 1)
+
+
+def test_scores_of_examples(spark):
+    df = _examples(spark).withColumn("v", validators.rule_verdicts(F.col("r"), F.col("p")))
+    six = lambda **given: F.struct(*(F.lit(given.get(k)).cast("int").alias(k) for k in validators.KEYS))
+    judged = F.when(F.col("k") == 4, six(start_with=1, topic=0))
+    out = {r.k: r.x for r in df.select("k", validators.scored(judged, F.col("v"), True).alias("x")).collect()}
+    assert (out[4].scorer, out[4].passed, out[4].total, out[4].score, out[4].loss, out[4].topic) == ("judge", 1, 2, 0.5, 0.5, 0)
+    assert (out[1].scorer, out[1].length, out[1].keyword, out[1].start_with, out[1].style) == ("rule(fallback)", 0, 1, 1, None)
+    assert (out[3].scorer, out[3].total, out[3].score, out[3].loss) == ("rule(fallback)", 0, 0.0, 1.0)
+    assert df.select(validators.scored(judged, F.col("v"), False).alias("x")).select("x.scorer").distinct().first()[0] == "rule"
+
+
+def test_records_without_results_stay(spark):
+    rows = [(1, "even", [("a", None)]), (2, "even", []), (3, "even", None)]
+    s = spark.createDataFrame(rows, "k int, response string, results array<struct<type:string,passed:boolean>>")
+    for out in (inference.judge_open_results(s, "k", lambda r, t: F.lit("PASS")), inference.judge_open_rows(s, "k", lambda r, t: r, lambda: lambda qs: ["PASS"] * len(qs))):
+        assert {r.k: (r.num_constraints, r.num_passed, r.hard_csr) for r in out.collect()} == {1: (1, 1, True), 2: (0, 0, False), 3: (0, 0, False)}
+
+
+def test_mined_constraints_capture_groups(spark):
+    text = "Use at least 10 words. Please must start with \"It's\", respond in all caps and avoid using the word: a'b. Do not include commas. Add a P.S."
+    df = spark.createDataFrame([(text,)], "t string")
+    got = [(m.type, m.raw_match) for m in df.select(X.mined_constraints(F.col("t")).alias("m")).first().m]
+    want = [str(m) for p in K.MINED for m in re.findall("(?i)" + p, text)]
+    assert want and got == [("parsed_from_prompt", m) for m in want]
+
+
+def test_targets_by_other_names(spark):
+    c = {"type": "length_constraint:word_count", "relation": "exactly"}
+    kind = "type string, relation string, count int, num int, value string, forbidden array<string>"
+    rows = [("one two", {**c, "count": 2, "value": "9"}, True), ("one two", {**c, "num": 2}, True), ("one two", {**c, "value": "x", "num": 2}, None), ("a Kayak", {"type": "keywords:forbidden", "forbidden": ["kayak"]}, False)]
+    df = spark.createDataFrame([(i, r, x) for i, (r, x, _) in enumerate(rows)], f"i int, r string, c struct<{', '.join(x.replace(' ', ':') for x in kind.split(', '))}>")
+    names = [x.split()[0] for x in kind.split(", ")]
+    got = [r.x for r in df.select("i", checker.facts(F.col("r")).alias("f"), "c").select("i", checker.check(F.col("f"), F.col("c"), names).alias("x")).orderBy("i").collect()]
+    assert got == [x for _, _, x in rows]
+
+
+def test_copies_do_not_meet_in_bands(spark):
+    base = "please write a short and friendly note about the old harbour wall near our little town"
+    df = spark.range(400).select("id", F.when(F.col("id") < 300, F.lit(base)).when(F.col("id") == 300, F.lit(base + " now")).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("t"))
+    got = dedup.near_pairs(df, "id", F.col("t"))
+    assert got.count() == 300 * 299 // 2 + 300
+    firsts = df.where("id = 0 OR id >= 300").withColumnRenamed("t", "t")
+    assert dedup.first_pairs(firsts).count() == 1
+
+
+def test_long_chains_settle(spark):
+    n = 14
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+    ids = spark.createDataFrame([(i,) for i in range(n + 1)], "id long")
+    assert {r.id: r.kept for r in dedup.greedy(ids, pairs).collect()} == {i: i % 2 == 0 for i in range(n + 1)}
+
+
+def test_cluster_summary(spark):
+    rows = [(1, {"Tone": ["a", "b"], "Length": ["c"]}), (2, {"Tone": ["a"]}), (3, None), (4, {"Tone": ["x"], "Style": ["y"]})]
+    df = spark.createDataFrame(rows, "k int, m map<string,array<string>>")
+    assigned = tagging.assign(df, "k", F.col("m"))
+    got = {(r.section, r.value): (r.n, r.pct) for r in tagging.summary(assigned, "k").collect()}
+    assert got["by_primary_cluster", "Tone"] == (2, 50.0) and got["by_primary_cluster", "mixed"] == (1, 25.0)
+    assert got["category_presence", "Tone"] == (3, 75.0) and got["category_presence", "unconstrained"] == (1, 25.0)
+    assert got["num_constraint_types", "2"] == (2, 50.0) and got["top_cluster_labels", "Style+Tone"] == (1, 25.0)
 
 
 def test_hot_fingerprint_and_group(spark):
