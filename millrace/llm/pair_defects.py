@@ -43,6 +43,7 @@ DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 EMPTY = 0
 MAX_TRAIN = 2_500
 MAX_MINED = 10_000
+MAX_SAID = 1_000  # language samples among the training pairs
 ROUNDS = 2
 BITS = 14
 N_DENSE = 14
@@ -318,9 +319,12 @@ def training_pairs(pairs: list[tuple[str, str]], lang: Model, samples: list[tupl
             for _ in range(min(500, len(kept)) if say == "en" else min(250, 30 + len(kept) // 2)):
                 out.append((kept[int(rng.integers(len(kept)))][0], refusal(say)))
         # and texts of every language that refuse nothing: answers where the prompt has their language, else foreign
-        for text, say in zip(sentences_of([t for t, _ in samples]), (c for _, c in samples)):
-            own = [i for i, x in enumerate(lp) if lang.codes[x] == say]
-            for i in (int(rng.integers(len(kept))), *([pick(own)] if own else [])):
+        said_in: dict[str, list[int]] = {}
+        for i, x in enumerate(lp):
+            said_in.setdefault(lang.codes[x], []).append(i)
+        order = rng.permutation(len(samples))[:MAX_SAID]
+        for text, say in zip(sentences_of([samples[i][0] for i in order]), (samples[i][1] for i in order)):
+            for i in (int(rng.integers(len(kept))), *([pick(said_in[say])] if say in said_in else [])):
                 allowed = say in lang.codes and lang.codes.index(say) in (lp[i], *asked_languages(kept[i][0], lang.codes))
                 out.append((kept[i][0], [(s, ANSWER if allowed else FOREIGN) for s in text[: int(rng.integers(1, 4))]]))
     return out
