@@ -21,7 +21,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +68,15 @@ class Transducer:
         self.number: dict[tuple, int] = {self.members[0]: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
 
+    def _restart(self, state: int) -> tuple[int, dict]:
+        """Forget all states but this one; its new number and the new table of steps."""
+        held = self.members[state]
+        self._reset()
+        if held not in self.number:
+            self.number[held] = len(self.members)
+            self.members.append(held)
+        return self.number[held], self.steps
+
     def merged(self, piece: bytes) -> list[int]:
         """The merges by definition, lowest rank first; for single tokens and pairs only."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -153,13 +163,15 @@ class Transducer:
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one part of the text."""
-        if len(self.members) > MAX_STATES:
-            self._reset()
         out: list[int] = []
         state, steps = 0, self.steps
         for byte in piece:
             known = steps.get(state << 8 | byte)
-            state, sure = known if known is not None else self.step(state, byte)
+            if known is None:
+                if len(self.members) > MAX_STATES:  # also inside a part, however long
+                    state, steps = self._restart(state)
+                known = self.step(state, byte)
+            state, sure = known
             if sure:
                 out.extend(sure)
         for node, _, pending in self.members[state]:
@@ -204,12 +216,22 @@ class Encoder:
         return sum([len(known.get(p) or part_ids(p)) for p in self.parts(text)])
 
 
+def shared(path: str) -> str:
+    """Send a vocabulary file of the driver to all workers, once a session and path; returns the path."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and os.path.exists(path) and not spark.sparkContext.master.startswith("local["):
+        if os.path.basename(path) not in {os.path.basename(str(x)) for x in spark.sparkContext.listFiles}:
+            spark.sparkContext.addFile(path)
+    return path
+
+
 @functools.cache
 def encoder(path: str = DEFAULT_PATH) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    if not os.path.exists(path):
+    """One encoder per Python worker and vocabulary: the file at the path, else the one the driver has sent."""
+    where = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+    if not os.path.exists(where):
         raise FileNotFoundError(f"vocabulary file {path} is missing; pass its path")
-    return Encoder(path)
+    return Encoder(where)
 
 
 class Utf8Stream:
@@ -266,6 +288,7 @@ def decode_stream(ids: Iterable[int], path: str = DEFAULT_PATH) -> Iterator[str]
 
 def token_ids(col: Column, path: str = DEFAULT_PATH) -> Column:
     """Column of texts -> array<int> of ids without special tokens; empty for null and empty texts."""
+    shared(path)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
@@ -281,6 +304,7 @@ def token_ids(col: Column, path: str = DEFAULT_PATH) -> Column:
 
 def token_count(col: Column, path: str = DEFAULT_PATH) -> Column:
     """Column of texts -> number of tokens; 0 for null and empty texts."""
+    shared(path)
 
     @F.arrow_udf(T.IntegerType())
     def n(texts: pa.Array) -> pa.Array:
@@ -292,6 +316,7 @@ def token_count(col: Column, path: str = DEFAULT_PATH) -> Column:
 
 def decoded(col: Column, path: str = DEFAULT_PATH) -> Column:
     """Column of ids -> text; null for null."""
+    shared(path)
 
     @F.arrow_udf(T.StringType())
     def text(ids: pa.Array) -> pa.Array:

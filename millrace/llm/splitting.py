@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import codepoints as cp
-from millrace.llm.bpe import DEFAULT_PATH, encoder
+from millrace.llm.bpe import DEFAULT_PATH, encoder, shared
 
 KINDS = ("heading", "paragraph", "line", "sentence", "word")
 _MARK = re.compile(r"#{1,6}[ \t]|[=\-*_]{3,}[^\S\n]*(?:\n|$)")  # a line that is a heading or a rule
@@ -186,6 +186,7 @@ def _numbered(some: list[int], texts: list[str], path: str, least: int):
 def split_texts(df: DataFrame, id_col: str, text_col: str, profiles: list[tuple[str, int, int]], path: str = DEFAULT_PATH) -> DataFrame:
     """Pieces of every text over the limit of a profile (name, max_tokens, overlap_tokens)."""
 
+    shared(path)
     for _, most, overlap in profiles:
         checked(most, overlap)
 

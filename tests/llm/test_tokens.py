@@ -36,8 +36,19 @@ def test_long_parts_and_special_strings(reference):
 def test_states_may_be_dropped(reference, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
     machine = bpe.Transducer(bpe.encoder().machine.ranks)
-    for word in ("internationalisation", "Zorbelkaquo", "ünïcödé"):
+    for word in ("internationalisation", "Zorbelkaquo", "ünïcödé", "".join(random.Random(5).choice("abcdefgh") for _ in range(3000))):
         assert list(machine.encode(word.encode())) == reference.encode_ordinary(word)
+    assert len(machine.members) <= 52
+
+
+def test_neighbours_by_their_halves():
+    machine, rng = bpe.encoder().machine, random.Random(1)
+    tokens = [t for t, piece in machine.bytes_of.items() if len(piece) < 9]
+    for _ in range(3000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if machine.fits(-1, a):
+            whole = machine.merged(machine.bytes_of[b]) == [b] and machine.merged(machine.bytes_of[a] + machine.bytes_of[b]) == [a, b]
+            assert machine.fits(a, b) == whole, (a, b)
 
 
 @settings(max_examples=200, deadline=None)
