@@ -19,7 +19,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import codepoints as cp
@@ -323,3 +323,15 @@ def wrong_or_mixed(detected: DataFrame, id_col: str) -> DataFrame:
     n = F.size("segments")
     case = (n > 1) | (n == 1) & ~F.col("declared").eqNullSafe(F.element_at("segments", 1).getField("lang"))
     return detected.where((n > 0) & case).select(F.col("id").alias(id_col), "field", F.inline("segments"))
+
+
+def prompt_detector(spark: SparkSession, tables: str):
+    """A detector for the preprocessing plan: adds ``detected``, the language of the first segment of winner_prompt, or null."""
+    samples = spark.read.parquet(f"{tables}/language_samples.parquet")
+
+    def detector(df: DataFrame) -> DataFrame:
+        found = detect_languages(df, "line_no", [("winner_prompt", "prompt_lang")], "source", samples)
+        first = found.select(F.col("id").alias("line_no"), F.try_element_at("segments", F.lit(1))["lang"].alias("detected"))
+        return df.join(first, "line_no", "left")
+
+    return detector

@@ -168,11 +168,11 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text: Column, threshold: fl
     return across.unionByName(within)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, root): least id connected to each id of the links (a, b). Alternates large-star and small-star steps, each
     round written to the checkpoint folder, until no edge changes; nothing is gathered on the driver."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -183,8 +183,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = after
         if same:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 

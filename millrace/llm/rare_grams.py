@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import codepoints as cp
 from millrace.llm.visual_form import plain
+from millrace.session import cut
 
 GRAM = 5
 BUCKETS = 1 << 20
@@ -96,7 +97,7 @@ def _signer(threshold: float, rare):
 def similar_candidates(texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a < b) of texts (id, text) that may reach the Jaccard threshold; none that does is missing."""
     table = texts.sparkSession.sparkContext.broadcast(rarity(texts.select("text")))
-    signed = texts.select("id", "text").mapInArrow(_signer(threshold, table), "id bigint, size int, grams array<bigint>")
+    signed = cut(texts.select("id", "text").mapInArrow(_signer(threshold, table), "id bigint, size int, grams array<bigint>"))
     side = lambda x: signed.select(F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.posexplode("grams").alias(f"p{x}", "g"))
     return meeting(side("a").join(side("b"), "g").where("a < b"), threshold)
 

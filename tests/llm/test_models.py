@@ -268,3 +268,13 @@ def test_truncation_without_any_text(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "n long, t string, s string")
     assert truncation.truncated(df, "n", "t", "s").count() == 0
     assert {(r.source, r.n_rows, r.n_truncated) for r in truncation.truncation_report(df, "n", "t", "s").collect()} == {("a", 1, 0), (None, 1, 0)}
+
+
+def test_detector_of_the_preprocessing_plan(spark, sf):
+    from millrace.plans import preprocess
+
+    df = spark.read.parquet(f"{sf}/instruction_records.parquet")
+    with_it, audit = preprocess.run(df, detector=language.prompt_detector(spark, sf))
+    without, _ = preprocess.run(df)
+    n = lambda rows: rows.where("skip_reason = 'language'").count()
+    assert n(with_it) > 0 and n(without) == 0 and with_it.count() == without.count() and audit.count() > 0
