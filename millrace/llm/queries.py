@@ -18,48 +18,48 @@ def joined_text():
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "instruction_records").select(F.lit("instruction_records").alias("tab"), F.col("line_no").alias("row_key"), F.col("winner_prompt").alias("prompt"), F.col("response_of_winner_prompt").alias("response"))
+    own = table(spark, sf_dir, "instruction_records", True).select(F.lit("instruction_records").alias("tab"), F.col("line_no").alias("row_key"), F.col("winner_prompt").alias("prompt"), F.col("response_of_winner_prompt").alias("response"))
     prompts = broadcast_if_small(table(spark, sf_dir, "eval_prompts").select("id", F.col("winner_prompt").alias("prompt")))
-    asked = table(spark, sf_dir, "model_responses").join(prompts, "id", "left").select(F.lit("model_responses").alias("tab"), F.col("resp_id").alias("row_key"), "prompt", "response")
+    asked = table(spark, sf_dir, "model_responses", True).join(prompts, "id", "left").select(F.lit("model_responses").alias("tab"), F.col("resp_id").alias("row_key"), "prompt", "response")
     return pair_defects.pair_defects(own.unionByName(asked), table(spark, sf_dir, "language_samples"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(table(spark, sf_dir, "model_responses"), "resp_id", "response", "source")
+    return truncation.truncated(table(spark, sf_dir, "model_responses", True), "resp_id", "response", "source")
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncation_report(table(spark, sf_dir, "model_responses"), "resp_id", "response", "source")
+    return truncation.truncation_report(table(spark, sf_dir, "model_responses", True), "resp_id", "response", "source")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_overlap.overlap_pairs(table(spark, sf_dir, "cv_records"), "row_no", "fold", "winner_prompt").select("row_no_a", "row_no_b")
+    return split_overlap.overlap_pairs(table(spark, sf_dir, "cv_records", True), "row_no", "fold", "winner_prompt").select("row_no_a", "row_no_b")
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_overlap.overlap_report(table(spark, sf_dir, "cv_records"), "row_no", "fold", "winner_prompt", "source")
+    return split_overlap.overlap_report(table(spark, sf_dir, "cv_records", True), "row_no", "fold", "winner_prompt", "source")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicate_pairs(table(spark, sf_dir, "instruction_records"), "line_no", joined_text()).select("line_no_a", "line_no_b")
+    return near_dup.near_duplicate_pairs(table(spark, sf_dir, "instruction_records", True), "line_no", joined_text()).select("line_no_a", "line_no_b")
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicate_groups(table(spark, sf_dir, "instruction_records"), "line_no", joined_text())
+    return near_dup.near_duplicate_groups(table(spark, sf_dir, "instruction_records", True), "line_no", joined_text())
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visual_form.look_alike_pairs(table(spark, sf_dir, "instruction_records"), "line_no", FIELDS)
+    return visual_form.look_alike_pairs(table(spark, sf_dir, "instruction_records", True), "line_no", FIELDS)
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "instruction_records")
+    df = table(spark, sf_dir, "instruction_records", True)
     return df.select("line_no", *(visual_form.visual_form(F.col(f)).alias(f) for f in FIELDS))
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [("winner_prompt", "prompt_lang"), ("response_of_winner_prompt", "response_lang")]
-    return language.detect_languages(table(spark, sf_dir, "instruction_records"), "line_no", fields, "source", table(spark, sf_dir, "language_samples"))
+    return language.detect_languages(table(spark, sf_dir, "instruction_records", True), "line_no", fields, "source", table(spark, sf_dir, "language_samples"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,20 +71,20 @@ def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
+    return table(spark, sf_dir, "documents", True).select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+    return mixing.mixture(table(spark, sf_dir, "documents", True), table(spark, sf_dir, "source_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+    return mixing.mixture(table(spark, sf_dir, "documents", True), table(spark, sf_dir, "source_targets"))[1]
 
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = splitting.profiles_of(table(spark, sf_dir, "split_limits"))
-    return splitting.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", limits)
+    return splitting.split_texts(table(spark, sf_dir, "documents", True), "doc_id", "text", limits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
