@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
-from millrace.session import broadcast_if_small, cut
+from millrace.session import broadcast_if_small, cut, spread
 
 K = 5
 
@@ -42,9 +42,9 @@ def bands_for(threshold: float, recall: float, rows: int) -> int:
 
 
 @functools.cache
-def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7)
-    return rng.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, np.uint32)
+def _hashers(n: int) -> np.ndarray:
+    """Odd factors: each orders the mixed 32-bit shingle hashes anew."""
+    return np.random.default_rng(7).integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def minhash(text: Column, bands: int, rows: int) -> Column:
@@ -52,7 +52,8 @@ def minhash(text: Column, bands: int, rows: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def bands_of(texts: pa.Array) -> pa.Array:
-        a, b = _hashers(bands * rows)
+        by = _hashers(bands * rows)[:, None]
+        space = np.empty((bands * rows, 1024), np.uint32)
         out = np.zeros((len(texts), bands), np.uint64)
         weight = np.array([1, 131, 17_161, 2_248_091, 294_499_921], np.uint64)
         for i, t in enumerate(texts.to_pylist()):
@@ -64,7 +65,8 @@ def minhash(text: Column, bands: int, rows: int) -> Column:
             low = np.unique((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
             least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
             for s in range(0, len(low), 1024):
-                least = np.minimum(least, (a[:, None] * low[None, s : s + 1024] + b[:, None]).min(1))
+                part = low[None, s : s + 1024]
+                least = np.minimum(least, np.multiply(by, part, out=space[:, : part.shape[1]]).min(1))
             acc = np.zeros(bands, np.uint64)
             for col in least.reshape(bands, rows).T.astype(np.uint64):
                 acc = (acc ^ col) * np.uint64(0x100000001B3) + (acc >> np.uint64(31))
@@ -144,12 +146,13 @@ def greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids.join(state, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
-def near_dedup(df: DataFrame, order: str, text: Column, threshold: float = 0.85) -> DataFrame:
-    """(order, reason) for each row: null (kept), 'exact' or 'near'. Exact copies never reach the bands."""
-    # written once: the text may be costly to make, and is read for the fingerprints, the bands and the verification
-    base = cut(df.select(F.col(order).alias("id"), F.coalesce(text, F.lit("")).alias("t")))
+def near_dedup(df: DataFrame, order: str, text: Column, threshold: float = 0.85, written: bool = False) -> DataFrame:
+    """(order, reason) for each row: null (kept), 'exact' or 'near'. Exact copies never reach the bands. The text may be
+    costly to make, and is read for the fingerprints, the bands and the verification: it is written once, unless it is already."""
+    base = df.select(F.col(order).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
+    base = base if written else cut(base)
     marked = first_seen(base, "id", X.fingerprint(F.col("t")))
-    firsts = cut(marked.where("kept").select("id", "t"))
+    firsts = spread(cut(marked.where("kept").select("id", "t")))
     decided = greedy(firsts.select("id"), first_pairs(firsts, threshold))
     out = base.select("id").join(decided, "id", "left")  # only firsts are decided
     return out.select(F.col("id").alias(order), F.when(F.col("kept").isNull(), "exact").when(~F.col("kept"), "near").alias("reason"))

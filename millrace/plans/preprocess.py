@@ -1,6 +1,6 @@
 """The preprocessing plan: clean, gate, remove exact and near-duplicates, audit and count by source.
 
-``decided`` and what rests on it (``decided_by_source``, ``run``) are the whole plan. ``kept`` and ``by_source`` stop after exact
+``decisions`` and what rests on it (``decided``, ``decided_by_source``, ``run``) are the whole plan. ``kept`` and ``by_source`` stop after exact
 removal: near-duplicates count as kept there.
 """
 
@@ -42,10 +42,21 @@ def by_source(gated_rows: DataFrame, order: str = "line_no") -> DataFrame:
     return whole.join(firsts, match, "left").select(whole["source"], "n_rows", "n_passed", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
+def decisions(gated_rows: DataFrame, threshold: float = 0.85, order: str = "line_no") -> DataFrame:
+    """(order, source, skip_reason) of all rows, with 'exact' and 'near' added to the reasons; what has no reason is kept.
+
+    Records are cleaned once: what duplicates are told by is written with the reasons, and nothing else.
+    """
+    text = F.when(F.col("skip_reason").isNull(), X.remove_stopwords(F.col("prompt")))
+    slim = cut(gated_rows.select(order, "source", "skip_reason", text.alias("_text")))
+    reasons = dedup.near_dedup(slim.where("skip_reason IS NULL"), order, F.col("_text"), threshold, written=True)
+    return slim.join(reasons, order, "left").select(order, "source", F.coalesce("skip_reason", "reason").alias("skip_reason"))
+
+
 def decided(gated_rows: DataFrame, threshold: float = 0.85, order: str = "line_no") -> DataFrame:
-    """The gated rows with 'exact' and 'near' added to the reasons; what has no reason is kept."""
-    reasons = dedup.near_dedup(gated_rows.where("skip_reason IS NULL"), order, X.remove_stopwords(F.col("prompt")), threshold)
-    return gated_rows.join(reasons, order, "left").withColumn("skip_reason", F.coalesce("skip_reason", "reason")).drop("reason")
+    """The gated rows with the reasons of decisions()."""
+    known = decisions(gated_rows, threshold, order).select(order, "skip_reason")
+    return gated_rows.drop("skip_reason").join(known, order)
 
 
 def decided_by_source(decided_rows: DataFrame) -> DataFrame:
@@ -55,9 +66,9 @@ def decided_by_source(decided_rows: DataFrame) -> DataFrame:
     return decided_rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_if(passed).alias("n_passed"), F.count_if(kept_rows).alias("n_kept"))
 
 
-def audit(gated_rows: DataFrame, kept_rows: DataFrame, order: str = "line_no") -> DataFrame:
+def audit(records: DataFrame, kept_rows: DataFrame, order: str = "line_no") -> DataFrame:
     """Category counts, shares and imbalance flags of the rows kept."""
-    rows = gated_rows.select(order, "added_constraint").join(kept_rows.select(order), order, "left_semi")
+    rows = records.select(order, "added_constraint").join(kept_rows.select(order), order, "left_semi")
     return imbalance(category_counts(rows, F.col("added_constraint")))
 
 
@@ -66,5 +77,5 @@ def run(df: DataFrame, threshold: float = 0.85, order: str = "line_no", detector
     'exact' and 'near' added; audit). ``detector`` adds the column ``detected`` (a language code or null) to the records;
     without one nothing is detected, and the language gate lets all pass."""
     known = detector(df) if detector else df.withColumn("detected", F.lit(None).cast("string"))
-    rows = cut(decided(gated(known), threshold, order).select(order, "skip_reason", "added_constraint"))
-    return rows.select(order, "skip_reason"), audit(rows, rows.where("skip_reason IS NULL"), order)
+    rows = cut(decisions(gated(known), threshold, order).select(order, "skip_reason"))
+    return rows, audit(df, rows.where("skip_reason IS NULL"), order)

@@ -21,6 +21,11 @@ QUERIES: dict[str, Query] = {}
 CATEGORIES = ["length_ok", "sentence_ok", "keyword_ok", "start_ok", "end_ok", "format_ok", "tone_ok", "style_ok", "role_ok"]
 
 
+#: Queries whose work by row is worth dealing small tables out to all cores.
+COSTLY = set("remove_html replace_emojis replace_unknown_chars normalize_symbols normalize_whitespace clean_text remove_stopwords printable_ratio entities mine_constraints shingles word_counts protected_tokens constraint_tokens quality_gates exact_dedup length_stats non_ascii_audit cv_validators random_deletion lexical_edit bt_verify augment_union aug_stats near_dup near_dup_pairs minhash_signature batch_judge judge_fallback".split())
+COSTLY_KINDS = ("preprocess_", "skip_", "cc_", "p2_")
+
+
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
@@ -28,7 +33,7 @@ def query(f: Query) -> Query:
 
 def _over(name: str, tab: str, build: Callable[[DataFrame], DataFrame]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(table(spark, sf_dir, tab))
+        return build(table(spark, sf_dir, tab, name in COSTLY or name.startswith(COSTLY_KINDS)))
 
     run.__name__ = name
     QUERIES[name] = run
@@ -128,9 +133,9 @@ _over("preprocess_kept", "instruction_records", lambda df: preprocess.kept(_gate
 _over("preprocess_audit", "instruction_records", lambda df: preprocess.audit(_gated(df), preprocess.kept(_gated(df))))
 _over("preprocess_by_source", "instruction_records", lambda df: preprocess.by_source(_gated(df)))
 # the two above are exact removal only, as their SQL says; these are the whole plan
-_over("preprocess_full", "instruction_records", lambda df: preprocess.decided(_gated(df)).select("line_no", "skip_reason"))
+_over("preprocess_full", "instruction_records", lambda df: preprocess.decisions(_gated(df)).select("line_no", "skip_reason"))
 _over("preprocess_full_kept", "instruction_records", lambda df: preprocess.decided(_gated(df)).where("skip_reason IS NULL").select("line_no", "prompt", "response"))
-_over("preprocess_full_by_source", "instruction_records", lambda df: preprocess.decided_by_source(preprocess.decided(_gated(df))))
+_over("preprocess_full_by_source", "instruction_records", lambda df: preprocess.decided_by_source(preprocess.decisions(_gated(df))))
 
 # Duplicates
 
@@ -187,7 +192,7 @@ def _aliased(**given: Column) -> Column:
 
 @query
 def cc_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "model_responses").where("response IS NOT NULL").select("resp_id", checker.facts(F.col("response")).alias("facts"))
+    rows = table(spark, sf_dir, "model_responses", True).where("response IS NOT NULL").select("resp_id", checker.facts(F.col("response")).alias("facts"))
     words, forbidden = checker.CHECKS["length_constraint:word_count"], checker.CHECKS["keywords:forbidden"]
     on = lambda check, **given: check(F.col("facts"), _aliased(**given))
     return rows.select(
@@ -202,7 +207,7 @@ for _kind in CHECK_ARGS:
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = broadcast_if_small(table(spark, sf_dir, "eval_prompts").select("id", "constraints"))
-    rows = table(spark, sf_dir, "model_responses").where("response IS NOT NULL").join(prompts, "id")
+    rows = table(spark, sf_dir, "model_responses", True).where("response IS NOT NULL").join(prompts, "id")
     known = rows.select("resp_id", "difficulty_level", "constraints", checker.facts(F.col("response")).alias("facts"))
     judged = known.select("resp_id", "difficulty_level", checker.results(F.col("facts"), F.col("constraints"), checker.fields_of(prompts, "constraints")).alias("results"))
     return judged.select("resp_id", "difficulty_level", checker.report(F.col("results")).alias("x")).select("resp_id", "difficulty_level", "x.*")

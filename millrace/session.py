@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """A table; spread() before work that is ``costly`` by row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if costly else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan (of files or of a checkpoint) that has fewer tasks than there are cores, dealt out to all of them: small inputs
+    before work that is costly by row. Larger ones stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
