@@ -1,13 +1,19 @@
 """Word lists, tables and classes that decide results."""
 
-#: The 29 code points that count as white space.
+#: The 29 code points that count as white space.
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Fixed value: letters, digits and the underscore make words.
 WORD = r"[\p{L}\p{N}_]"
 NOT_SYMBOL = WORD[1:-1] + WS[1:-1]
+#: Fixed value: a tag.
 HTML_TAG = r"<[^>]+>"
+#: Fixed value: an entity.
 HTML_ENTITY = r"&(?:[a-zA-Z]+|#\d+|#x[0-9a-fA-F]+);"
+#: Fixed value: the ranges that count as emoji.
 EMOJI = r"[\x{1F300}-\x{1FFFF}\x{2700}-\x{27BF}\x{FE00}-\x{FE0F}\x{2600}-\x{26FF}]+"
+#: Fixed value: control characters that become spaces.
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]"
+#: Fixed value: invisible characters that go.
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{feff}\x{ad}]"
 #: ASCII forms of typographic symbols, as "symbols: form"; the ellipsis becomes three dots.
 SYMBOL_FORMS = {

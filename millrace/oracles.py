@@ -181,9 +181,10 @@ def integrity(m: str, n: str) -> str:
         WHEN {n} IS NOT NULL AND {n} <> len(flatten({lists})) THEN 'count_mismatch' END"""
 
 
+GATES = f"""WHEN len({words('p')}) < 15 THEN 'too_short' WHEN {printable('p')} < 0.85 THEN 'unprintable'
+        WHEN {trim_ws('r')} = '' THEN 'empty_response' WHEN ({integrity('added_constraint', 'added_constraint_num')}) IS NOT NULL THEN 'bad_constraint'"""
 GATED = f"""WITH c AS (SELECT *, coalesce({clean('winner_prompt')}, '') AS p, coalesce({clean('response_of_winner_prompt')}, '') AS r FROM instruction_records),
-    g AS (SELECT *, CASE WHEN {detected('prompt_lang')} <> 'en' THEN 'language' WHEN len({words('p')}) < 15 THEN 'too_short' WHEN {printable('p')} < 0.85 THEN 'unprintable'
-        WHEN {trim_ws('r')} = '' THEN 'empty_response' WHEN ({integrity('added_constraint', 'added_constraint_num')}) IS NOT NULL THEN 'bad_constraint' END AS skip_reason FROM c)"""
+    g AS (SELECT *, CASE WHEN {detected('prompt_lang')} <> 'en' THEN 'language' {GATES} END AS skip_reason FROM c)"""
 KEPT = f"{GATED}, f AS (SELECT *, {finger(stopless('p'))} AS fp FROM g), k AS (SELECT *, skip_reason IS NULL AND line_no = min(CASE WHEN skip_reason IS NULL THEN line_no END) OVER (PARTITION BY fp) AS first FROM f)"
 
 
@@ -492,6 +493,7 @@ def oracle_sql() -> dict[str, str]:
         f AS (SELECT rec_no, t, cs, CASE WHEN len(list_filter(cs, lambda c: json_type(c) <> 'ARRAY')) = 0 THEN flatten(list_transform(cs, lambda c: json_extract(c, '$[*]'))) END AS items FROM e)
         SELECT rec_no, CASE WHEN t IS NULL OR t = 'NULL' OR len(cs) = 0 THEN 'missing' WHEN t <> 'OBJECT' THEN 'not_object' WHEN items IS NULL OR len(list_filter(cs, lambda c: json_array_length(c) = 0)) > 0 THEN 'bad_category'
             WHEN len(list_filter(items, lambda i: json_type(i) <> 'VARCHAR' OR {trim_ws("json_extract_string(i, '$')")} = '')) > 0 THEN 'blank_item' END AS reason FROM f"""
+    undetected = f"CASE {GATES} ELSE 'kept' END"
     opened = """WITH x AS (SELECT resp_id, list_transform(coalesce(results, []), lambda r: coalesce(r.passed, length(response) % 2 = 0)) AS ps FROM model_responses WHERE response IS NOT NULL)
         SELECT resp_id, len(ps)::BIGINT AS num_constraints, len(ps)::BIGINT AS num_checked, len(list_filter(ps, lambda p: p))::BIGINT AS num_passed, len(ps) > 0 AND len(list_filter(ps, lambda p: p)) = len(ps) AS hard_csr FROM x"""
     return {
@@ -549,6 +551,7 @@ def oracle_sql() -> dict[str, str]:
         "constraint_totals": "SELECT count(*) AS n_records, coalesce(sum(k), 0)::BIGINT AS n_items, coalesce(sum(k), 0)::DOUBLE / greatest(count(*), 1) AS mean_items FROM (SELECT coalesce(list_sum(list_transform(map_values(added_constraint), lambda l: coalesce(len(l), 0))), 0) AS k FROM instruction_records)",
         "preprocess_audit": f"{KEPT}, cc AS (SELECT category, count(*) AS n_records FROM (SELECT unnest(CASE WHEN cardinality(added_constraint) > 0 THEN map_keys(added_constraint) ELSE ['unknown'] END) AS category FROM k WHERE first) GROUP BY category), w AS (SELECT sum(n_records)::DOUBLE AS n, count(*) AS m FROM cc) SELECT category, n_records, n_records / n AS share, n_records / n < 0.5::DOUBLE / m AS flagged FROM cc, w",
         "cc_aliases": f"SELECT resp_id, {wc('response')} >= 50 AS by_count, {wc('response')} >= 50 AS by_value, {wc('response')} >= 50 AS by_num, NULL::BOOLEAN AS by_words, NOT (contains(lower(response), 'kayak') OR contains(lower(response), 'quilt')) AS forbidden FROM model_responses WHERE response IS NOT NULL",
+        "stream_skip_counts": f"{GATED}, d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, {undetected} AS skip_reason FROM c WHERE created_at IS NOT NULL) SELECT day, skip_reason, count(*) AS n FROM d GROUP BY ALL",
         **io_sql(),
         **_check_queries(), **_rules(), **_validators(), **_tags(), **_folds(), **_samples(), **_augmented(),
     }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators.inference import not_done
 from millrace.session import checkpoint_dir, table
 from millrace.sources import readers, writers
+from millrace.streaming import clean
 
 Query = Callable[[SparkSession, str], DataFrame]
 IO: dict[str, Query] = {}
@@ -191,6 +192,18 @@ def io_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.unionByName(items.select(F.lit("pretty").alias("form"), "x.fold", "x.n"))
 
 
+@_io
+def stream_skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming form of the gates over files as they arrive: skip reasons per day of creation (no language detected)."""
+    at, name = _place(spark), f"skip_counts_{uuid.uuid4().hex}"
+    columns = [x.split()[0] for x in clean.SCHEMA.split(", ")]
+    writers.json_lines(table(spark, sf_dir, "instruction_records").select(*columns), f"{at}/in")
+    counts = clean.skip_counts(clean.source(spark, f"{at}/in"))
+    sink = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "skip_reason", F.col("count").alias("n"))
+
+
 def io_queries() -> dict[str, Query]:
     return dict(IO)
 

@@ -386,3 +386,20 @@ def test_whole_preprocessing_against_the_sequential_rule(spark, sf, tmp_path):
     for source in {s for _, s, _ in rows}:
         lines = [line for line, s, _ in rows if s == source]
         assert counts[source] == (len(lines), sum(gated[x] is None for x in lines), sum(want[x] is None for x in lines))
+
+
+def test_broadcasts_are_proven_by_bytes(spark):
+    from millrace.session import broadcast_if_small, spread
+
+    df = spark.createDataFrame([(1, "x" * 5000, None), (2, None, {"a": ["b"]})], "k int, `a b` string, m map<string,array<string>>")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_if_small(df)) and not hinted(broadcast_if_small(df, 1000)) and hinted(broadcast_if_small(df.limit(0), 0))
+    one = df.coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one.repartition(64)).rdd.getNumPartitions() == 64
+    assert sorted(r.k for r in spread(one).collect()) == [1, 2]
+
+
+def test_samples_keep_few_rows_in_each_task(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 2).alias("g"))
+    plan = sampling.per_group(df, "g", "id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
